@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("near_dedup",)
+_MODULES = ("near_dedup", "decontaminate")
 
 
 def _gather(what: str) -> dict:

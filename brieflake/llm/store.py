@@ -65,7 +65,7 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(sc.applicationId)
 
 
-def arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+def arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     """df.mapInArrow, with this package on the workers."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
