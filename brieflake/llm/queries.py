@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("near_dedup", "decontaminate")
+_MODULES = ("near_dedup", "token_files", "token_counts", "decontaminate", "bpe")
 
 
 def _gather(what: str) -> dict:
