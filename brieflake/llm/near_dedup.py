@@ -11,10 +11,16 @@ How pairs stay bounded, and links whole:
 3. In a bucket every class is compared with the bucket's smallest class only
    (a star): first with the one it shares most buckets with, then, where the
    two are still apart, with the rest.
-4. Where a bucket still holds more than one component, the classes outside its
-   largest component are compared with all the others.  So every pair that
-   shares a bucket is either compared or already in one component, and no
-   bucket is capped.
+4. Where a bucket still holds more than one component, what stands outside its
+   largest component may yet be linked to something in it.  In buckets of up to
+   SMALL classes those are compared with all the others.  In larger ones an
+   exact prefix filter finds the partners: members are ranked by how rare they
+   are, and a pair of sizes x and y that is linked must share a member among the
+   x - a + 1 rarest of one and the y - a + 1 rarest of the other, where a is the
+   overlap that a link of these sizes needs.  Copies that have drifted too far
+   differ in just those members, so they meet few others.
+   So every pair that shares a bucket is compared, proved apart, or already in
+   one component; no bucket is capped.
 
 A pair of similarity 0.8 shares no bucket with probability (1 - 0.8^6)^42 =
 3e-6; a more alike pair far more rarely.
@@ -22,11 +28,12 @@ A pair of similarity 0.8 shares no bucket with probability (1 - 0.8^6)^42 =
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -34,6 +41,7 @@ from .components import components
 from .store import arrow, cut, table, written
 
 BINS, ROWS, BANDS = 256, 6, 42
+SMALL = 24
 _PROBES = 2048
 
 
@@ -152,6 +160,24 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return arrow(rows, run, "a long, b long")
 
 
+def _rare_partners(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, part, size, few) of different parts, one of them few, whose rarest members allow a link."""
+    members = nodes.join(sets, "node").select("node", "part", "size", "few", F.explode("set").alias("g"))
+    rarity = members.groupBy("g").agg(F.count("*").alias("common"))
+    at = F.row_number().over(Window.partitionBy("node").orderBy("common", "g"))
+    ranked = members.join(rarity, "g").withColumn("at", at)
+    ranked = cut(ranked.where(f"100 * (at - 1) <= {100 - percent} * size").select("node", "part", "size", "few", "g", "at"))
+    step = math.log(1.05)
+    need = f"ceil({percent} * (size + greatest(floor(exp({step} * class)) - 1, floor({percent} * size / 100))) / {100 + percent})"
+    lowest, highest = f"cast(floor(ln({percent} * size / 100) / {step}) as int) - 1", f"cast(floor(ln(100 * size / {percent}) / {step}) as int) + 1"
+    x = ranked.where("few").withColumn("class", F.explode(F.sequence(F.expr(lowest), F.expr(highest)))).where(f"at <= size - {need} + 1")
+    x = x.select("g", "class", F.col("node").alias("x"), F.col("part").alias("part_x"), F.col("size").alias("size_x"), F.col("at").alias("at_x"))
+    y = ranked.withColumn("class", F.expr(f"cast(floor(ln(size) / {step}) as int)"))
+    exact = f"ceil({percent} * (size + size_x) / {100 + percent})"
+    met = x.join(y, ["g", "class"]).where(f"part_x <> part and (not few or x < node) and at_x <= size_x - {exact} + 1 and at <= size - {exact} + 1")
+    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id_col, text_hash (xxhash64 of the text), n_shingles, component_id (the smallest id that links reach, its own included), kept (id_col = component_id).
 
@@ -186,11 +212,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     # buckets that still hold several components
     linked = edges.select("a", "b")
     crowd = buckets.join(stars.select("key"), "key").join(part, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("part"))
-    by_part = crowd.groupBy("key", "part").agg(F.count("*").alias("many")).groupBy("key").agg(F.max_by("part", F.struct("many", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = crowd.join(by_part.select("key", "main"), "key")
-    few = mixed.where("part <> main").select("key", F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("part").alias("part_x"))
-    grey = few.join(mixed, "key").where(f"part_x <> part and (part = main or x < node) and 100 * least(size, size_x) >= {percent} * greatest(size, size_x)")
-    grey = grey.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(linked, ["a", "b"], "left_anti")
+    by_part = crowd.groupBy("key", "part").agg(F.count("*").alias("many")).groupBy("key").agg(F.max_by("part", F.struct("many", "part")).alias("main"), F.sum("many").alias("many"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = crowd.join(by_part.select("key", "main", "many"), "key")
+    mixed = cut(mixed.withColumn("few", F.expr("part <> main")))
+    few = mixed.where(f"few and many <= {SMALL}").select("key", F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("part").alias("part_x"))
+    grey = few.join(mixed.where(f"many <= {SMALL}"), "key").where(f"part_x <> part and (part = main or x < node) and 100 * least(size, size_x) >= {percent} * greatest(size, size_x)")
+    grey = grey.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
+    large = mixed.where(f"many > {SMALL}").groupBy("node").agg(F.first("part").alias("part"), F.first("size").alias("size"), F.max("few").alias("few"))
+    grey = grey.union(_rare_partners(large, sets, percent)).distinct().join(linked, ["a", "b"], "left_anti")
     links = cut(links.union(_confirmed(grey, sets, percent)))
     part = components(links)
     of = classes.select("node", "least").join(part, "node")
