@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import companion_ratio, text_ratio
+from ..ship import ship
 
 # Words that are no part of a company's name.
 COMPANY_STOP_WORDS = ("and", "co", "company", "corp", "corporation", "group", "holdings", "inc", "limited", "ltd", "of", "plc", "the")
@@ -68,6 +69,7 @@ def similar_events(df: DataFrame, hours: int = 48) -> DataFrame:
     markets, companies, subjects (folded tags), kinds, key_parts, blocks.  Cheap
     column tests come before the Arrow ratios, which see candidates only.
     """
+    ship(df.sparkSession)
     same = df.groupBy("url_key").agg(F.min("seq").alias("a"), F.count("*").alias("n")).where("n > 1").join(df.select("url_key", F.col("seq").alias("b")), "url_key").where("a <> b").select("a", "b")
     left, right = (df.select(*(F.col(c).alias(f"{c}_{s}") for c in df.columns)) for s in "ab")
     p = candidates(df, hours).join(left, F.col("a") == F.col("seq_a")).join(right, F.col("b") == F.col("seq_b"))

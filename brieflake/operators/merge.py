@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..ship import checkpoint_dir
 
 
 def keyed(df: DataFrame) -> DataFrame:
@@ -80,6 +81,7 @@ def merge_source_specs(specs: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, label) of each node: the smallest node that edges (a, b) reach.  Labels spread along edges and jump, each round cut by a checkpoint."""
+    checkpoint_dir(edges.sparkSession)
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")).checkpoint()
     while True:
