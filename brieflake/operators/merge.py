@@ -13,6 +13,10 @@ def keyed(df: DataFrame) -> DataFrame:
     return df.withColumn("url_key", urls.dedup_key(F.col("url")))
 
 
+def _metadata(row: Column) -> Column:
+    return F.from_json(row["meta"], "map<string,string>")
+
+
 def merge_by_url(df: DataFrame) -> DataFrame:
     """One row for each URL key, in first-seen order.
 
@@ -25,7 +29,7 @@ def merge_by_url(df: DataFrame) -> DataFrame:
     k = keyed(df)
     size = F.length(F.coalesce("content", F.lit("")))
     one = k.groupBy("url_key", "source_type", "content", F.to_json("metadata").alias("meta")).agg(F.min(F.struct("seq", "id", "title", "url")).alias("head"), F.count("*").alias("copies"))
-    rows = one.select("url_key", F.struct(F.col("head.seq").alias("seq"), F.col("head.id").alias("id"), F.col("head.title").alias("title"), F.col("head.url").alias("url"), "source_type", "content", F.from_json("meta", "map<string,string>").alias("metadata"), size.alias("size")).alias("r"), "copies")
+    rows = one.select("url_key", F.struct(F.col("head.seq").alias("seq"), F.col("head.id").alias("id"), F.col("head.title").alias("title"), F.col("head.url").alias("url"), "source_type", "content", "meta", size.alias("size")).alias("r"), "copies")
     g = rows.groupBy("url_key").agg(F.array_sort(F.collect_list("r")).alias("rows"), F.sum("copies").alias("n_members"))
     primary = F.aggregate(F.slice("rows", 2, 1_000_000_000), F.element_at("rows", 1), lambda acc, r: F.when(r["size"] > acc["size"], r).otherwise(acc))
     g = g.withColumn("primary", primary)
@@ -36,9 +40,9 @@ def merge_by_url(df: DataFrame) -> DataFrame:
         return F.when(add, F.when(acc == "", r["content"]).otherwise(F.concat(acc, mark))).otherwise(acc)
 
     def fill(acc: Column, r: Column) -> Column:
-        return F.map_zip_with(acc, F.coalesce(r["metadata"], F.create_map().cast("map<string,string>")), lambda _, a, b: F.coalesce(F.nullif(a, F.lit("")), b, a))
+        return F.map_zip_with(acc, F.coalesce(_metadata(r), F.create_map().cast("map<string,string>")), lambda _, a, b: F.coalesce(F.nullif(a, F.lit("")), b, a))
 
-    first = F.coalesce("primary.metadata", F.create_map().cast("map<string,string>"))
+    first = F.coalesce(_metadata(F.col("primary")), F.create_map().cast("map<string,string>"))
     types = F.array_distinct(F.transform("rows", lambda r: r["source_type"]))
     return g.select(
         F.col("primary.seq").alias("seq"),

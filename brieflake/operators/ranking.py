@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import RISK_LEVELS
+from ..ship import ship
 
 COMMERCIAL = ("product_innovation", "ingredients_technology", "packaging_labeling", "consumer_trends", "retail_foodservice", "company_updates")
 
@@ -91,6 +92,7 @@ def commercial_mix(selected: DataFrame, pool: DataFrame, p: Profile) -> DataFram
     the selection (max_items rows) and the candidates that could enter it (at
     most max_per_source of each source, and no more than max_items times that).
     """
+    ship(pool.sparkSession)
     commercial = F.col("category").isin(*COMMERCIAL)
     n = F.row_number().over(Window.partitionBy("source_id").orderBy(*rank_order()))
     spare = pool.where(commercial).join(F.broadcast(selected.select("seq")), "seq", "left_anti").withColumn("_n", n).where(F.col("_n") <= 2 * p.max_per_source).drop("_n").orderBy(*rank_order()).limit(p.max_items * 2 * p.max_per_source)
