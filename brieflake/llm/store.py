@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_shipped: set[str] = set()
+from ..ship import checkpoint_dir, ship
+
+#: Rows and bytes that an Arrow batch holds at most, so a batch of long texts stays small.
+BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,18 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from spark.checkpoint.dir.  Only a session in one machine that names none gets a temporary one."""
-    sc = spark.sparkContext
-    got = sc._jsc.sc().getCheckpointDir()
-    if got.isDefined():
-        return got.get()
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if named is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="brieflake-")
-    sc.setCheckpointDir(named)
-    return sc._jsc.sc().getCheckpointDir().get()
+    """The cluster's shared folder, from spark.checkpoint.dir."""
+    return checkpoint_dir(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -51,21 +41,9 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Gives the Python workers this package, once for each application."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _shipped:
-        top = Path(__file__).resolve().parents[1]
-        to = Path(tempfile.mkdtemp(prefix="brieflake-")) / "brieflake.zip"
-        with zipfile.ZipFile(to, "w") as z:
-            for p in sorted(top.rglob("*.py")):
-                z.write(p, p.relative_to(top.parent))
-        sc.addPyFile(str(to))
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-        _shipped.add(sc.applicationId)
-
-
 def arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     """df.mapInArrow, with this package on the workers."""
     ship(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
