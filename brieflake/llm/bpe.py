@@ -17,18 +17,19 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .split import Remembered, splitter
 from .store import arrow, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Pieces remembered by one Python worker; when full, the memory starts afresh.
-REMEMBER = 400_000
+#: Pieces, and pairs of tokens, that one Python worker remembers in each of two generations.
+REMEMBER, PAIRS = 200_000, 150_000
 
 
 def _merge(ranks: dict[bytes, int], data: bytes, below: int | None = None) -> list[bytes]:
@@ -55,17 +56,18 @@ class PrefixCodec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokens = {b: a for a, b in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
-        self.split = regex.compile(pattern).findall
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self.split = splitter(pattern)
+        self._pairs: dict[int, bool] = {}
         self._reached: dict[int, bool] = {}
-        self.memory: dict[str, tuple[bytes, bytes, tuple[int, ...]]] = {}
+        self.memory = Remembered(REMEMBER)
+        self.decimal = {i: b"%d" % i for i in self.tokens}
 
     def stays(self, a: int, b: int) -> bool:
         """Whether merging leaves the tokens a and b, side by side, as they are."""
-        got = self._pairs.get((a, b))
+        got = self._pairs.get(a << 32 | b)
         if got is None:
             x, y = self.tokens[a], self.tokens[b]
-            got = self._pairs[a, b] = _merge(self.ranks, x + y) == [x, y]
+            got = self._pairs[a << 32 | b] = _merge(self.ranks, x + y) == [x, y]
         return got
 
     def reached(self, t: int) -> bool:
@@ -106,23 +108,16 @@ class PrefixCodec:
         t = self.ranks.get(data)
         return [t] if t is not None else self.read(data, self.prefixes(data))
 
-    def pieces(self, text: str) -> list[tuple[bytes, bytes, tuple[int, ...]]]:
-        """For each piece: its ids in decimal, its bytes decoded from the ids, its ids."""
-        found, memory = self.split(text), self.memory
-        try:
-            return [memory[p] for p in found]
-        except KeyError:
-            if len(memory) > REMEMBER:
-                memory.clear()
-                self._pairs = {} if len(self._pairs) > REMEMBER else self._pairs
-            for p in found:
-                if p not in memory:
-                    ids = self.piece(p.encode())
-                    memory[p] = (" ".join(map(str, ids)).encode(), self.decode(ids), tuple(ids))
-            return [memory[p] for p in found]
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text; what a piece gives is remembered."""
+        split = [self.split(t) for t in texts]
+        if len(self._pairs) > PAIRS:
+            self._pairs = {}
+        get = self.memory.of(set().union(*split), lambda new: (tuple(self.piece(p.encode())) for p in new))
+        return [list(chain.from_iterable(map(get, ps))) for ps in split]
 
     def encode(self, text: str) -> list[int]:
-        return [i for p in self.pieces(text) for i in p[2]]
+        return self.encode_batch([text])[0]
 
     def decode(self, ids: list[int] | tuple[int, ...]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -173,7 +168,7 @@ def encoded(docs: DataFrame, path: str = RANKS, keep: tuple[str, ...] = ("doc_id
         c = codec(path)
         for b in batches:
             for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
-                ids = [c.encode(t or "") for t in part.column(0).to_pylist()]
+                ids = c.encode_batch([t or "" for t in part.column(0).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(ids, pa.list_(pa.int32()))], names=[*keep, "token_ids"])
 
     rows = docs.select("text", *keep)
@@ -199,11 +194,11 @@ def digests(docs: DataFrame, path: str = RANKS) -> DataFrame:
         c = codec(path)
         for b in batches:
             n, ids, back = [], [], []
-            for t in b.column(1):
-                got = c.pieces(t.as_py() or "")
-                n.append(sum([len(p[2]) for p in got]))
-                ids.append(hashlib.sha256(b" ".join([p[0] for p in got])).hexdigest())
-                back.append(hashlib.sha256(b"".join([p[1] for p in got])).hexdigest())
+            for i in range(0, b.num_rows, 100):
+                for got in c.encode_batch([t or "" for t in b.column(1).slice(i, 100).to_pylist()]):
+                    n.append(len(got))
+                    ids.append(hashlib.sha256(b" ".join(map(c.decimal.__getitem__, got))).hexdigest())
+                    back.append(hashlib.sha256(c.decode(got)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
