@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import RANKS
+from .split import Remembered, splitter
 from .store import arrow, table
 
 BLOCK = 64
-REMEMBER = 400_000
+REMEMBER = 200_000  # pre-tokens, in each of two generations
 
 
 class Counter:
@@ -40,19 +41,12 @@ class Counter:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(pattern)
-        self.memory: dict[str, int] = {}
+        self.split = splitter(pattern)
+        self.memory = Remembered(REMEMBER)
 
     def __call__(self, pieces: list[str]) -> list[int]:
-        memory = self.memory
-        try:
-            return [memory[p] for p in pieces]
-        except KeyError:
-            if len(memory) > REMEMBER:
-                memory.clear()
-            for p in pieces:
-                if p not in memory:
-                    memory[p] = len(self.encoding.encode_ordinary(p))
-            return [memory[p] for p in pieces]
+        get = self.memory.of(set(pieces), lambda new: [len(self.encoding.encode_ordinary(p)) for p in new])
+        return list(map(get, pieces))
 
 
 _counters: dict[tuple[str, str], Counter] = {}
@@ -69,7 +63,7 @@ class CountTree:
 
     def __init__(self, count: Counter, text: str):
         self.count, self.text = count, text
-        pieces = count.pattern.findall(text)
+        pieces = count.split(text)
         self.encoded = len(pieces)
         tokens, sizes = count(pieces), list(map(len, pieces))
         self.blocks = [[sizes[i : i + BLOCK], tokens[i : i + BLOCK]] for i in range(0, len(pieces), BLOCK)] or [[[], []]]
