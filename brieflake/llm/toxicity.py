@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .samples import fold, sample
+from .split import Remembered
 from .store import arrow, table
 
 SAMPLE = 8000
@@ -42,7 +43,7 @@ ORDER, SPAN, DECAY = 4, 7, 0.7
 LANDMARKS = 384
 INSERTED = 16  # so many of the commonest toxic segments are also learned with a letter put in
 LONGEST = 40  # a longer segment is scored in overlapping stretches of this length
-REMEMBER = 300_000
+REMEMBER = 150_000  # words, in each of two generations
 
 END, OTHER = "\x7f", "{|}~"
 _SPACED = regex.compile(r"(?<!\S)\S(?: \S(?!\S)){3,}")
@@ -197,7 +198,9 @@ def fit(texts: list[str], labels: list[int], weight: np.ndarray) -> Model:
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
         return blank._replace(weights=(float(np.log(share / (1 - share))), 0.0, 0.0))
-    words = [sorted({s for s in map(normal, segments(t)) if len(s) > ORDER}) for t in texts]
+    pool: dict[str, str] = {}  # one copy of each word, however many texts hold it
+    words = [sorted({pool.setdefault(s, s) for s in map(normal, segments(t)) if len(s) > ORDER}) for t in texts]
+    del texts
     in_bad, in_good, stem_bad, stem_good = Counter(), Counter(), Counter(), Counter()
     for ws, v in zip(words, labels, strict=True):
         (in_bad if v else in_good).update(ws)
@@ -242,16 +245,12 @@ class Scorer:
     """Scores texts, remembering the decisions of words."""
 
     def __init__(self, model: Model):
-        self.model, self.memory = model, {}
+        self.model, self.memory = model, Remembered(REMEMBER)
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
-        memory = self.memory
-        if len(memory) > REMEMBER:
-            memory.clear()
         sets = [segments(t) if t else () for t in texts]
-        new = sorted({w for s in sets for w in s if w not in memory})
-        memory.update(zip(new, decisions([normal(w) for w in new], self.model.table, self.model.bias).tolist(), strict=True))
-        x = np.array([_summary(np.fromiter((memory[w] for w in s), dtype=np.float64, count=len(s))) for s in sets]).reshape(len(sets), 2)
+        get = self.memory.of(set().union(*sets), lambda new: decisions([normal(w) for w in new], self.model.table, self.model.bias).tolist())
+        x = np.array([_summary(np.fromiter(map(get, s), dtype=np.float64, count=len(s))) for s in sets]).reshape(len(sets), 2)
         a, b, c = self.model.weights
         return 1 / (1 + np.exp(-np.clip(a + x @ np.array([b, c]), -30, 30)))
 
