@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .store import arrow, table
+from .store import arrow, retexted, table
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -231,36 +231,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with every hit span cut out of its text, from its first word's first byte to its last word's last; n_chars follows, if docs has it."""
     got = docs.sparkSession.sparkContext.broadcast(load_phrases(benchmark, window))
-    where = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = got.value
-        for b in batches:
-            texts = b.column(where)
-            changed: dict[int, str] = {}
-            for w in W.words(texts, W.ALNUM_WORDS, SHARD_BYTES):
-                hit, doc, _ = found(w, p)
-                for i in np.unique(doc):
-                    a, z = w.ptr[i], w.ptr[i + 1]
-                    s, e = _runs(hit[a:z])
-                    at, parts = w.text_at[i], []
-                    for x, y in zip(s, e, strict=True):
-                        parts.append(w.data[at : w.start[a + x]].tobytes())
-                        at = w.end[a + y - 1]
-                    parts.append(w.data[at : w.text_at[i + 1]].tobytes())
-                    changed[w.first + int(i)] = b"".join(parts).decode()
-            if changed:
-                out = texts.to_pylist()
-                for k, v in changed.items():
-                    out[k] = v
-                b = b.set_column(where, "text", pa.array(out, texts.type))
-            yield b
-
-    return _counted(arrow(docs, run, docs.schema))
-
-
-def _counted(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+    def change(texts: pa.Array) -> pa.Array:
+        p, out = got.value, [None] * len(texts)
+        for w in W.words(texts, W.ALNUM_WORDS, SHARD_BYTES):
+            hit, doc, _ = found(w, p)
+            for i in np.unique(doc):
+                a, z = w.ptr[i], w.ptr[i + 1]
+                s, e = _runs(hit[a:z])
+                at, parts = w.text_at[i], []
+                for x, y in zip(s, e, strict=True):
+                    parts.append(w.data[at : w.start[a + x]].tobytes())
+                    at = w.end[a + y - 1]
+                parts.append(w.data[at : w.text_at[i + 1]].tobytes())
+                out[w.first + int(i)] = b"".join(parts).decode()
+        return pa.array(out, pa.string())
+
+    return retexted(docs, change)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

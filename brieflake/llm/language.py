@@ -16,7 +16,6 @@ Rows may repeat; other columns don't matter.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -26,8 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from ..ship import ship
 from .samples import fold, sample
-from .store import arrow, table
+from .store import limit_batches, table
 
 BITS = 17
 GRAMS = (2, 3, 4)
@@ -108,19 +108,24 @@ def learn(docs: DataFrame) -> Model:
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and lang_score put on; columns of those names give way."""
-    docs = docs.drop("lang_pred", "lang_score")
+    ship(docs.sparkSession)
+    limit_batches(docs.sparkSession)
     got = docs.sparkSession.sparkContext.broadcast(model)
-    where = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # a scalar function: only texts go to Python and only answers come back
+    @F.arrow_udf(StructType([StructField("lang", StringType()), StructField("sure", DoubleType())]))
+    def told(texts: pa.Array) -> pa.Array:
         flags = np.zeros(1 << BITS, dtype=bool)
-        for b in batches:
-            for i in range(0, b.num_rows, 200):
-                part = b.slice(i, 200)
-                langs, sure = score(got.value, part.column(where).to_pylist(), flags)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(sure)], names=[*b.schema.names, "lang_pred", "lang_score"])
+        langs, sure = [], []
+        for i in range(0, len(texts), 200):
+            x, y = score(got.value, texts.slice(i, 200).to_pylist(), flags)
+            langs += x
+            sure.append(y)
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(sure) if sure else np.zeros(0))], names=["lang", "sure"])
 
-    return arrow(docs, run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())]))
+    names = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
+    out = docs.select(*(F.col(f"`{c}`") for c in names), told.asNondeterministic()("text").alias("_told"))
+    return out.select(*(F.col(f"`{c}`") for c in names), F.col("_told.lang").alias("lang_pred"), F.col("_told.sure").alias("lang_score"))
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -140,4 +145,4 @@ SURE = 0.4
 def kept_languages(docs: DataFrame, sure: float = SURE) -> DataFrame:
     """docs whose language is known: not ``und`` and at least ``sure``."""
     out = identified(docs, learn(training_rows(docs)))
-    return out.where(f"lang_pred <> '{UNKNOWN}' and lang_score >= {sure}").select(*docs.columns)
+    return out.where(f"lang_pred <> '{UNKNOWN}' and lang_score >= {sure}").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -5,7 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..ship import checkpoint_dir, ship
 
@@ -41,9 +44,30 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def limit_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     """df.mapInArrow, with this package on the workers."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    limit_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def retexted(docs: DataFrame, change: Callable[..., pa.Array], *more: str) -> DataFrame:
+    """docs with other texts where ``change`` (texts, and the columns ``more``) gives one that isn't null; n_chars follows, if docs has it.
+
+    A scalar function: the other columns stay in the JVM, and only changed texts come back.
+    """
+    ship(docs.sparkSession)
+    limit_batches(docs.sparkSession)
+    names = [c for c in docs.columns if c not in more]
+    f = F.arrow_udf(change, StringType()).asNondeterministic()
+    out = docs.select(*(F.col(f"`{c}`") for c in names), f("text", *more).alias("_changed"))
+    text = F.coalesce("_changed", "text")
+    new = {"text": text.alias("text")}
+    if "n_chars" in names:
+        new["n_chars"] = F.when(F.col("_changed").isNull(), F.col("n_chars")).otherwise(F.length("_changed").cast(docs.schema["n_chars"].dataType)).alias("n_chars")
+    return out.select(*(new.get(c, F.col(f"`{c}`")) for c in names))
