@@ -187,6 +187,21 @@ def decoded(rows: DataFrame, path: str = RANKS, keep: tuple[str, ...] = ("doc_id
     return arrow(rows.select("token_ids", *keep), run, ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), "text string"]))
 
 
+def round_trips(docs: DataFrame, path: str = RANKS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep``, n_tokens, decoded_sha256 (of the bytes that the ids decode to) and token_ids; encoded and decoded by one worker, a few texts at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        for b in batches:
+            for part in (b.slice(i, 100) for i in range(0, b.num_rows, 100)):
+                ids = c.encode_batch([t or "" for t in part.column(0).to_pylist()])
+                back = [hashlib.sha256(c.decode(x)).hexdigest() for x in ids]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(map(len, ids), pa.int64()), pa.array(back), pa.array(ids, pa.list_(pa.int32()))], names=[*keep, "n_tokens", "decoded_sha256", "token_ids"])
+
+    rows = docs.select("text", *keep)
+    return arrow(rows, run, ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "n_tokens long, decoded_sha256 string, token_ids array<int>"]))
+
+
 def digests(docs: DataFrame, path: str = RANKS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row, without keeping the ids."""
 

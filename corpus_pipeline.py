@@ -15,7 +15,6 @@ the first stage.  An empty table stays empty throughout.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from brieflake.llm import bpe, decontaminate, language, near_dedup, passages
 from brieflake.llm.store import written
@@ -38,9 +37,7 @@ def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def _byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ids = bpe.encoded(docs, keep=("doc_id", "lang", "source"))
-    back = bpe.decoded(ids, keep=("doc_id", "lang", "source", "token_ids"))
-    return back.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2("text", 256).alias("decoded_sha256"), "token_ids")
+    return bpe.round_trips(docs, keep=("doc_id", "lang", "source"))
 
 
 STAGES = [("language", _language), ("near_dedup", _near_dedup), ("passages", _passages), ("decontaminate", _decontaminate), ("byte_bpe", _byte_bpe)]
