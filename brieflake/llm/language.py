@@ -81,7 +81,7 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     phi = k_nm @ root
     y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     coef = np.linalg.solve(phi.T @ phi + RIDGE * len(texts) / 100 * np.eye(phi.shape[1]), phi.T @ y)
-    return Model(names, (mark @ (root @ coef)).astype(np.float32))
+    return Model(names, mark @ (root @ coef).astype(np.float32))
 
 
 def score(model: Model, texts: list[str | None], flags: np.ndarray) -> tuple[list[str], np.ndarray]:
