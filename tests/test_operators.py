@@ -246,3 +246,9 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)], "a long, b long")
     got = merge.components(edges, spark.range(1, 45).withColumnRenamed("id", "node"))
     assert {r.node: r.label for r in got.collect()} == {n: (1 if n <= 40 else n) for n in range(1, 45)}
+
+
+def test_safe_addresses(spark):
+    rows = [("https://e.com/x", True), ("http://192.168.1.1/", False), ("https://127.0.0.1", False), ("https://[::1]/", False), ("https://172.20.0.1/", False), ("https://8.8.8.8/", True), ("https://a.localhost/", False), ("https://u@e.com/", False), ("file:///etc/passwd", False)]
+    df = spark.createDataFrame(rows, "url string, want boolean")
+    assert [r.url for r in df.where(urls.is_safe(F.col("url")) != F.col("want")).collect()] == []
