@@ -45,13 +45,23 @@ from .words import U64, mix
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
-REMEMBER = 250_000  # pre-tokens, in each of two generations
+REMEMBER = 600_000  # pre-tokens, in each of two generations
 _MAGIC = b"BRIEFIDX"
 _NULL_KEY = np.uint64(0x6E756C6C)
 
 
+def _byte_level() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others in turn for the characters from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
+_SIGNS = _byte_level()
+
+
 class Pieces:
-    """The tokenizers library on pre-tokens, each remembered as its ids' bytes.  The split is the tokenizer's own: each pre-token alone splits into itself."""
+    """The tokenizers library on pre-tokens, each remembered as its ids' bytes.  The split is the tokenizer's own, done once here."""
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -71,21 +81,10 @@ class Pieces:
         return [b"".join(map(get, ps)) for ps in split]
 
     def _encoded(self, new: list[str]) -> list[bytes]:
-        done: dict[str, bytes] = {}
-        # a space and letters: in a row such pre-tokens split as they do alone, and one call encodes many
-        plain = [p for p in new if p[0] == " " and p[1:].isalpha()]
-        for i in range(0, len(plain), 5000):
-            part = plain[i : i + 5000]
-            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            word = np.array(e.word_ids)
-            at = [0, *(np.flatnonzero(word[1:] != word[:-1]) + 1).tolist(), len(word)]
-            if len(at) == len(part) + 1:
-                raw, size = array(self.code, e.ids).tobytes(), self.dtype.itemsize
-                done.update((p, raw[size * a : size * z]) for p, a, z in zip(part, at, at[1:]))
-        rest = [p for p in new if p not in done]
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            done[p] = array(self.code, e.ids).tobytes()
-        return [done[p] for p in new]
+        """The tokenizer's own model on each pre-token, its bytes spelt in the byte-level alphabet."""
+        tokenize, code, signs = self.tokenizer.model.tokenize, self.code, _SIGNS
+        spelt = ["Ġ" + p[1:] if p[0] == " " and p[1:].isalpha() and p.isascii() else p.encode().decode("latin-1").translate(signs) for p in new]
+        return [array(code, [t.id for t in tokenize(s)]).tobytes() for s in spelt]
 
 
 _pieces: dict[tuple[str, str], Pieces] = {}
