@@ -8,17 +8,18 @@ How pairs stay bounded, and links whole:
 1. Texts with the same set are one class; copies are never paired.
 2. Each class gets one signature (BINS bins of one permutation; an empty bin
    borrows from a bin that its own probe sequence meets first), cut into bands.
-3. In a bucket every class is compared with the bucket's smallest class only
-   (a star): first with the one it shares most buckets with, then, where the
-   two are still apart, with the rest.
+3. A bucket's classes point at its smallest one (a star).  Each class is
+   compared with the centre that it shares most buckets with.
 4. Where a bucket still holds more than one component, what stands outside its
    largest component may yet be linked to something in it.  In buckets of up to
-   SMALL classes those are compared with all the others.  In larger ones an
-   exact prefix filter finds the partners: members are ranked by how rare they
-   are, and a pair of sizes x and y that is linked must share a member among the
+   SMALL classes those are paired with all the others.  In larger ones an exact
+   prefix filter finds the partners: members are ranked by how rare they are,
+   and a pair of sizes x and y that is linked must share a member among the
    x - a + 1 rarest of one and the y - a + 1 rarest of the other, where a is the
-   overlap that a link of these sizes needs.  Copies that have drifted too far
-   differ in just those members, so they meet few others.
+   overlap that a link of these sizes needs.  Either way a bitmap of BITS bits
+   for each class bounds the overlap from above (a bit that only one has stands
+   for a member that the other lacks), and what can't reach a is left out before
+   sets are fetched.
    So every pair that shares a bucket is compared, proved apart, or already in
    one component; no bucket is capped.
 
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -42,6 +43,7 @@ from .store import arrow, cut, table, written
 
 BINS, ROWS, BANDS = 256, 6, 42
 SMALL = 24
+BITS = 2048
 _PROBES = 2048
 
 
@@ -102,6 +104,20 @@ def _set_hash(s: np.ndarray) -> int:
     return int(W.mix(np.array([x]))[0].view(np.int64))
 
 
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    at = (s * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(53)
+    out = np.zeros(BITS // 64, dtype=np.uint64)
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
+def _may_link(x: str, y: str, percent: int) -> str:
+    """That sizes and bitmaps (size_x, bits_x and so on) allow a link."""
+    lacks = lambda p, q: f"aggregate(zip_with(bits_{p}, bits_{q}, (i, j) -> cast(bit_count(i & ~j) as int)), 0, (n, v) -> n + v)"
+    need = f"ceil({percent} * (size_{x} + size_{y}) / {100 + percent})"
+    return f"(least(size_{x}, size_{y}) >= {need} and size_{x} - {lacks(x, y)} >= {need} and size_{y} - {lacks(y, x)} >= {need})"
+
+
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     off = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
     flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
@@ -125,7 +141,7 @@ def signatures(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str =
 
 
 def _full_sets(docs: DataFrame, need: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, set) of the nodes in ``need`` (id, node): from one text each."""
+    """(node, size, bits, set) of the nodes in ``need`` (id, text_hash, node): from one text each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,11 +151,11 @@ def _full_sets(docs: DataFrame, need: DataFrame, n: int, id_col: str, text_col:
                 if len(s) and _set_hash(s) == k:  # ids may repeat with other texts
                     node.append(k)
                     out.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), _lists(out)], names=["node", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(map(len, out), pa.int64()), _lists([_bitmap(x) for x in out]), _lists(out)], names=["node", "size", "bits", "set"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     found = texts.join(need, ["id", "text_hash"]).dropDuplicates(["node"]).select("node", "text")
-    return arrow(found, run, "node long, set array<long>")
+    return arrow(found, run, "node long, size long, bits array<long>, set array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -162,20 +178,23 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _rare_partners(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of ``nodes`` (node, part, size, few) of different parts, one of them few, whose rarest members allow a link."""
-    members = nodes.join(sets, "node").select("node", "part", "size", "few", F.explode("set").alias("g"))
+    members = nodes.join(sets.select("node", "set"), "node").select("node", "part", "size", "few", F.explode("set").alias("g"))
     rarity = members.groupBy("g").agg(F.count("*").alias("common"))
     at = F.row_number().over(Window.partitionBy("node").orderBy("common", "g"))
     ranked = members.join(rarity, "g").withColumn("at", at)
     ranked = cut(ranked.where(f"100 * (at - 1) <= {100 - percent} * size").select("node", "part", "size", "few", "g", "at"))
-    step = math.log(1.05)
+    step = math.log(1.1)
     need = f"ceil({percent} * (size + greatest(floor(exp({step} * class)) - 1, floor({percent} * size / 100))) / {100 + percent})"
     lowest, highest = f"cast(floor(ln({percent} * size / 100) / {step}) as int) - 1", f"cast(floor(ln(100 * size / {percent}) / {step}) as int) + 1"
-    x = ranked.where("few").withColumn("class", F.explode(F.sequence(F.expr(lowest), F.expr(highest)))).where(f"at <= size - {need} + 1")
-    x = x.select("g", "class", F.col("node").alias("x"), F.col("part").alias("part_x"), F.col("size").alias("size_x"), F.col("at").alias("at_x"))
-    y = ranked.withColumn("class", F.expr(f"cast(floor(ln(size) / {step}) as int)"))
-    exact = f"ceil({percent} * (size + size_x) / {100 + percent})"
-    met = x.join(y, ["g", "class"]).where(f"part_x <> part and (not few or x < node) and at_x <= size_x - {exact} + 1 and at <= size - {exact} + 1")
-    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
+    # a member this far down can serve only classes of sizes up to so much
+    reach = f"cast(floor(ln(greatest(1, {100 + percent} * (size - at + 1) / {percent} - size) + 1) / {step}) as int) + 1"
+    bits = sets.select("node", "bits")
+    x = ranked.where("few").join(bits, "node").withColumn("class", F.explode(F.sequence(F.expr(lowest), F.expr(f"greatest({lowest}, least({highest}, {reach}))")))).where(f"at <= size - {need} + 1")
+    x = x.select("g", "class", F.col("node").alias("x"), F.col("part").alias("part_x"), F.col("size").alias("size_x"), F.col("at").alias("at_x"), F.col("bits").alias("bits_x"))
+    y = ranked.withColumn("class", F.expr(f"cast(floor(ln(size) / {step}) as int)")).join(bits, "node").select("g", "class", F.col("node").alias("y"), F.col("part").alias("part_y"), F.col("size").alias("size_y"), F.col("at").alias("at_y"), "few", F.col("bits").alias("bits_y"))
+    exact = f"ceil({percent} * (size_x + size_y) / {100 + percent})"
+    met = x.join(y, ["g", "class"]).where(f"part_x <> part_y and (not few or x < y) and at_x <= size_x - {exact} + 1 and at_y <= size_y - {exact} + 1 and {_may_link('x', 'y', percent)}")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,36 +209,25 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     classes = written(classes, "classes")
     buckets = classes.select("node", "size", F.explode("bands").alias("key"))
     stars = buckets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("key", "a")
-    edges = buckets.join(stars, "key").where("a <> node").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("shared"))
-    edges = cut(edges)
+    shared = written(buckets.join(stars, "key"), "buckets")  # of buckets with more than one class
+    edges = cut(shared.where("a <> node").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("shared")))
     ends = edges.select("a").union(edges.select("b")).distinct().withColumnRenamed("a", "node")
     sets = written(_full_sets(docs, ends.join(classes, "node").select("id", "text_hash", "node"), n, id_col, text_col), "sets")
-    size = classes.select("node", "size")
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes allow a link."""
-        x = pairs.join(size.toDF("a", "size_a"), "a").join(size.toDF("b", "size_b"), "b")
-        return x.where(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)").select(*pairs.columns)
-
-    edges = cut(sized(edges))
-    best = edges.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
+    best = cut(edges.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b"))
     links = cut(_confirmed(best, sets, percent))
     part = components(links)
-    rest = edges.join(best, ["a", "b"], "left_anti").join(part.toDF("a", "part_a"), "a", "left").join(part.toDF("b", "part_b"), "b", "left")
-    rest = rest.where("coalesce(part_a, a) <> coalesce(part_b, b)").select("a", "b")
-    links = cut(links.union(_confirmed(rest, sets, percent)))
-    part = components(links)
     # buckets that still hold several components
-    linked = edges.select("a", "b")
-    crowd = buckets.join(stars.select("key"), "key").join(part, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("part"))
+    crowd = shared.join(part, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("part"))
     by_part = crowd.groupBy("key", "part").agg(F.count("*").alias("many")).groupBy("key").agg(F.max_by("part", F.struct("many", "part")).alias("main"), F.sum("many").alias("many"), F.count("*").alias("parts")).where("parts > 1")
     mixed = crowd.join(by_part.select("key", "main", "many"), "key")
     mixed = cut(mixed.withColumn("few", F.expr("part <> main")))
     few = mixed.where(f"few and many <= {SMALL}").select("key", F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("part").alias("part_x"))
     grey = few.join(mixed.where(f"many <= {SMALL}"), "key").where(f"part_x <> part and (part = main or x < node) and 100 * least(size, size_x) >= {percent} * greatest(size, size_x)")
-    grey = grey.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
+    grey = grey.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(best, ["a", "b"], "left_anti")
+    light = sets.select("node", "size", "bits")
+    grey = grey.join(light.toDF("a", "size_a", "bits_a"), "a").join(light.toDF("b", "size_b", "bits_b"), "b").where(_may_link("a", "b", percent)).select("a", "b")
     large = mixed.where(f"many > {SMALL}").groupBy("node").agg(F.first("part").alias("part"), F.first("size").alias("size"), F.max("few").alias("few"))
-    grey = grey.union(_rare_partners(large, sets, percent)).distinct().join(linked, ["a", "b"], "left_anti")
+    grey = cut(grey.union(_rare_partners(large, sets, percent)).distinct())
     links = cut(links.union(_confirmed(grey, sets, percent)))
     part = components(links)
     of = classes.select("node", "least").join(part, "node")
@@ -232,9 +240,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest doc_id stays, with all its columns."""
-    kept = near_duplicates(docs, n, percent).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
-    found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_hash")), "left_semi")
-    return found.dropDuplicates(["doc_id", "text"])
+    kept = near_duplicates(docs, n, percent).where("kept").select(*_keys(F.col("doc_id"), F.col("text_hash"))).distinct()
+    names = docs.columns
+    # one exchange of the texts serves both the join and the choice among repeated rows
+    found = docs.select(*(F.col(f"`{c}`") for c in names), *_keys(F.col("doc_id"), F.xxhash64("text"))).join(kept, ["_id", "_null", "_hash"], "left_semi")
+    return found.dropDuplicates(["_id", "_null", "_hash"]).select(*(F.col(f"`{c}`") for c in names))
+
+
+def _keys(doc_id: Column, text_hash: Column) -> list[Column]:
+    """A row's id and text as keys that are never null."""
+    return [F.coalesce(doc_id.cast("long"), F.lit(0)).alias("_id"), doc_id.isNull().alias("_null"), text_hash.alias("_hash")]
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
