@@ -29,7 +29,7 @@ from .store import arrow, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Pieces, and pairs of tokens, that one Python worker remembers in each of two generations.
-REMEMBER, PAIRS = 300_000, 200_000
+REMEMBER, PAIRS = 250_000, 150_000
 
 
 def _merge(ranks: dict[bytes, int], data: bytes, below: int | None = None) -> list[bytes]:

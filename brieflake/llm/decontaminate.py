@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
+from .split import forget
 from .store import arrow, retexted, table
 
 WINDOW = 10
@@ -233,6 +234,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     got = docs.sparkSession.sparkContext.broadcast(load_phrases(benchmark, window))
 
     def change(texts: pa.Array) -> pa.Array:
+        forget()
         p, out = got.value, [None] * len(texts)
         for w in W.words(texts, W.ALNUM_WORDS, SHARD_BYTES):
             hit, doc, _ = found(w, p)

@@ -27,6 +27,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..ship import ship
 from .samples import fold, sample
+from .split import forget
 from .store import limit_batches, table
 
 BITS = 17
@@ -115,6 +116,7 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     # a scalar function: only texts go to Python and only answers come back
     @F.arrow_udf(StructType([StructField("lang", StringType()), StructField("sure", DoubleType())]))
     def told(texts: pa.Array) -> pa.Array:
+        forget()
         flags = np.zeros(1 << BITS, dtype=bool)
         langs, sure = [], []
         for i in range(0, len(texts), 200):

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
+from .split import forget
 from .store import arrow, cut, table, written
 
 BINS, ROWS, BANDS = 256, 6, 42
@@ -128,6 +129,7 @@ def signatures(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str =
     """(id, text_hash, n_shingles, node, bands) for each row; node and bands are null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             size, node, out = [], [], []
             for s in _sets(b.column(2), n):

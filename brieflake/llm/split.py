@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import weakref
 from collections.abc import Callable, Iterable
 
 import public_tokenizers
@@ -26,11 +27,21 @@ def splitter(pattern: str = public_tokenizers.PATTERN) -> Callable[[str], list[s
     return lambda text: latin(text) if text.isascii() or not beyond(text) else every(text)
 
 
+_all: weakref.WeakSet = weakref.WeakSet()
+
+
+def forget() -> None:
+    """Empties every memory of this worker.  Workers live on from operator to operator; those that remember nothing call this first."""
+    for r in list(_all):
+        r.now, r.before = {}, {}
+
+
 class Remembered:
     """Values of keys, worked out once, in two generations of about ``size`` keys: when the younger is full it becomes the elder, and what is asked for again moves over.  So memory is bounded and the common keys stay."""
 
     def __init__(self, size: int):
         self.size, self.now, self.before = size, {}, {}
+        _all.add(self)
 
     def of(self, keys: set, make: Callable[[list], Iterable]) -> Callable:
         """Puts all keys in place; ``make`` gives the values of a list of new ones.  Returns the look-up for this batch."""

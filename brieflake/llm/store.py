@@ -64,10 +64,12 @@ def retexted(docs: DataFrame, change: Callable[..., pa.Array], *more: str) -> Da
     ship(docs.sparkSession)
     limit_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in more]
-    f = F.arrow_udf(change, StringType()).asNondeterministic()
-    out = docs.select(*(F.col(f"`{c}`") for c in names), f("text", *more).alias("_changed"))
-    text = F.coalesce("_changed", "text")
+    f, new_text = F.arrow_udf(change, StringType()).asNondeterministic(), "_changed"
+    while new_text in names:
+        new_text += "_"
+    out = docs.select(*(F.col(f"`{c}`") for c in names), f("text", *more).alias(new_text))
+    text = F.coalesce(new_text, "text")
     new = {"text": text.alias("text")}
     if "n_chars" in names:
-        new["n_chars"] = F.when(F.col("_changed").isNull(), F.col("n_chars")).otherwise(F.length("_changed").cast(docs.schema["n_chars"].dataType)).alias("n_chars")
+        new["n_chars"] = F.when(F.col(new_text).isNull(), F.col("n_chars")).otherwise(F.length(new_text).cast(docs.schema["n_chars"].dataType)).alias("n_chars")
     return out.select(*(new.get(c, F.col(f"`{c}`")) for c in names))
