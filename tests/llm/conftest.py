@@ -7,11 +7,11 @@ import pytest
 WORDS = [a + b + c for a in ("ta", "lo", "mi", "ren", "sul") for b in ("ka", "dor", "vi", "ple") for c in ("n", "st", "ra", "mo", "xel")]
 
 #: Columns of documents and some more whose names the operators use inside.
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, `key` long, text_hash long, bands array<long>, spans string, tag long, id long, score double, lang_pred string, token_ids string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, `key` long, text_hash long, bands array<long>, spans string, tag long, id long, score double, lang_pred string, token_ids string, `odd.name` string, _changed string"
 
 
 def rows(texts):
-    return [(i, t, lang, "s", None if t is None else len(t), 1, 2, 3, [4], "5", 6, 7, 0.5, "x", "y") for i, t, lang in texts]
+    return [(i, t, lang, "s", None if t is None else len(t), 1, 2, 3, [4], "5", 6, 7, 0.5, "x", "y", "o", "c") for i, t, lang in texts]
 
 
 def prose(seed: int, n: int) -> str:
