@@ -9,7 +9,8 @@ How pairs stay bounded, and links whole:
 2. Each class gets one signature (BINS bins of one permutation; an empty bin
    borrows from a bin that its own probe sequence meets first), cut into bands.
 3. A bucket's classes point at its smallest one (a star).  Each class is
-   compared with the centre that it shares most buckets with.
+   compared with the centre that it shares most buckets with, then, where the
+   two are still apart, with its other centres.
 4. Where a bucket still holds more than one component, what stands outside its
    largest component may yet be linked to something in it.  In buckets of up to
    SMALL classes those are paired with all the others.  In larger ones an exact
@@ -218,6 +219,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     best = cut(edges.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b"))
     links = cut(_confirmed(best, sets, percent))
     part = components(links)
+    light = sets.select("node", "size", "bits")
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        return pairs.join(light.toDF("a", "size_a", "bits_a"), "a").join(light.toDF("b", "size_b", "bits_b"), "b").where(_may_link("a", "b", percent)).select("a", "b")
+
+    rest = edges.select("a", "b").join(best, ["a", "b"], "left_anti").join(part.toDF("a", "part_a"), "a", "left").join(part.toDF("b", "part_b"), "b", "left")
+    rest = cut(plausible(rest.where("coalesce(part_a, a) <> coalesce(part_b, b)").select("a", "b")))
+    links = cut(links.union(_confirmed(rest, sets, percent)))
+    part = components(links)
+    tried = best.union(rest)
     # buckets that still hold several components
     crowd = shared.join(part, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("part"))
     by_part = crowd.groupBy("key", "part").agg(F.count("*").alias("many")).groupBy("key").agg(F.max_by("part", F.struct("many", "part")).alias("main"), F.sum("many").alias("many"), F.count("*").alias("parts")).where("parts > 1")
@@ -225,9 +236,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     mixed = cut(mixed.withColumn("few", F.expr("part <> main")))
     few = mixed.where(f"few and many <= {SMALL}").select("key", F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("part").alias("part_x"))
     grey = few.join(mixed.where(f"many <= {SMALL}"), "key").where(f"part_x <> part and (part = main or x < node) and 100 * least(size, size_x) >= {percent} * greatest(size, size_x)")
-    grey = grey.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(best, ["a", "b"], "left_anti")
-    light = sets.select("node", "size", "bits")
-    grey = grey.join(light.toDF("a", "size_a", "bits_a"), "a").join(light.toDF("b", "size_b", "bits_b"), "b").where(_may_link("a", "b", percent)).select("a", "b")
+    grey = grey.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    grey = plausible(grey)
     large = mixed.where(f"many > {SMALL}").groupBy("node").agg(F.first("part").alias("part"), F.first("size").alias("size"), F.max("few").alias("few"))
     grey = cut(grey.union(_rare_partners(large, sets, percent)).distinct())
     links = cut(links.union(_confirmed(grey, sets, percent)))
