@@ -186,11 +186,11 @@ def _rare_partners(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     at = F.row_number().over(Window.partitionBy("node").orderBy("common", "g"))
     ranked = members.join(rarity, "g").withColumn("at", at)
     ranked = cut(ranked.where(f"100 * (at - 1) <= {100 - percent} * size").select("node", "part", "size", "few", "g", "at"))
-    step = math.log(1.1)
+    step = math.log(1.25)
     need = f"ceil({percent} * (size + greatest(floor(exp({step} * class)) - 1, floor({percent} * size / 100))) / {100 + percent})"
-    lowest, highest = f"cast(floor(ln({percent} * size / 100) / {step}) as int) - 1", f"cast(floor(ln(100 * size / {percent}) / {step}) as int) + 1"
+    lowest, highest = f"cast(floor(ln({percent} * size / 100) / {step} - 1e-6) as int)", f"cast(floor(ln(100 * size / {percent}) / {step} + 1e-6) as int)"
     # a member this far down can serve only classes of sizes up to so much
-    reach = f"cast(floor(ln(greatest(1, {100 + percent} * (size - at + 1) / {percent} - size) + 1) / {step}) as int) + 1"
+    reach = f"cast(floor(ln(greatest(1, {100 + percent} * (size - at + 1) / {percent} - size) + 2) / {step} + 1e-6) as int)"
     bits = sets.select("node", "bits")
     x = ranked.where("few").join(bits, "node").withColumn("class", F.explode(F.sequence(F.expr(lowest), F.expr(f"greatest({lowest}, least({highest}, {reach}))")))).where(f"at <= size - {need} + 1")
     x = x.select("g", "class", F.col("node").alias("x"), F.col("part").alias("part_x"), F.col("size").alias("size_x"), F.col("at").alias("at_x"), F.col("bits").alias("bits_x"))
