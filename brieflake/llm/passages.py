@@ -18,8 +18,7 @@ the two documents' shingles along the shared diagonals, joins matched runs as
 long as PERCENT (as Jaccard similarity, so a share of 2p / (100 + p)) holds, and
 keeps passages of at least LENGTH words.
 
-An exact passage of LENGTH words is always found if the smallest document under
-one of its keys holds it.  A near-copy is found if SIDE shingles next to one of
+An exact passage of LENGTH words is always found.  A near-copy is found if SIDE shingles next to one of
 its minima are untouched.
 
 The smallest document keeps a passage; in all others it is a duplicate.  Repeats
@@ -201,27 +200,62 @@ def matched_passages(matched: np.ndarray) -> list[tuple[int, int]]:
     return [(a, z) for a, z in out if z - a >= LENGTH]
 
 
+def _unheld(same: np.ndarray, c: np.ndarray, left: np.ndarray, right: np.ndarray, w: int) -> np.ndarray:
+    """The starts of the runs of ``w`` places that hold a place c within its window and aren't all in ``same``."""
+    lo, hi = np.maximum(c - left, c - w + 1), np.minimum(c, c + right - w + 1)
+    miss = np.concatenate([[0], np.cumsum(~same)])
+    bad = np.concatenate([[0], np.cumsum(miss[w:] > miss[:-w])]) if len(same) >= w else np.zeros(1, dtype=np.int64)
+    ok = hi >= lo
+    lo, hi = lo[ok], hi[ok]
+    some = bad[hi + 1] > bad[lo]
+    lo, hi = lo[some], hi[some]
+    size = hi - lo + 1
+    start = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+    return start[bad[start + 1] > bad[start]]
+
+
+def _run_hashes(x: np.ndarray, start: np.ndarray, w: int) -> np.ndarray:
+    """A hash of the ``w`` shingles from each start, the same wherever they stand."""
+    out = np.zeros(len(start), dtype=W.U64)
+    v = x.view(np.uint32).astype(W.U64)
+    for k in range(w if len(start) else 0):
+        out = (out + v[start + k] + W.U64(1)) * W.U64(0xD1342543DE82EF95)
+        out ^= out >> W.U64(29)
+    return out
+
+
 def _verified(pairs: DataFrame) -> DataFrame:
-    """(doc, tag, keeper, spans) of pairs with both slices and their shared places."""
+    """(doc, tag, keeper, spans, open) of pairs with both slices and their shared places; open: hash and start of the runs of LENGTH words about a shared place that the keeper doesn't hold there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = LENGTH - SHINGLE + 1
         for b in batches:
             for i in range(0, b.num_rows, 50):
                 part = b.slice(i, 50)
                 col = {n: part.column(n) for n in part.schema.names}
-                spans = []
+                spans, rest, sizes = [], [], []
                 for k in range(part.num_rows):
                     x, has = _dense(col["starts"][k].as_py(), col["sizes"][k].as_py(), col["hashes"][k].values.to_numpy())
                     y, had = _dense(col["starts_0"][k].as_py(), col["sizes_0"][k].as_py(), col["hashes_0"][k].values.to_numpy())
                     hit = np.zeros(len(x), dtype=bool)
-                    for d in sorted({z for z in col["diagonals"][k].as_py()}):
+                    at = [col["places"][k].values.field(f).to_numpy() for f in range(4)]
+                    starts = []
+                    for d in np.unique(at[0]).tolist():
+                        same = np.zeros(len(x), dtype=bool)
                         lo, hi = max(0, -d), min(len(x), len(y) - d)
                         if hi > lo:
-                            hit[lo:hi] |= (x[lo:hi] == y[lo + d : hi + d]) & has[lo:hi] & had[lo + d : hi + d]
-                    spans.append([{"start": a, "end": z} for a, z in matched_passages(hit)])
-                yield pa.RecordBatch.from_arrays([col["doc"], col["tag"], col["keeper"], pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["doc", "tag", "keeper", "spans"])
+                            same[lo:hi] = (x[lo:hi] == y[lo + d : hi + d]) & has[lo:hi] & had[lo + d : hi + d]
+                        hit |= same
+                        starts.append(_unheld(same, *(v[at[0] == d] for v in at[1:]), w))
+                    start = np.unique(np.concatenate(starts))
+                    rest.append(_run_hashes(x, start, w))
+                    sizes.append(start)
+                    spans.append([{"start": a, "end": z} for a, z in matched_passages(hit)] if col["doc"][k].as_py() > col["keeper"][k].as_py() else [])
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(v) for v in sizes])]), pa.int32())
+                opened = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(np.concatenate(rest).view(np.int64)), pa.array(np.concatenate(sizes), pa.int32())], names=["run", "start"]))
+                yield pa.RecordBatch.from_arrays([col["doc"], col["tag"], col["keeper"], pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), opened], names=["doc", "tag", "keeper", "spans", "open"])
 
-    return arrow(pairs, run, "doc long, tag long, keeper long, spans array<struct<start:int,end:int>>").where("size(spans) > 0")
+    return arrow(pairs, run, "doc long, tag long, keeper long, spans array<struct<start:int,end:int>>, open array<struct<run:long,start:int>>").where("size(spans) > 0 or size(open) > 0")
 
 
 def duplicate_passages(docs: DataFrame) -> DataFrame:
@@ -231,15 +265,21 @@ def duplicate_passages(docs: DataFrame) -> DataFrame:
     low = 0x7FFFFFFF
     met = met.select("key", "doc", "keeper", F.col("place").bitwiseAND(low).alias("tag"), F.shiftright("place", 31).cast("int").alias("c"), F.shiftright("extent", 31).cast("int").alias("left"), F.col("extent").bitwiseAND(low).cast("int").alias("right"))
     best = met.where("doc = keeper").groupBy("key").agg(F.min(F.struct("tag", "c", "left", "right")).alias("k"))
-    pairs = met.where("doc > keeper").join(best, "key").where(f"least(left, k.left) + least(right, k.right) + 1 >= {(LENGTH - SHINGLE + 1) * PERCENT // 100}")
+    # all but the keeper's one place; its other places and narrow overlaps may hold what others repeat
+    pairs = met.join(best, "key").where("not (doc = keeper and tag = k.tag and c = k.c)")
     pairs = written(pairs.select("doc", "tag", "c", "left", "right", "keeper", F.col("k.tag").alias("tag_0"), F.col("k.c").alias("c_0"), F.col("k.left").alias("left_0"), F.col("k.right").alias("right_0")), "pairs")
     span = F.struct(F.expr("c - left").alias("l"), F.expr("c + right").alias("r"))
     theirs = pairs.select(F.col("keeper").alias("doc"), F.col("tag_0").alias("tag"), F.struct(F.expr("c_0 - left_0").alias("l"), F.expr("c_0 + right_0").alias("r")).alias("x")).distinct()
     asked = pairs.select("doc", "tag", span.alias("x")).distinct().union(theirs).groupBy("doc", "tag").agg(F.collect_set("x").alias("ranges"))
     slices = written(_slices(docs, asked), "slices")
-    groups = pairs.groupBy("doc", "tag", "keeper", "tag_0").agg(F.collect_set(F.expr("c_0 - c")).alias("diagonals"))
+    groups = pairs.groupBy("doc", "tag", "keeper", "tag_0").agg(F.collect_set(F.struct(F.expr("c_0 - c").alias("d"), "c", "left", "right")).alias("places"))
     rows = groups.join(slices, ["doc", "tag"]).join(slices.toDF("keeper", "tag_0", "starts_0", "sizes_0", "hashes_0"), ["keeper", "tag_0"])
-    found = _verified(rows.select("doc", "tag", "keeper", "diagonals", "starts", "sizes", "hashes", "starts_0", "sizes_0", "hashes_0"))
+    found = _verified(rows.select("doc", "tag", "keeper", "places", "starts", "sizes", "hashes", "starts_0", "sizes_0", "hashes_0"))
+    found = written(found, "found")
+    opened = found.select("doc", "tag", F.inline("open")).distinct()
+    held = opened.groupBy("run").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last")).where("keeper < last").select("run", "keeper")
+    more = opened.join(held, "run").where("doc > keeper").select("doc", "tag", "keeper", F.array(F.struct("start", (F.col("start") + LENGTH).alias("end"))).alias("spans"))
+    found = found.where("size(spans) > 0").select("doc", "tag", "keeper", "spans").union(more)
     return found.groupBy("doc", "tag").agg(F.sort_array(F.collect_set("keeper")).alias("keepers"), _merged(F.sort_array(F.flatten(F.collect_list("spans")))).alias("spans"))
 
 

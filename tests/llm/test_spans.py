@@ -80,6 +80,19 @@ def test_a_near_passage_is_found_and_a_short_one_left(spark):
     assert [(s.start, s.end) for s in got[2].spans] == [(0, 160)]
 
 
+def test_a_passage_is_found_that_the_smallest_document_holds_in_part(spark):
+    texts = []
+    for k in range(12):
+        p = prose(200 + k, 50).split()
+        own = [prose(300 + 10 * k + j, 30) for j in range(5)]
+        texts += [(3 * k, own[0] + " " + " ".join(p[:45] if k % 2 else p[5:]) + " " + own[1], "en"), (3 * k + 1, own[2] + " " + " ".join(p) + " " + own[3], "en"), (3 * k + 2, " ".join(p) + " " + own[4], "en")]
+    # the keeper's first place holds a part, its second the whole
+    p = prose(250, 50).split()
+    texts += [(100, " ".join(p[:45]) + " " + prose(401, 60) + " " + " ".join(p), "en"), (101, prose(402, 30) + " " + " ".join(p) + " " + prose(403, 9), "en")]
+    got = {r.doc: (r.keepers, [(s.start, s.end) for s in r.spans]) for r in passages.duplicate_passages(spark.createDataFrame(rows(texts), SCHEMA)).collect()}
+    assert got == {3 * k + 2: ([3 * k + 1], [(0, 50)]) for k in range(12)} | {101: ([100], [(30, 80)])}
+
+
 def test_compact_windows_are_maximal():
     r = np.random.default_rng(4)
     h = np.concatenate([[0], r.integers(1, 2**63, 400), [0], r.integers(1, 2**63, 30), [0]]).astype(np.uint64) << np.uint64(1)
