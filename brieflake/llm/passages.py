@@ -1,25 +1,35 @@
 """Substring deduplication with compact windows.
 
 Operator 6.  A document is the sequence of its SHINGLE-word shingles (words: runs
-of anything but ASCII white space, A-Z lower-cased).  For each of HASHES hash
-functions, the Cartesian tree over the hashed sequence has a node for each
-place c that is the least in [l, r]; all subsequences that hold c within [l, r]
-share its min-hash, so the node stands for them: a compact window.  Only windows
-of at least LENGTH - SHINGLE + 1 places are kept, about 2 n / LENGTH of them for
-n words.  They are found by sliding minima, their bounds by descent in a table of
-range minima.
-
-Windows meet under their min-hash together with the SIDE shingles on its left or
-on its right; a passage of LENGTH words holds one of the two whole.  Of those
-that meet, each is joined to the one in the smallest document only, so the pairs
-grow with the windows and not with their square.  An interval join keeps pairs
-whose windows overlap far enough about the shared place.  Verification compares
-the two documents' shingles along the shared diagonals, joins matched runs as
-long as PERCENT (as Jaccard similarity, so a share of 2p / (100 + p)) holds, and
-keeps passages of at least LENGTH words.
-
-An exact passage of LENGTH words is always found.  A near-copy is found if SIDE shingles next to one of
-its minima are untouched.
+of anything but ASCII white space, A-Z lower-cased).  The Cartesian tree over the
+hashed sequence has a node for each place c that is the least in [l, r]; all
+subsequences that hold c within [l, r] share its min-hash, so the node stands for
+them: a compact window.  Only windows of at least RUN places are kept, about
+2 n / RUN of them for n words.  They are found by sliding minima, their bounds by
+descent in a table of range minima.
+
+Two passages of LENGTH words and more that are as alike as PERCENT have RUN places
+in a row in common: a gap takes nine places or more of the two, so passages with
+one gap fewer than 20 % of all places apart have a longest run of 21 at least, and
+longer ones a longer run.  The least place of such a run is the same in both, and
+has SIDE of the run's places on its left or on its right.  So windows meet under
+their min-hash together with the SIDE shingles on one side, and one hash function
+meets every pair; more would meet the same pairs again.
+
+Of those that meet, each is joined to one place in the smallest document only, so the
+pairs grow with the windows and not with their square.  What that place settles
+not, runs of LENGTH words about the shared place within the window, meet under
+their own hash in a second step, at most LENGTH of them for a window, so a
+passage that the smallest document holds in part is found in the others.
+Verification compares the two documents' shingles within BAND places of the shared
+diagonals, up to BEYOND places from a window, takes every stretch from a matched
+run to another whose Jaccard similarity with its counterpart is PERCENT, and keeps
+passages of at least LENGTH words.
+
+An exact passage of LENGTH words is always found.  A near-copy is found if, under
+one of the keys it shares with it, the document it is like is the smallest one; a
+near-copy of a later document alone, under keys that are all held by smaller
+documents too, is not compared.
 
 The smallest document keeps a passage; in all others it is a duplicate.  Repeats
 within one document, and rows that share an id, are not compared.  Documents
@@ -40,7 +50,11 @@ from .split import forget
 from .store import arrow, cut, retexted, table, written
 
 SHINGLE, LENGTH, PERCENT = 5, 50, 80
-HASHES, SIDE = 2, 22
+#: Places that an exact run has in any two passages as alike as PERCENT: with S places in both, at most S / 9 of them differ, and a gap takes 9 of these.
+RUN = 20
+SIDE = RUN // 2
+#: Places beyond a window that verification sees, and how far from the diagonal.
+BEYOND, BAND = 2 * LENGTH, 12
 
 
 def _tag() -> Column:
@@ -107,12 +121,11 @@ def _windows(docs: DataFrame, whole: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        least = LENGTH - SHINGLE + 1
         for b in batches:
             ids, tags = b.column(0).to_numpy(), b.column(1).to_numpy()
             for w in W.words(b.column(2), W.SPACE_WORDS):
                 s, begin, size = _sequences(w)
-                if not len(size) or size.max() < least:
+                if not len(size) or size.max() < LENGTH - SHINGLE + 1:
                     continue
                 side = np.zeros(len(s) + 1, dtype=W.U64)
                 np.cumsum(s * W.U64(0xD1342543DE82EF95), out=side[1:])
@@ -120,18 +133,17 @@ def _windows(docs: DataFrame, whole: bool) -> DataFrame:
                 # the order within a side counts through a second sum, weighted by place
                 weight = np.zeros(len(s) + 1, dtype=W.U64)
                 np.cumsum(s * np.arange(1, len(s) + 1, dtype=W.U64), out=weight[1:])
-                for f in range(HASHES):
-                    h = np.where(s == 0, W.U64(0), W.mix(s + W.U64(f * 0x632BE59BD9B4E019 + 1)) | W.U64(1 << 63))
-                    c, l, r = compact_windows(h, least, int(size.max()))
-                    for left in (True, False):
-                        ok = (c - l >= SIDE) if left else (r - c >= SIDE)
-                        at = c[ok]
-                        lo, hi = (at - SIDE, at) if left else (at, at + SIDE)
-                        total, turn = side[hi + 1] - side[lo], weight[hi + 1] - weight[lo] - lo.astype(W.U64) * ((side[hi + 1] - side[lo]) * W.U64(pow(0xD1342543DE82EF95, -1, 1 << 64)))
-                        keys.append(W.mix(W.mix(s[at] + total) + turn + W.U64(2 * f + left)))
-                        places.append(at)
-                        lefts.append((at - l[ok]))
-                        rights.append((r[ok] - at))
+                h = np.where(s == 0, W.U64(0), W.mix(s + W.U64(1)) | W.U64(1 << 63))
+                c, l, r = compact_windows(h, RUN, int(size.max()))
+                for left in (True, False):
+                    ok = (c - l >= SIDE) if left else (r - c >= SIDE)
+                    at = c[ok]
+                    lo, hi = (at - SIDE, at) if left else (at, at + SIDE)
+                    total, turn = side[hi + 1] - side[lo], weight[hi + 1] - weight[lo] - lo.astype(W.U64) * ((side[hi + 1] - side[lo]) * W.U64(pow(0xD1342543DE82EF95, -1, 1 << 64)))
+                    keys.append(W.mix(W.mix(s[at] + total) + turn + W.U64(left)))
+                    places.append(at)
+                    lefts.append((at - l[ok]))
+                    rights.append((r[ok] - at))
                 key, at = np.concatenate(keys), np.concatenate(places)
                 if not len(key):
                     continue
@@ -147,7 +159,7 @@ def _windows(docs: DataFrame, whole: bool) -> DataFrame:
 
 
 def _slices(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(doc, tag, starts, sizes, hashes) of the asked ranges of shingles, joined where they overlap."""
+    """(doc, tag, starts, sizes, hashes) of the asked ranges of shingles and BEYOND on either side, joined where they overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -157,7 +169,7 @@ def _slices(docs: DataFrame, asked: DataFrame) -> DataFrame:
                 low = (s & W.U64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
                 for i in range(len(size)):
                     got: list[list[int]] = []
-                    for r in sorted((x["l"], x["r"] + 1) for x in b.column(3)[w.first + i].as_py()):
+                    for r in sorted((max(0, x["l"] - BEYOND), min(int(size[i]), x["r"] + 1 + BEYOND)) for x in b.column(3)[w.first + i].as_py()):
                         if got and r[0] <= got[-1][1]:
                             got[-1][1] = max(got[-1][1], r[1])
                         else:
@@ -183,21 +195,48 @@ def _dense(starts: list[int], sizes: list[int], hashes: np.ndarray) -> tuple[np.
     return out, known
 
 
-def matched_passages(matched: np.ndarray) -> list[tuple[int, int]]:
-    """Ranges of words, end excluded, of the passages that the matched shingles make."""
-    x = np.diff(np.concatenate([[0], matched.astype(np.int8), [0]]))
+def matched_passages(at: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of words, end excluded, of the passages that the matched shingles make.
+
+    at: each shingle's place in the other document, -1 if it has none.  Of the
+    stretches from a run to another that are as alike as PERCENT, each is within
+    the longest one that ends with the same run: the one from the first run whose
+    balance before it is no more than the balance at the end.
+    """
+    hit = np.flatnonzero(at >= 0)
+    if not len(hit):
+        return []
+    cut = np.flatnonzero((hit[1:] != hit[:-1] + 1) | (at[hit[1:]] != at[hit[:-1]] + 1))
+    a, z = hit[np.concatenate([[0], cut + 1])], hit[np.concatenate([cut, [len(hit) - 1]])] + 1
+    done = np.cumsum(z - a)
+    end = (100 + PERCENT) * done - PERCENT * (z + at[z - 1] + 1)
+    begin = (100 + PERCENT) * (done - (z - a)) - PERCENT * (a + at[a])
+    first = a[np.searchsorted(-np.minimum.accumulate(begin), -end)]
+    last = z + SHINGLE - 1
+    long = last - first >= LENGTH
     out: list[tuple[int, int]] = []
-    held: list[int] | None = None  # start, end, matched
-    for a, z in zip(np.flatnonzero(x == 1).tolist(), np.flatnonzero(x == -1).tolist(), strict=True):
-        if held and (100 + PERCENT) * (held[2] + z - a) >= 2 * PERCENT * (z - held[0]):
-            held[1], held[2] = z, held[2] + z - a
-        else:
-            if held:
-                out.append((held[0], held[1] + SHINGLE - 1))
-            held = [a, z, z - a]
-    if held:
-        out.append((held[0], held[1] + SHINGLE - 1))
-    return [(a, z) for a, z in out if z - a >= LENGTH]
+    for f, t in zip(first[long].tolist(), last[long].tolist(), strict=True):
+        while out and f <= out[-1][1]:
+            f = min(f, out.pop()[0])
+        out.append((f, t))
+    return out
+
+
+def _near(same: np.ndarray, d: int, x: np.ndarray, has: np.ndarray, y: np.ndarray, had: np.ndarray) -> np.ndarray:
+    """Each shingle's place in y: on the diagonal, else the first or last that y has if that is within BAND of it; -1 if none."""
+    at = np.where(same, np.arange(len(x)) + d, -1)
+    todo = np.flatnonzero(has & ~same)
+    order = np.flatnonzero(had) if len(todo) else todo
+    if len(order):
+        order = order[np.argsort(y[order], kind="stable")]
+        sorted_y = y[order]
+        for right in (False, True):
+            k = np.searchsorted(sorted_y, x[todo], side="right" if right else "left") - right
+            k = np.clip(k, 0, len(order) - 1)
+            j = order[k]
+            ok = (sorted_y[k] == x[todo]) & (np.abs(j - todo - d) <= BAND) & (at[todo] < 0)
+            at[todo[ok]] = j[ok]
+    return at
 
 
 def _unheld(same: np.ndarray, c: np.ndarray, left: np.ndarray, right: np.ndarray, w: int) -> np.ndarray:
@@ -216,12 +255,21 @@ def _unheld(same: np.ndarray, c: np.ndarray, left: np.ndarray, right: np.ndarray
 
 def _run_hashes(x: np.ndarray, start: np.ndarray, w: int) -> np.ndarray:
     """A hash of the ``w`` shingles from each start, the same wherever they stand."""
-    out = np.zeros(len(start), dtype=W.U64)
-    v = x.view(np.uint32).astype(W.U64)
-    for k in range(w if len(start) else 0):
-        out = (out + v[start + k] + W.U64(1)) * W.U64(0xD1342543DE82EF95)
-        out ^= out >> W.U64(29)
-    return out
+    if not len(start):
+        return np.zeros(0, dtype=W.U64)
+    lo = int(start.min())
+    v = W.mix(x[lo : int(start.max()) + w].view(np.uint32).astype(W.U64) + W.U64(1))
+    # sums of v times powers of a number, over 1, 2, 4, ... places; w is put together from them
+    times, size, out, done = 0xD1342543DE82EF95, 1, np.zeros(len(start), dtype=W.U64), 0
+    at = start - lo
+    while size <= w:
+        if w & size:
+            out = out * W.U64(times) + v[at + done]
+            done += size
+        if 2 * size <= w:
+            v = v[:-size] * W.U64(times) + v[size:]
+        times, size = times * times % (1 << 64), 2 * size
+    return W.mix(out)
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -237,20 +285,27 @@ def _verified(pairs: DataFrame) -> DataFrame:
                 for k in range(part.num_rows):
                     x, has = _dense(col["starts"][k].as_py(), col["sizes"][k].as_py(), col["hashes"][k].values.to_numpy())
                     y, had = _dense(col["starts_0"][k].as_py(), col["sizes_0"][k].as_py(), col["hashes_0"][k].values.to_numpy())
-                    hit = np.zeros(len(x), dtype=bool)
-                    at = [col["places"][k].values.field(f).to_numpy() for f in range(4)]
+                    later, passages = col["doc"][k].as_py() > col["keeper"][k].as_py(), []
+                    d_, c_, left, right = (col["places"][k].values.field(f).to_numpy() for f in range(4))
                     starts = []
-                    for d in np.unique(at[0]).tolist():
-                        same = np.zeros(len(x), dtype=bool)
-                        lo, hi = max(0, -d), min(len(x), len(y) - d)
-                        if hi > lo:
-                            same[lo:hi] = (x[lo:hi] == y[lo + d : hi + d]) & has[lo:hi] & had[lo + d : hi + d]
-                        hit |= same
-                        starts.append(_unheld(same, *(v[at[0] == d] for v in at[1:]), w))
+                    for d in np.unique(d_).tolist():
+                        on = d_ == d
+                        c, l, r = c_[on], left[on], right[on]
+                        # the diagonal as far as its windows reach, and BEYOND
+                        lo, hi = max(0, int((c - l).min()) - BEYOND), min(len(x), int((c + r).max()) + 1 + BEYOND)
+                        same = np.zeros(hi - lo, dtype=bool)
+                        p, q = max(lo, -d), min(hi, len(y) - d)
+                        if q > p:
+                            same[p - lo : q - lo] = (x[p:q] == y[p + d : q + d]) & has[p:q] & had[p + d : q + d]
+                        if later:
+                            first = max(0, lo + d - BAND)
+                            past = max(first, hi + d + BAND)
+                            passages += [(s + lo, e + lo) for s, e in matched_passages(_near(same, lo + d - first, x[lo:hi], has[lo:hi], y[first:past], had[first:past]))]
+                        starts.append(_unheld(same, c - lo, l, r, w) + lo)
                     start = np.unique(np.concatenate(starts))
                     rest.append(_run_hashes(x, start, w))
                     sizes.append(start)
-                    spans.append([{"start": a, "end": z} for a, z in matched_passages(hit)] if col["doc"][k].as_py() > col["keeper"][k].as_py() else [])
+                    spans.append([{"start": a, "end": z} for a, z in sorted(set(passages))])
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(v) for v in sizes])]), pa.int32())
                 opened = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(np.concatenate(rest).view(np.int64)), pa.array(np.concatenate(sizes), pa.int32())], names=["run", "start"]))
                 yield pa.RecordBatch.from_arrays([col["doc"], col["tag"], col["keeper"], pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), opened], names=["doc", "tag", "keeper", "spans", "open"])

@@ -93,6 +93,34 @@ def test_a_passage_is_found_that_the_smallest_document_holds_in_part(spark):
     assert got == {3 * k + 2: ([3 * k + 1], [(0, 50)]) for k in range(12)} | {101: ([100], [(30, 80)])}
 
 
+def test_near_passages_of_50_to_100_words(spark):
+    r, texts, want = random.Random(8), [], {}
+    shingled = lambda ws: {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+    while len(want) < 120:
+        k = len(want)
+        p = prose(20_000 + r.randrange(10**6), r.randint(50, 100)).split()
+        q, edits = list(p), r.randint(1, 2)
+        for _ in range(edits):
+            i = r.randrange(5, len(q) - 5) if k >= 20 or edits > 1 else len(q) // 2
+            q[i : i + r.randint(0, 1)] = [f"other{r.randrange(10**6)}"] * r.randint(0, 1)
+        a, b = shingled(p), shingled(q)
+        if len(q) < 50 or q == p or len(a & b) < 0.8 * len(a | b):
+            continue
+        before = prose(30_000_000 + k, r.randint(1, 60))
+        texts += [(2 * k, " ".join([prose(40_000_000 + k, r.randint(1, 60)), *p, prose(50_000_000 + k, 20)]), "en"), (2 * k + 1, " ".join([before, *q, prose(60_000_000 + k, 20)]), "en")]
+        want[2 * k + 1] = (len(before.split()), len(before.split()) + len(q))
+    got = {r.doc: (r.keepers, [(s.start, s.end) for s in r.spans]) for r in passages.duplicate_passages(spark.createDataFrame(rows(texts), SCHEMA)).collect()}
+    assert {d for d, (s, e) in want.items() if got.get(d) != ([d - 1], [(s, e)])} == set()
+
+
+def test_runs_are_joined_without_a_greedy_start():
+    at = np.full(100, -1)
+    for a, z in ((10, 20), (23, 48), (53, 73)):
+        at[a:z] = np.arange(a, z)
+    assert passages.matched_passages(at) == [(23, 77)]
+    assert passages.matched_passages(np.where(np.arange(100) < 50, at, at + (at >= 0) * 12)) == []
+
+
 def test_compact_windows_are_maximal():
     r = np.random.default_rng(4)
     h = np.concatenate([[0], r.integers(1, 2**63, 400), [0], r.integers(1, 2**63, 30), [0]]).astype(np.uint64) << np.uint64(1)
