@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import companion_ratio, text_ratio
+from ..functions.similarity import companion_ratio, metric_ratio, tags_ratio, text_ratio
 from ..ship import ship
 
 # Words that are no part of a company's name.
@@ -66,7 +66,8 @@ def similar_events(df: DataFrame, hours: int = 48) -> DataFrame:
     """Pairs (a, b) of rows that report one event, by the rule table.
 
     Reads seq, published_at, url_key, title, title_zh, summary, category,
-    markets, companies, subjects (folded tags), kinds, key_parts, blocks.  Cheap
+    markets, companies, subjects (folded tags; or products, ingredients and
+    technologies, each held against its own), kinds, key_parts, blocks.  Cheap
     column tests come before the Arrow ratios, which see candidates only.
     """
     ship(df.sparkSession)
@@ -74,16 +75,25 @@ def similar_events(df: DataFrame, hours: int = 48) -> DataFrame:
     left, right = (df.select(*(F.col(c).alias(f"{c}_{s}") for c in df.columns)) for s in "ab")
     p = candidates(df, hours).join(left, F.col("a") == F.col("seq_a")).join(right, F.col("b") == F.col("seq_b"))
     both = lambda c: F.arrays_overlap(F.col(f"{c}_a"), F.col(f"{c}_b"))
+    groups = [c for c in ("subjects", "products", "ingredients", "technologies") if c in df.columns]
+    subject = F.lit(False)
+    for c in groups:
+        x, y = F.col(f"{c}_a"), F.col(f"{c}_b")
+        subject = subject | tags_overlap(x, y) | (F.col(f"{c}_ratio") >= 0.65)
+        p = p.withColumn(f"{c}_ratio", tags_ratio(x, y))
+    words = lambda s: F.concat_ws(" ", *(F.nullif(f"{c}_{s}", F.lit("")) for c in ("title", "title_zh", "summary")))
     p = p.select(
+        words("a").alias("words_a"), words("b").alias("words_b"), both("kinds").alias("kind"), (F.abs(F.unix_timestamp("published_at_a") - F.unix_timestamp("published_at_b")) > 48 * 3600).alias("late"),
         "a", "b", "summary_a", "summary_b", "title_a", "title_b",
         F.array_compact(F.array("title_a", "title_zh_a")).alias("titles_a"), F.array_compact(F.array("title_b", "title_zh_b")).alias("titles_b"),
         F.coalesce(F.nullif("title_zh_a", F.lit("")), "title_a").alias("pref_a"), F.coalesce(F.nullif("title_zh_b", F.lit("")), "title_b").alias("pref_b"),
-        both("markets").alias("market"), (F.col("category_a") == F.col("category_b")).alias("category"), tags_overlap(F.col("companies_a"), F.col("companies_b")).alias("company"), tags_overlap(F.col("subjects_a"), F.col("subjects_b")).alias("subject"), tags_overlap(F.col("key_parts_a"), F.col("key_parts_b")).alias("key_part"),
+        both("markets").alias("market"), (F.col("category_a") == F.col("category_b")).alias("category"), tags_overlap(F.col("companies_a"), F.col("companies_b")).alias("company"), subject.alias("subject"), tags_overlap(F.col("key_parts_a"), F.col("key_parts_b")).alias("key_part"),
         ((F.size("kinds_a") == 0) | (F.size("kinds_b") == 0) | both("kinds")).alias("compatible"),
     )
-    r = p.withColumn("title", companion_ratio(F.col("titles_a"), F.col("titles_b"))).withColumn("pref", text_ratio("pref_a", "pref_b")).withColumn("text", text_ratio("summary_a", "summary_b"))
+    r = p.withColumn("title", companion_ratio(F.col("titles_a"), F.col("titles_b"))).withColumn("pref", text_ratio("pref_a", "pref_b")).withColumn("text", text_ratio("summary_a", "summary_b")).withColumn("metric", metric_ratio("words_a", "words_b"))
     rules = (
         "title >= 0.9 or (company and subject and compatible and pref >= 0.4) or (company and subject and key_part and compatible and pref >= 0.25)"
+        " or (company and market and category and kind and metric >= 0.2 and (subject or metric >= 0.45) and pref >= if(late, 0.45, 0.2))"
         " or (company and market and category and compatible and text >= 0.6 and pref >= 0.35) or (market and subject and compatible and pref >= 0.45)"
     )
     return r.where(rules).select("a", "b").union(same).distinct()

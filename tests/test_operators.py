@@ -252,3 +252,16 @@ def test_safe_addresses(spark):
     rows = [("https://e.com/x", True), ("http://192.168.1.1/", False), ("https://127.0.0.1", False), ("https://[::1]/", False), ("https://172.20.0.1/", False), ("https://8.8.8.8/", True), ("https://a.localhost/", False), ("https://u@e.com/", False), ("file:///etc/passwd", False)]
     df = spark.createDataFrame(rows, "url string, want boolean")
     assert [r.url for r in df.where(urls.is_safe(F.col("url")) != F.col("want")).collect()] == []
+
+
+def test_events_by_metric_context_and_fuzzy_subjects(spark):
+    row = "seq long, published_at timestamp, url_key string, title string, title_zh string, summary string, category string, markets array<string>, companies array<string>, subjects array<string>, kinds array<string>, key_parts array<string>, blocks array<string>"
+    at = "2024-01-01 00:00:00"
+    data = [
+        (1, "Acme posts sales", "Acme group revenue rose 12.50% in the year", "c", ["US"], ["acme"], ["milk"], ["financial_performance"], ["m"]),
+        (2, "Acme reports year", "after a hard spring for all of its mills and farms, revenue rose 12.5％ in the year; costs and debts are to be told in June", "c", ["US"], ["acme"], ["grain"], ["financial_performance"], ["m"]),
+        (3, "New yogurt drink is out", "a", "c", ["JP"], ["x1"], ["yoghurts"], ["launch"], ["s"]),
+        (4, "New drinks out of yogurt", "b", "d", ["JP"], ["y2"], ["yogurtz"], ["launch"], ["s"]),
+    ]
+    df = spark.createDataFrame([(i, at, f"u{i}", t, None, x, c, m, co, su, k, [], b) for i, t, x, c, m, co, su, k, b in data], row.replace("timestamp", "string")).withColumn("published_at", F.to_timestamp("published_at"))
+    assert {(r.a, r.b) for r in clusters.similar_events(df).collect()} == {(1, 2), (3, 4)}
