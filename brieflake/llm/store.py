@@ -25,25 +25,68 @@ def shared_dir(spark: SparkSession) -> str:
     return checkpoint_dir(spark)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def new_dir(spark: SparkSession, kind: str) -> str:
     """A path under the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, kind: str) -> DataFrame:
-    """df, written as Parquet under the shared folder and read back."""
+#: Shuffle files go when the execution that wrote them ends, not when the driver happens to collect its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    path = new_dir(spark, kind)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """df, written as Parquet under the shared folder and read back.  What comes back doesn't hang on df's inputs."""
+    return _write(df, new_dir(df.sparkSession, kind))
+
+
+class Scratch:
+    """Tables under the shared folder that an operator writes, reads and deletes.
+
+    Each is Parquet in reliable storage, so a lost executor costs tasks and no
+    tables.  ``drop`` deletes those whose last reader is done, ``close`` all.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, kind: str) -> DataFrame:
+        path = new_dir(self.spark, kind)
+        self.paths[path] = None
+        out = _write(df, path)
+        self.paths[path] = out
+        return out
+
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        del self.paths[path]
+
+    def drop(self, *tables: DataFrame) -> None:
+        for path in [p for p, t in self.paths.items() if any(t is x for x in tables)]:
+            self._delete(path)
+
+    def close(self) -> None:
+        for path in list(self.paths):
+            self._delete(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+
 def limit_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -56,6 +99,17 @@ def arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until docs has no such column (Spark's names don't tell cases apart)."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def retexted(docs: DataFrame, change: Callable[..., pa.Array], *more: str) -> DataFrame:
     """docs with other texts where ``change`` (texts, and the columns ``more``) gives one that isn't null; n_chars follows, if docs has it.
 
@@ -64,9 +118,7 @@ def retexted(docs: DataFrame, change: Callable[..., pa.Array], *more: str) -> Da
     ship(docs.sparkSession)
     limit_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in more]
-    f, new_text = F.arrow_udf(change, StringType()).asNondeterministic(), "_changed"
-    while new_text in names:
-        new_text += "_"
+    f, (new_text,) = F.arrow_udf(change, StringType()).asNondeterministic(), free_names(docs, "_changed")
     out = docs.select(*(F.col(f"`{c}`") for c in names), f("text", *more).alias(new_text))
     text = F.coalesce(new_text, "text")
     new = {"text": text.alias("text")}
