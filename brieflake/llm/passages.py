@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .split import forget
-from .store import arrow, cut, retexted, table, written
+from .store import Scratch, arrow, free_names, retexted, table, written
 
 SHINGLE, LENGTH, PERCENT = 5, 50, 80
 #: Places that an exact run has in any two passages as alike as PERCENT: with S places in both, at most S / 9 of them differ, and a gap takes 9 of these.
@@ -183,60 +183,71 @@ def _slices(docs: DataFrame, asked: DataFrame) -> DataFrame:
     return arrow(rows, run, "doc long, tag long, starts array<int>, sizes array<int>, hashes array<int>")
 
 
-def _dense(starts: list[int], sizes: list[int], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles at their places, and where they are known."""
-    out = np.zeros(max(a + n for a, n in zip(starts, sizes, strict=True)), dtype=np.int32)
-    known = np.zeros(len(out), dtype=bool)
-    at = 0
-    for a, n in zip(starts, sizes, strict=True):
-        out[a : a + n] = hashes[at : at + n]
-        known[a : a + n] = True
-        at += n
-    return out, known
+def _laid(starts: pa.ListArray, sizes: pa.ListArray, hashes: pa.ListArray, unknown: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles of all rows at their places in one array, ``unknown`` between them, with where each row begins and its length; rows are more than 2 * BAND apart."""
+    off = starts.offsets.to_numpy()
+    s, z = (c.values.to_numpy()[off[0] : off[-1]].astype(np.int64) for c in (starts, sizes))
+    owner = np.repeat(np.arange(len(starts)), np.diff(off))
+    length = np.zeros(len(starts), dtype=np.int64)
+    np.maximum.at(length, owner, s + z)
+    begin = np.cumsum(length + 2 * BAND + 1) - length
+    out = np.full(int(length.sum()) + (2 * BAND + 1) * (len(starts) + 1), unknown, dtype=np.int64)
+    at = hashes.offsets.to_numpy()
+    out[_ranges(begin[owner] + s, z)] = hashes.values.to_numpy()[at[0] : at[-1]].view(np.uint32)
+    return out, begin, length
 
 
-def matched_passages(at: np.ndarray) -> list[tuple[int, int]]:
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each range, one range after the other."""
+    return np.arange(int(size.sum())) + np.repeat(start - np.cumsum(size) + size, size)
+
+
+def matched_passages(at: np.ndarray, part: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Ranges of words, end excluded, of the passages that the matched shingles make.
 
-    at: each shingle's place in the other document, -1 if it has none.  Of the
-    stretches from a run to another that are as alike as PERCENT, each is within
-    the longest one that ends with the same run: the one from the first run whose
-    balance before it is no more than the balance at the end.
+    at: each shingle's place in the other document, -1 if it has none; part: which
+    strip each belongs to, in order.  Of the stretches from a run to another that
+    are as alike as PERCENT, each is within the longest one that ends with the same
+    run: the one from the first run whose balance before it is no more than the
+    balance at the end.
     """
     hit = np.flatnonzero(at >= 0)
     if not len(hit):
         return []
-    cut = np.flatnonzero((hit[1:] != hit[:-1] + 1) | (at[hit[1:]] != at[hit[:-1]] + 1))
-    a, z = hit[np.concatenate([[0], cut + 1])], hit[np.concatenate([cut, [len(hit) - 1]])] + 1
+    of = np.zeros(len(hit), dtype=np.int64) if part is None else part[hit].astype(np.int64)
+    cut = np.flatnonzero((hit[1:] != hit[:-1] + 1) | (at[hit[1:]] != at[hit[:-1]] + 1) | (of[1:] != of[:-1]))
+    begins, ends = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(hit) - 1]])
+    a, z, of = hit[begins], hit[ends] + 1, of[begins]
     done = np.cumsum(z - a)
-    end = (100 + PERCENT) * done - PERCENT * (z + at[z - 1] + 1)
-    begin = (100 + PERCENT) * (done - (z - a)) - PERCENT * (a + at[a])
+    # each strip's balances lie below those of the strip before
+    end = (100 + PERCENT) * done - PERCENT * (z + at[z - 1] + 1) - (of << 40)
+    begin = (100 + PERCENT) * (done - (z - a)) - PERCENT * (a + at[a]) - (of << 40)
     first = a[np.searchsorted(-np.minimum.accumulate(begin), -end)]
     last = z + SHINGLE - 1
     long = last - first >= LENGTH
     out: list[tuple[int, int]] = []
-    for f, t in zip(first[long].tolist(), last[long].tolist(), strict=True):
-        while out and f <= out[-1][1]:
+    strip, since = -1, 0
+    for f, t, s in zip(first[long].tolist(), last[long].tolist(), of[long].tolist(), strict=True):
+        if s != strip:
+            strip, since = s, len(out)
+        while len(out) > since and f <= out[-1][1]:
             f = min(f, out.pop()[0])
         out.append((f, t))
     return out
 
 
-def _near(same: np.ndarray, d: int, x: np.ndarray, has: np.ndarray, y: np.ndarray, had: np.ndarray) -> np.ndarray:
-    """Each shingle's place in y: on the diagonal, else the first or last that y has if that is within BAND of it; -1 if none."""
-    at = np.where(same, np.arange(len(x)) + d, -1)
-    todo = np.flatnonzero(has & ~same)
-    order = np.flatnonzero(had) if len(todo) else todo
-    if len(order):
-        order = order[np.argsort(y[order], kind="stable")]
-        sorted_y = y[order]
-        for right in (False, True):
-            k = np.searchsorted(sorted_y, x[todo], side="right" if right else "left") - right
-            k = np.clip(k, 0, len(order) - 1)
-            j = order[k]
-            ok = (sorted_y[k] == x[todo]) & (np.abs(j - todo - d) <= BAND) & (at[todo] < 0)
-            at[todo[ok]] = j[ok]
-    return at
+def _near(x: np.ndarray, target: np.ndarray, y_keys: np.ndarray) -> np.ndarray:
+    """For each shingle, the place nearest its target that y has it at, -1 if none is within BAND; y_keys: y's shingles with their places, sorted."""
+    k = np.searchsorted(y_keys, (x << 31) | np.maximum(target, 0))
+    best = np.full(len(x), -1, dtype=np.int64)
+    gap = np.full(len(x), BAND + 1, dtype=np.int64)
+    for at in (k - 1, k):
+        key = y_keys[np.clip(at, 0, len(y_keys) - 1)]
+        place = key & 0x7FFFFFFF
+        off = np.abs(place - target)
+        ok = (key >> 31 == x) & (off < gap)
+        best, gap = np.where(ok, place, best), np.where(ok, off, gap)
+    return best
 
 
 def _unheld(same: np.ndarray, c: np.ndarray, left: np.ndarray, right: np.ndarray, w: int) -> np.ndarray:
@@ -248,8 +259,7 @@ def _unheld(same: np.ndarray, c: np.ndarray, left: np.ndarray, right: np.ndarray
     lo, hi = lo[ok], hi[ok]
     some = bad[hi + 1] > bad[lo]
     lo, hi = lo[some], hi[some]
-    size = hi - lo + 1
-    start = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+    start = _ranges(lo, hi - lo + 1)
     return start[bad[start + 1] > bad[start]]
 
 
@@ -258,7 +268,7 @@ def _run_hashes(x: np.ndarray, start: np.ndarray, w: int) -> np.ndarray:
     if not len(start):
         return np.zeros(0, dtype=W.U64)
     lo = int(start.min())
-    v = W.mix(x[lo : int(start.max()) + w].view(np.uint32).astype(W.U64) + W.U64(1))
+    v = W.mix(x[lo : int(start.max()) + w].astype(W.U64) + W.U64(1))
     # sums of v times powers of a number, over 1, 2, 4, ... places; w is put together from them
     times, size, out, done = 0xD1342543DE82EF95, 1, np.zeros(len(start), dtype=W.U64), 0
     at = start - lo
@@ -272,67 +282,105 @@ def _run_hashes(x: np.ndarray, start: np.ndarray, w: int) -> np.ndarray:
     return W.mix(out)
 
 
+#: Shingles that verification lays out at once, but for a single pair's or strip's.
+LAID = 1 << 20
+
+
+def _compared(part: pa.RecordBatch) -> tuple[list, pa.ListArray]:
+    """Of each pair, its passages and the runs left open: all its strips (diagonals with shared places) are laid end to end and compared at once."""
+    w, n = LENGTH - SHINGLE + 1, part.num_rows
+    x, x_at, x_len = _laid(part.column("starts"), part.column("sizes"), part.column("hashes"), -1)
+    y, y_at, y_len = _laid(part.column("starts_0"), part.column("sizes_0"), part.column("hashes_0"), -2)
+    later = part.column("doc").to_numpy() > part.column("keeper").to_numpy()
+    have = np.flatnonzero(y >= 0)
+    y_keys = np.sort((y[have] << 31) | have)
+    off = part.column("places").offsets.to_numpy()
+    d, c, left, right = (part.column("places").values.field(f).to_numpy()[off[0] : off[-1]].astype(np.int64) for f in range(4))
+    pair = np.repeat(np.arange(n), np.diff(off))
+    order = np.lexsort((d, pair))
+    d, c, left, right, pair = d[order], c[order], left[order], right[order], pair[order]
+    first = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (d[1:] != d[:-1])]))
+    strip = np.cumsum(np.isin(np.arange(len(d)), first, assume_unique=True)) - 1
+    of, slant = pair[first], d[first]
+    # a diagonal as far as its windows reach, and BEYOND
+    lo = np.maximum(0, np.minimum.reduceat(c - left, first) - BEYOND)
+    hi = np.minimum(x_len[of], np.maximum.reduceat(c + right, first) + 1 + BEYOND)
+    passages: list[list] = [[] for _ in range(n)]
+    opened = []
+    for u, v in W.spans(np.concatenate([[0], np.cumsum(hi - lo)]), LAID):
+        size = hi[u:v] - lo[u:v]
+        here = np.repeat(np.arange(u, v), size)
+        place = _ranges(lo[u:v], size)
+        xs = x[place + x_at[of[here]]]
+        across = place + slant[here]
+        inside = (across >= 0) & (across < y_len[of[here]])
+        target = across + y_at[of[here]]
+        same = inside & (xs == y[np.where(inside, target, 0)])
+        base = np.cumsum(size) - size - lo[u:v]
+        mine = slice(*np.searchsorted(strip, [u, v]))
+        start = _unheld(same, c[mine] + base[strip[mine] - u], left[mine], right[mine], w)
+        opened.append((of[here[start]] << 32) | place[start])
+        todo = np.flatnonzero(later[of[here]] & ~same & (xs >= 0)) if len(y_keys) else have
+        at = np.where(same & later[of[here]], across, -1)
+        near = _near(xs[todo], target[todo], y_keys)
+        near -= y_at[of[here[todo]]]
+        at[todo] = np.where((near >= 0) & (near < y_len[of[here[todo]]]), near, -1)
+        for s, e in matched_passages(at, here):
+            k = here[s]
+            passages[of[k]].append((int(s - base[k - u]), int(e - base[k - u])))
+    got = np.unique(np.concatenate(opened)) if opened else np.zeros(0, dtype=np.int64)
+    start, owner = got & 0xFFFFFFFF, got >> 32
+    runs = pa.StructArray.from_arrays([pa.array(_run_hashes(x, start + x_at[owner], w).view(np.int64)), pa.array(start, pa.int32())], names=["run", "start"])
+    return passages, pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), runs)
+
+
 def _verified(pairs: DataFrame) -> DataFrame:
     """(doc, tag, keeper, spans, open) of pairs with both slices and their shared places; open: hash and start of the runs of LENGTH words about a shared place that the keeper doesn't hold there."""
 
+    def reach(starts: pa.ListArray, sizes: pa.ListArray) -> np.ndarray:
+        return np.array([a[-1] + z[-1] if a else 0 for a, z in zip(starts.to_pylist(), sizes.to_pylist(), strict=True)], dtype=np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = LENGTH - SHINGLE + 1
+        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for b in batches:
-            for i in range(0, b.num_rows, 50):
-                part = b.slice(i, 50)
-                col = {n: part.column(n) for n in part.schema.names}
-                spans, rest, sizes = [], [], []
-                for k in range(part.num_rows):
-                    x, has = _dense(col["starts"][k].as_py(), col["sizes"][k].as_py(), col["hashes"][k].values.to_numpy())
-                    y, had = _dense(col["starts_0"][k].as_py(), col["sizes_0"][k].as_py(), col["hashes_0"][k].values.to_numpy())
-                    later, passages = col["doc"][k].as_py() > col["keeper"][k].as_py(), []
-                    d_, c_, left, right = (col["places"][k].values.field(f).to_numpy() for f in range(4))
-                    starts = []
-                    for d in np.unique(d_).tolist():
-                        on = d_ == d
-                        c, l, r = c_[on], left[on], right[on]
-                        # the diagonal as far as its windows reach, and BEYOND
-                        lo, hi = max(0, int((c - l).min()) - BEYOND), min(len(x), int((c + r).max()) + 1 + BEYOND)
-                        same = np.zeros(hi - lo, dtype=bool)
-                        p, q = max(lo, -d), min(hi, len(y) - d)
-                        if q > p:
-                            same[p - lo : q - lo] = (x[p:q] == y[p + d : q + d]) & has[p:q] & had[p + d : q + d]
-                        if later:
-                            first = max(0, lo + d - BAND)
-                            past = max(first, hi + d + BAND)
-                            passages += [(s + lo, e + lo) for s, e in matched_passages(_near(same, lo + d - first, x[lo:hi], has[lo:hi], y[first:past], had[first:past]))]
-                        starts.append(_unheld(same, c - lo, l, r, w) + lo)
-                    start = np.unique(np.concatenate(starts))
-                    rest.append(_run_hashes(x, start, w))
-                    sizes.append(start)
-                    spans.append([{"start": a, "end": z} for a, z in sorted(set(passages))])
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(v) for v in sizes])]), pa.int32())
-                opened = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(np.concatenate(rest).view(np.int64)), pa.array(np.concatenate(sizes), pa.int32())], names=["run", "start"]))
-                yield pa.RecordBatch.from_arrays([col["doc"], col["tag"], col["keeper"], pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), opened], names=["doc", "tag", "keeper", "spans", "open"])
+            size = reach(b.column("starts"), b.column("sizes")) + reach(b.column("starts_0"), b.column("sizes_0"))
+            for u, v in W.spans(np.concatenate([[0], np.cumsum(size)]), LAID):
+                part = b.slice(u, v - u)
+                passages, opened = _compared(part)
+                spans = pa.array([[{"start": s, "end": e} for s, e in sorted(set(p))] for p in passages], span)
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("tag"), part.column("keeper"), spans, opened], names=["doc", "tag", "keeper", "spans", "open"])
 
     return arrow(pairs, run, "doc long, tag long, keeper long, spans array<struct<start:int,end:int>>, open array<struct<run:long,start:int>>").where("size(spans) > 0 or size(open) > 0")
 
 
 def duplicate_passages(docs: DataFrame) -> DataFrame:
     """(doc, tag, keepers, spans) for the documents that repeat passages of smaller ones: the spans in words, merged and in order."""
-    first = _windows(docs, whole=False).groupBy("key").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last")).where("keeper < last").select("key", "keeper")
-    met = written(_windows(docs, whole=True).join(first, "key"), "windows")
+    with Scratch(docs.sparkSession) as to:
+        return written(_duplicates(docs, to), "passages")
+
+
+def _duplicates(docs: DataFrame, to: Scratch) -> DataFrame:
+    # what a hot key is joined to is written first, so that both sides are plain exchanges, and a skewed join is split
+    first = to.keep(_windows(docs, whole=False).groupBy("key").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last")).where("keeper < last").select("key", "keeper"), "keys")
+    met = to.keep(_windows(docs, whole=True).join(first, "key"), "windows")
+    to.drop(first)
     low = 0x7FFFFFFF
-    met = met.select("key", "doc", "keeper", F.col("place").bitwiseAND(low).alias("tag"), F.shiftright("place", 31).cast("int").alias("c"), F.shiftright("extent", 31).cast("int").alias("left"), F.col("extent").bitwiseAND(low).cast("int").alias("right"))
-    best = met.where("doc = keeper").groupBy("key").agg(F.min(F.struct("tag", "c", "left", "right")).alias("k"))
+    placed = met.select("key", "doc", "keeper", F.col("place").bitwiseAND(low).alias("tag"), F.shiftright("place", 31).cast("int").alias("c"), F.shiftright("extent", 31).cast("int").alias("left"), F.col("extent").bitwiseAND(low).cast("int").alias("right"))
+    best = to.keep(placed.where("doc = keeper").groupBy("key").agg(F.min(F.struct("tag", "c", "left", "right")).alias("k")), "best")
     # all but the keeper's one place; its other places and narrow overlaps may hold what others repeat
-    pairs = met.join(best, "key").where("not (doc = keeper and tag = k.tag and c = k.c)")
-    pairs = written(pairs.select("doc", "tag", "c", "left", "right", "keeper", F.col("k.tag").alias("tag_0"), F.col("k.c").alias("c_0"), F.col("k.left").alias("left_0"), F.col("k.right").alias("right_0")), "pairs")
+    pairs = placed.join(best, "key").where("not (doc = keeper and tag = k.tag and c = k.c)")
+    pairs = to.keep(pairs.select("doc", "tag", "c", "left", "right", "keeper", F.col("k.tag").alias("tag_0"), F.col("k.c").alias("c_0"), F.col("k.left").alias("left_0"), F.col("k.right").alias("right_0")), "pairs")
+    to.drop(met, best)
     span = F.struct(F.expr("c - left").alias("l"), F.expr("c + right").alias("r"))
     theirs = pairs.select(F.col("keeper").alias("doc"), F.col("tag_0").alias("tag"), F.struct(F.expr("c_0 - left_0").alias("l"), F.expr("c_0 + right_0").alias("r")).alias("x")).distinct()
     asked = pairs.select("doc", "tag", span.alias("x")).distinct().union(theirs).groupBy("doc", "tag").agg(F.collect_set("x").alias("ranges"))
-    slices = written(_slices(docs, asked), "slices")
+    slices = to.keep(_slices(docs, asked), "slices")
     groups = pairs.groupBy("doc", "tag", "keeper", "tag_0").agg(F.collect_set(F.struct(F.expr("c_0 - c").alias("d"), "c", "left", "right")).alias("places"))
     rows = groups.join(slices, ["doc", "tag"]).join(slices.toDF("keeper", "tag_0", "starts_0", "sizes_0", "hashes_0"), ["keeper", "tag_0"])
-    found = _verified(rows.select("doc", "tag", "keeper", "places", "starts", "sizes", "hashes", "starts_0", "sizes_0", "hashes_0"))
-    found = written(found, "found")
+    found = to.keep(_verified(rows.select("doc", "tag", "keeper", "places", "starts", "sizes", "hashes", "starts_0", "sizes_0", "hashes_0")), "found")
+    to.drop(pairs, slices)
     opened = found.select("doc", "tag", F.inline("open")).distinct()
-    held = opened.groupBy("run").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last")).where("keeper < last").select("run", "keeper")
+    held = to.keep(opened.groupBy("run").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last")).where("keeper < last").select("run", "keeper"), "held")
     more = opened.join(held, "run").where("doc > keeper").select("doc", "tag", "keeper", F.array(F.struct("start", (F.col("start") + LENGTH).alias("end"))).alias("spans"))
     found = found.where("size(spans) > 0").select("doc", "tag", "keeper", "spans").union(more)
     return found.groupBy("doc", "tag").agg(F.sort_array(F.collect_set("keeper")).alias("keepers"), _merged(F.sort_array(F.flatten(F.collect_list("spans")))).alias("spans"))
@@ -352,9 +400,10 @@ def _merged(spans: Column) -> Column:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with every duplicate passage cut out of its text, but for the smallest document's; n_chars follows, if docs has it."""
-    spans = duplicate_passages(docs).select(F.col("doc").alias("dup_doc"), F.col("tag").alias("dup_tag"), F.col("spans").alias("dup_spans"))
-    rows = docs.join(spans, (F.col("doc_id").cast("long") == F.col("dup_doc")) & (_tag() == F.col("dup_tag")), "left").drop("dup_doc", "dup_tag")
+    """docs with every duplicate passage cut out of its text, but for the smallest document's; n_chars follows, if docs has it.  Extra columns may have any names."""
+    doc, tag, dup = free_names(docs, "dup_doc", "dup_tag", "dup_spans")
+    spans = duplicate_passages(docs).select(F.col("doc").alias(doc), F.col("tag").alias(tag), F.col("spans").alias(dup))
+    rows = docs.join(spans, (F.col("doc_id").cast("long") == F.col(doc)) & (_tag() == F.col(tag)), "left").drop(doc, tag)
 
     def change(texts: pa.Array, spans: pa.Array) -> pa.Array:
         out = [None] * len(texts)
@@ -367,21 +416,17 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 out[i] = (b"".join(parts) + w.data[at:].tobytes()).decode()
         return pa.array(out, pa.string())
 
-    return retexted(rows, change, "dup_spans")
+    return retexted(rows, change, dup)
 
 
 def _word_counts(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = [len(t.encode().split()) if t else 0 for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["doc_id", "tag", "n_words"])
-
-    return arrow(docs.select(F.col("doc_id").cast("long"), _tag(), "text"), run, "doc_id long, tag long, n_words long")
+    n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^ \t-\r]+"))
+    return docs.select(F.col("doc_id").cast("long"), _tag().alias("tag"), n.cast("long").alias("n_words"))
 
 
 def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = cut(duplicate_passages(docs)).withColumnRenamed("doc", "doc_id")
+    found = duplicate_passages(docs).withColumnRenamed("doc", "doc_id")
     dup = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
     none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
     return _word_counts(docs).join(found, ["doc_id", "tag"], "left").select("doc_id", "n_words", F.coalesce(dup, F.lit(0).cast("long")).alias("n_dup_words"), F.coalesce("keepers", F.expr("cast(array() as array<long>)")).alias("keepers"), F.coalesce("spans", none).alias("spans"))
