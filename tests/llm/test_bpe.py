@@ -90,7 +90,6 @@ def test_token_files(spark, docs, tmp_path):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(token_files.TOKENIZER)
-    tk.encode_special_tokens = True
     folder = str(tmp_path / "ids")
     manifest = token_files.write(docs, folder, shards=3)
     assert sum(s["docs"] for s in manifest) == len(edge_texts()) and len(manifest) > 1
@@ -110,9 +109,33 @@ def test_token_files(spark, docs, tmp_path):
     assert token_files.lookup(folder, 424242) == []
 
 
-def test_special_strings_are_ordinary_text():
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.one_of(TEXT, st.just("<|endoftext|>"), st.just("<|endof")), max_size=5).map("".join))
+def test_ids_are_the_librarys_own(text):
+    from tokenizers import Tokenizer
+
+    p = token_files.pieces(token_files.TOKENIZER, public_tokenizers.PATTERN)
+    assert np.frombuffer(p([text])[0], p.dtype).tolist() == Tokenizer.from_file(token_files.TOKENIZER).encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_are_found():
     p = token_files.pieces(token_files.TOKENIZER, public_tokenizers.PATTERN)
-    assert np.frombuffer(p(["a<|endoftext|>b"])[0], p.dtype).tolist() == token_counts.counter().encoding.encode_ordinary("a<|endoftext|>b")
+    assert np.frombuffer(p(["a<|endoftext|>b"])[0], p.dtype).tolist() == [64, 50256, 65]
+
+
+def test_a_look_up_reads_as_much_whatever_the_size(spark, tmp_path):
+    read = []
+    for n in (50, 20_000):
+        folder = str(tmp_path / str(n))
+        token_files.write(spark.range(n).selectExpr("id * 3 as doc_id", "concat('w', id) as text"), folder, shards=2)
+        files = token_files.Files(folder)
+        assert [len(x) for x in files[3 * (n - 1)]] and files[1] == []
+        files.read_bytes, want = 0, token_files.pieces(token_files.TOKENIZER, public_tokenizers.PATTERN)
+        for k in range(0, n, max(1, n // 40)):
+            (got,) = files[3 * k]
+            assert got.tolist() == [*np.frombuffer(want([f"w{k}"])[0], want.dtype).tolist(), 0]
+        read.append(files.read_bytes / len(range(0, n, max(1, n // 40))))
+    assert max(read) < 2000
 
 
 def test_perfect_hash():
