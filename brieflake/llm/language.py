@@ -9,13 +9,16 @@ weights fold into one matrix of places x languages, and a batch of texts is
 scored by one sparse presence matrix times that.
 
 Fitting takes about SAMPLE texts with a known language, in equal parts of each,
-and LANDMARKS of them.  Whole texts are read.  A text that is null or has no
-letter is ``und`` with score 0; so is every text if nothing can be learned.
-Rows may repeat; other columns don't matter.
+and LANDMARKS of them.  Whole texts are read, on the executors; a text reaches the
+driver as the 2**BITS bits of its n-grams, so what is collected is bounded by
+SAMPLE whatever the texts' length.  A text that is null or has no letter is
+``und`` with score 0; so is every text if nothing can be learned.  Rows may
+repeat; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -28,7 +31,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from ..ship import ship
 from .samples import fold, sample
 from .split import forget
-from .store import limit_batches, table
+from .store import arrow, free_names, limit_batches, table
 
 BITS = 17
 GRAMS = (2, 3, 4)
@@ -67,11 +70,9 @@ def present(text: str, flags: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(texts: list[str], langs: list[str]) -> Model:
-    """texts in a fixed order; the first of each language become landmarks."""
+def fit(sets: list[np.ndarray], langs: list[str]) -> Model:
+    """Places of texts in a fixed order; the first of each language become landmarks."""
     names = sorted(set(langs))
-    flags = np.zeros(1 << BITS, dtype=bool)
-    sets = [present(t, flags) for t in texts]
     marks = [i for lang in names for i in [k for k, x in enumerate(langs) if x == lang][: max(1, LANDMARKS // len(names))]]
     mark = np.zeros((1 << BITS, len(marks)), dtype=np.float32)
     for j, i in enumerate(marks):
@@ -81,7 +82,7 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     root = vectors / np.sqrt(np.maximum(values, 1e-6))  # K_mm ** -1/2, up to a rotation
     phi = k_nm @ root
     y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
-    coef = np.linalg.solve(phi.T @ phi + RIDGE * len(texts) / 100 * np.eye(phi.shape[1]), phi.T @ y)
+    coef = np.linalg.solve(phi.T @ phi + RIDGE * len(sets) / 100 * np.eye(phi.shape[1]), phi.T @ y)
     return Model(names, mark @ (root @ coef).astype(np.float32))
 
 
@@ -103,12 +104,30 @@ def score(model: Model, texts: list[str | None], flags: np.ndarray) -> tuple[lis
 def learn(docs: DataFrame) -> Model:
     """From the rows of docs (doc_id, text, lang) that have a language and a letter."""
     rows = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    got = sorted((r for r in sample(rows, "lang", SAMPLE, "doc_id").collect() if _LETTER.search(r["text"])), key=lambda r: (r["lang"], r["doc_id"], r["text"]))
-    return fit([r["text"] for r in got], [r["lang"] for r in got]) if got else Model([], np.zeros((0, 0)))
+    got = sorted(tuple(r) for r in _present(sample(rows, "lang", SAMPLE, "doc_id")).collect())  # of a bounded size
+    sets = [np.flatnonzero(np.unpackbits(np.frombuffer(r[2], np.uint8))).astype(np.int32) for r in got]
+    return fit(sets, [r[0] for r in got]) if got else Model([], np.zeros((0, 0)))
 
 
-def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and lang_score put on; columns of those names give way."""
+def _present(rows: DataFrame) -> DataFrame:
+    """lang, id and the places of each text that has a letter, as bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(1 << BITS, dtype=bool)
+        for b in batches:
+            out = []
+            for i, lang, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if _LETTER.search(text):
+                    bits = np.zeros(1 << BITS, dtype=bool)
+                    bits[present(text, flags)] = True
+                    out.append({"lang": lang, "id": i, "bits": np.packbits(bits).tobytes()})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("lang", pa.string()), ("id", pa.int64()), ("bits", pa.binary())]))
+
+    return arrow(rows.select(F.col("doc_id").cast("long"), "lang", "text"), run, "lang string, id long, bits binary")
+
+
+def identified(docs: DataFrame, model: Model, pred: str = "lang_pred", sure: str = "lang_score") -> DataFrame:
+    """docs with the columns ``pred`` and ``sure`` put on; columns of those names give way."""
     ship(docs.sparkSession)
     limit_batches(docs.sparkSession)
     got = docs.sparkSession.sparkContext.broadcast(model)
@@ -118,16 +137,16 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     def told(texts: pa.Array) -> pa.Array:
         forget()
         flags = np.zeros(1 << BITS, dtype=bool)
-        langs, sure = [], []
+        langs, scores = [], []
         for i in range(0, len(texts), 200):
             x, y = score(got.value, texts.slice(i, 200).to_pylist(), flags)
             langs += x
-            sure.append(y)
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(sure) if sure else np.zeros(0))], names=["lang", "sure"])
+            scores.append(y)
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=["lang", "sure"])
 
-    names = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
-    out = docs.select(*(F.col(f"`{c}`") for c in names), told.asNondeterministic()("text").alias("_told"))
-    return out.select(*(F.col(f"`{c}`") for c in names), F.col("_told.lang").alias("lang_pred"), F.col("_told.sure").alias("lang_score"))
+    names, (got_name,) = [c for c in docs.columns if c.lower() not in (pred.lower(), sure.lower())], free_names(docs, "_told")
+    out = docs.select(*(F.col(f"`{c}`") for c in names), told.asNondeterministic()("text").alias(got_name))
+    return out.select(*(F.col(f"`{c}`") for c in names), F.col(f"{got_name}.lang").alias(pred), F.col(f"{got_name}.sure").alias(sure))
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -146,5 +165,6 @@ SURE = 0.4
 
 def kept_languages(docs: DataFrame, sure: float = SURE) -> DataFrame:
     """docs whose language is known: not ``und`` and at least ``sure``."""
-    out = identified(docs, learn(training_rows(docs)))
-    return out.where(f"lang_pred <> '{UNKNOWN}' and lang_score >= {sure}").select(*(F.col(f"`{c}`") for c in docs.columns))
+    told, how = free_names(docs, "_lang", "_sure")
+    out = identified(docs, learn(training_rows(docs)), told, how)
+    return out.where(f"{told} <> '{UNKNOWN}' and {how} >= {sure}").select(*(F.col(f"`{c}`") for c in docs.columns))

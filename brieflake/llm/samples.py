@@ -16,9 +16,13 @@ def share(id_col: str) -> Column:
     return F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
 
 
+#: Values that a sample is dealt over at most; if there are more, the commonest.  A model is fitted on these alone.
+CLASSES = 1000
+
+
 def sample(rows: DataFrame, by: str, bound: int, id_col: str) -> DataFrame:
-    """About ``bound`` rows (all, if fewer) in equal parts of each value of ``by``, which has few values; chosen by a hash of the id."""
-    sizes = {r[by]: r["count"] for r in rows.groupBy(by).count().orderBy(F.desc("count"), by).limit(1000).collect()}
+    """About ``bound`` rows (all, if fewer) in equal parts of each value of ``by``, of up to CLASSES values; chosen by a hash of the id."""
+    sizes = {r[by]: r["count"] for r in rows.groupBy(by).count().orderBy(F.desc("count"), by).limit(CLASSES).collect()}
     if not sizes:
         return rows
     each = max(1, bound // len(sizes))
