@@ -17,7 +17,8 @@ highest-scoring ones.  A text's score is a logistic function of the best and the
 mean of its highest segment decisions.
 
 Fitting takes about SAMPLE labelled texts in equal parts of both labels,
-reweighted to their true shares.  A null, empty or wordless text has no segment
+reweighted to their true shares; fewer, in proportion, if together they have more
+than SAMPLE_BYTES.  Of each, its distinct segments reach the driver.  A null, empty or wordless text has no segment
 and gets the score of that.  With no labels every score is 0.5; with one kind of
 label it is that label's share.  Rows may repeat; other columns don't matter.
 """
@@ -38,7 +39,7 @@ from .samples import fold, sample
 from .split import Remembered
 from .store import arrow, table
 
-SAMPLE = 8000
+SAMPLE, SAMPLE_BYTES = 8000, 256 << 20
 ORDER, SPAN, DECAY = 4, 7, 0.7
 LANDMARKS = 384
 INSERTED = 16  # so many of the commonest toxic segments are also learned with a letter put in
@@ -191,16 +192,24 @@ def _stems(word: str) -> set[str]:
     return {word[:n] for n in range(ORDER + 1, min(len(word), 12) + 1)} | {word}
 
 
+def learnable(text: str | None) -> list[str]:
+    """A text's distinct normalised segments that are long enough to hold a subsequence."""
+    return sorted({s for s in map(normal, segments(text or "")) if len(s) > ORDER})
+
+
 def fit(texts: list[str], labels: list[int], weight: np.ndarray) -> Model:
-    """texts in a fixed order; weight: what each row counts for the calibration."""
+    return fit_segments([learnable(t) for t in texts], labels, weight)
+
+
+def fit_segments(words: list[list[str]], labels: list[int], weight: np.ndarray) -> Model:
+    """The segments of texts in a fixed order; weight: what each row counts for the calibration."""
     y = np.array(labels, dtype=np.float64)
     blank = Model(np.zeros(32**ORDER, dtype=np.float32), -1.0, (0.0, 0.0, 0.0))
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
         return blank._replace(weights=(float(np.log(share / (1 - share))), 0.0, 0.0))
     pool: dict[str, str] = {}  # one copy of each word, however many texts hold it
-    words = [sorted({pool.setdefault(s, s) for s in map(normal, segments(t)) if len(s) > ORDER}) for t in texts]
-    del texts
+    words = [[pool.setdefault(s, s) for s in ws] for ws in words]
     in_bad, in_good, stem_bad, stem_good = Counter(), Counter(), Counter(), Counter()
     for ws, v in zip(words, labels, strict=True):
         (in_bad if v else in_good).update(ws)
@@ -259,14 +268,25 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
     """From labels (doc_id, label 0/1) of docs (doc_id, text)."""
     rows = labels.where(f"{label} in (0, 1) and doc_id is not null").select("doc_id", F.col(label).cast("int").alias("y"))
     true = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    some = F.broadcast(sample(rows, "y", bound, "doc_id"))  # of a bounded size
-    got = sorted((r["doc_id"], r["y"], r["text"] or "") for r in docs.select("doc_id", "text").join(some, "doc_id").select("doc_id", "y", "text").collect())
+
+    def chosen(bound: int) -> DataFrame:
+        return docs.select("doc_id", "text").join(F.broadcast(sample(rows, "y", bound, "doc_id")), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text")  # of a bounded size
+
+    size = chosen(bound).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = chosen(bound if size <= SAMPLE_BYTES else max(1, bound * SAMPLE_BYTES // size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = pa.array([learnable(t) for t in b.column(2).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), words], names=["doc_id", "y", "words"])
+
+    got = sorted(tuple(r) for r in arrow(texts, run, "doc_id long, y int, words array<string>").collect())
     y = [r[1] for r in got]
     weight = np.ones(len(y))
     for v, n in true.items():
         if v in y:
             weight[np.array(y) == v] = n / y.count(v)
-    return fit([r[2] for r in got], y, weight / weight.mean() if len(y) else weight)
+    return fit_segments([r[2] for r in got], y, weight / weight.mean() if len(y) else weight)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
