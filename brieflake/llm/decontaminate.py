@@ -11,11 +11,12 @@ occurrences located by walking to sampled positions, and merged into spans.
 Words: runs of ASCII digits and letters (A-Z lower-cased) and of any non-ASCII
 characters.  A phrase is each run of ``window`` item words, or the whole item if
 it has fewer, but not none.  A null text or item has no words.  Repeated rows
-get a row each; items with one id count once.  An empty benchmark hits nothing.
+get a row each; items with one id count once, and all items without an id as one
+that has no name (null, last of a row's items).  An empty benchmark hits nothing.
 
-The benchmark is broadcast as integers; its size is checked against
-MAX_ITEM_WORDS, and larger ones are refused with advice to split them: spans of
-several calls may be united by document.
+The benchmark is broadcast as integers, about 50 bytes a word; its size is checked
+against MAX_CHARS first, and larger ones are refused with advice to split them:
+spans of several calls may be united by document.
 """
 
 from __future__ import annotations
@@ -36,34 +37,38 @@ from .store import arrow, retexted, table
 WINDOW = 10
 SHARD_BYTES = 4 << 20
 SAMPLE = 8
-MAX_ITEM_WORDS = 20_000_000
+MAX_CHARS = 12_000_000
 
 
 class Phrases(NamedTuple):
     vocab: np.ndarray  # sorted hashes of the benchmark's words; symbol = place + 2
-    symbols: np.ndarray  # phrases x window, padded at the end
+    symbols: np.ndarray  # phrases x window, padded with 0 at the end
     length: np.ndarray
     item_ptr: np.ndarray  # phrases + 1
-    items: np.ndarray  # item ids of each phrase, as strings
+    items: np.ndarray  # item ids of each phrase, as strings; None for null
     shortest: int
 
 
 def phrases(ids: list, texts: list[str | None], window: int = WINDOW) -> Phrases:
     """The distinct phrases of the benchmark and the items that hold each."""
-    rows: dict[tuple[int, ...], set[str]] = {}
     got = [(w.first + k, w.hashes[w.ptr[k] : w.ptr[k + 1]]) for w in W.words(pa.array(texts, pa.string()), W.ALNUM_WORDS) for k in range(len(w.ptr) - 1)]
     vocab = np.unique(np.concatenate([h for _, h in got])) if got else np.zeros(0, dtype=W.U64)
+    names = sorted({str(x) for x in ids if x is not None}) + [None]
+    number = {x: i for i, x in enumerate(names)}
+    parts, owner = [], []
     for k, h in got:
-        s = (np.searchsorted(vocab, h) + 2).tolist()
-        for i in range(max(1, len(s) - window + 1) if s else 0):
-            rows.setdefault(tuple(s[i : i + window]), set()).add(str(ids[k]))
-    keys = sorted(rows)
-    out = np.zeros((len(keys), window), dtype=np.int64)
-    for i, k in enumerate(keys):
-        out[i, : len(k)] = k
-    length = np.array([len(k) for k in keys], dtype=np.int64)
-    ptr = np.concatenate([[0], np.cumsum([len(rows[k]) for k in keys])]).astype(np.int64)
-    return Phrases(vocab, out, length, ptr, np.array([x for k in keys for x in sorted(rows[k])], dtype=object), int(length.min()) if len(keys) else 0)
+        s = (np.searchsorted(vocab, h) + 2).astype(np.int32)
+        if len(s):
+            parts.append(np.lib.stride_tricks.sliding_window_view(s, window) if len(s) >= window else np.pad(s, (0, window - len(s)))[None, :])
+            owner.append(np.full(len(parts[-1]), number[None if ids[k] is None else str(ids[k])]))
+    if not parts:
+        none = np.zeros(0, dtype=np.int64)
+        return Phrases(vocab, np.zeros((0, window), dtype=np.int32), none, np.zeros(1, dtype=np.int64), np.zeros(0, dtype=object), 0)
+    out, which = np.unique(np.concatenate(parts), axis=0, return_inverse=True)
+    length = (out > 0).sum(axis=1)
+    pair = np.unique(which.ravel() * len(names) + np.concatenate(owner))
+    ptr = np.searchsorted(pair // len(names), np.arange(len(out) + 1))
+    return Phrases(vocab, out, length, ptr, np.array(names, dtype=object)[pair % len(names)], int(length.min()))
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -195,14 +200,14 @@ def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def load_phrases(benchmark: DataFrame, window: int = WINDOW) -> Phrases:
     size = benchmark.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    if size > 2 * MAX_ITEM_WORDS:
-        raise ValueError(f"the benchmark has {size} characters; split it into blocks of at most {2 * MAX_ITEM_WORDS} and unite their spans by document")
+    if size > MAX_CHARS:
+        raise ValueError(f"the benchmark has {size} characters; split it into blocks of at most {MAX_CHARS} and unite their spans by document")
     rows = benchmark.select("item_id", "text").collect()
     return phrases([r[0] for r in rows], [r[1] for r in rows], window)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row for each row of docs: doc_id, n_words, spans (of hit words, end excluded), items (ids, sorted as strings)."""
+    """One row for each row of docs: doc_id, n_words, spans (of hit words, end excluded), items (ids, sorted as strings; null for items without one)."""
     got = docs.sparkSession.sparkContext.broadcast(load_phrases(benchmark, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +226,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
                         continue
                     s, e = _runs(hit[a:z])
                     spans.append([{"start": int(x), "end": int(y)} for x, y in zip(s, e, strict=True)])
-                    items.append(sorted({x for k in phrase[cut[i] : cut[i + 1]] for x in p.items[p.item_ptr[k] : p.item_ptr[k + 1]]}))
+                    items.append(sorted({x for k in phrase[cut[i] : cut[i + 1]] for x in p.items[p.item_ptr[k] : p.item_ptr[k + 1]]}, key=lambda x: (x is None, x)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"]
             )
