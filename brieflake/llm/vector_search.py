@@ -15,7 +15,9 @@ sizes; a task returns at most k rows for each of its queries.
 Integer components are floor(scale * x).  Vectors that are null, empty, or hold
 a null or non-finite component take no part; vectors of different lengths don't
 meet.  Ties go to the smaller id.  Rows may repeat: rows with the query's own id
-are never its answers.  A null id takes no part.  Sums are exact in 64 bits.
+are never its answers.  A null id takes no part.  Integer components beyond
+-LARGEST and LARGEST count as these.  Sums are exact; one that 64 bits can't hold
+counts as the least or greatest long.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from .store import arrow, table, written
 BLOCK, QUERIES = 8192, 1024
 CELLS = 16
 FIRST = 32  # so many rows are read for every query before any is read alone
-
+LARGEST = 1 << 60
 
 
 def _blocks(rows: DataFrame, size: int, scale: int, approximate: bool) -> DataFrame:
@@ -56,7 +58,7 @@ def _blocks(rows: DataFrame, size: int, scale: int, approximate: bool) -> DataFr
         number = 0
         for b in batches:
             ids, lists = b.column(0).to_numpy(), b.column(1)
-            off, values = lists.offsets.to_numpy().astype(np.int64), np.floor(scale * lists.values.to_numpy(zero_copy_only=False).astype(np.float64))
+            off, values = lists.offsets.to_numpy().astype(np.int64), np.clip(np.floor(scale * lists.values.to_numpy(zero_copy_only=False).astype(np.float64)), -LARGEST, LARGEST)
             dims = np.diff(off)
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
@@ -80,6 +82,8 @@ def _blocks(rows: DataFrame, size: int, scale: int, approximate: bool) -> DataFr
 
 def search_block(q: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, x: np.ndarray, cells: np.ndarray, low: np.ndarray, step: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """The k best rows of a block for each query: query places, ids, scores; and how many exact vectors were read."""
+    if float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1] >= 2.0**62:
+        return _large_block(q, q_ids, ids, x, k)
     lower = (low + cells.astype(np.int64) * step).astype(np.float64)
     upper = lower + (step - 1)
     up, down = np.maximum(q, 0).astype(np.float64), np.minimum(q, 0).astype(np.float64)
@@ -123,6 +127,18 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, x: np.ndarra
     return (np.concatenate(out_q), np.concatenate(out_id), np.concatenate(out_s), reads) if out_q else (none, none, none, 0)
 
 
+def _large_block(q: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """search_block where sums may pass 64 bits: every row in whole numbers of any size."""
+    who, got, score = [], [], []
+    rows = x.astype(object)
+    for i in range(len(q)):
+        best = sorted((-max(-(1 << 63), min((1 << 63) - 1, s)), int(j)) for s, j in zip(rows @ q[i].astype(object), ids, strict=True) if j != q_ids[i])[:k]
+        who += [i] * len(best)
+        got += [j for _, j in best]
+        score += [-s for s, _ in best]
+    return np.array(who, dtype=np.int64), np.array(got, dtype=np.int64), np.array(score, dtype=np.int64), len(q) * len(x)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row of ``queries`` its k highest integer inner products with the rows of ``vectors``, not its own."""
     spark = vectors.sparkSession
