@@ -35,3 +35,13 @@ def test_run_on_odd_tables(spark, which, request):
     got = corpus_pipeline.run(spark, sf).collect()
     assert len({(r.doc_id, r.decoded_sha256) for r in got}) == len(got)
     assert bool(got) == (which == "tables")
+
+
+def test_documents_of_two_columns(spark, tables, tmp_path):
+    spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text", "lang").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "near_dedup":
+            docs = docs.select("doc_id", "text")
+        docs = stage(spark, docs, tables)
+    assert docs.columns == ["doc_id", "n_tokens", "decoded_sha256", "token_ids"] and docs.count() > 3

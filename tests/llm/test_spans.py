@@ -29,6 +29,8 @@ def test_decontamination_cuts_spans(spark, tables):
     clean = decontaminate.decontaminated(docs, bench)
     assert clean.columns == docs.columns and clean.count() == docs.count()
     assert decontaminate.contamination(clean, bench).where("size(items) > 0").count() == 0
+    items = {r.doc_id: r["items"] for r in decontaminate.contamination(docs, bench).collect()}
+    assert items[10] == ["1", None] and items[7] == ["2"]
     text = {r.doc_id: r.text for r in clean.collect()}
     assert text[7] == "" and text[8] == "" and text[4] is None
     assert text[10] == " " + " ".join((prose(4, 70) + " " + prose(1, 120)).split()[14:])
