@@ -8,8 +8,11 @@
 4. decontaminate: words inside occurrences of benchmark phrases are cut out.
 5. byte_bpe: the texts as token ids, and the digest of the text decoded from them.
 
-All but the last return the columns of documents; a null text is never kept by
-the first stage.  An empty table stays empty throughout.
+All but the last return the columns of documents, whatever their names beside
+doc_id and text; the last returns doc_id, and lang and source where there are any,
+with its own.  A null text is never kept by the first stage, an empty one neither.
+Repeated rows: the first stage keeps each, the second one of them.  Texts of any
+length are whole in every stage.  An empty table stays empty throughout.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def _byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.round_trips(docs, keep=("doc_id", "lang", "source"))
+    return bpe.round_trips(docs, keep=tuple(c for c in ("doc_id", "lang", "source") if c in docs.columns))
 
 
 STAGES = [("language", _language), ("near_dedup", _near_dedup), ("passages", _passages), ("decontaminate", _decontaminate), ("byte_bpe", _byte_bpe)]
