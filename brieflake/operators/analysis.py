@@ -60,7 +60,8 @@ def scored_by(df: DataFrame, scorers: list[Scorer], key: str = "id") -> DataFram
     return df.select(F.col(key).cast("string"), "prompt").mapInArrow(run, f"{key} string, answer string, error string")
 
 
-ANSWER = "relevant boolean, category string, importance double, relevance double, opportunity double, evidence_quality double, risk_level string, event_key string, summary string, tags array<string>"
+ANSWER = "relevant boolean, category string, importance double, relevance double, opportunity double, evidence_quality double, risk_level string, event_key string, summary string, tags array<string>, title_zh string, markets array<string>, company_tags array<string>, product_tags array<string>, ingredient_tags array<string>, technology_tags array<string>, sponsored boolean, press_release boolean, product_launch map<string,string>"
+_LISTS = ("company_tags", "product_tags", "ingredient_tags", "technology_tags")
 
 
 def analysed(items: DataFrame, answers: DataFrame) -> DataFrame:
@@ -70,11 +71,14 @@ def analysed(items: DataFrame, answers: DataFrame) -> DataFrame:
     scores = ("importance", "relevance", "opportunity", "evidence_quality")
     broken = F.col("a").isNull() | F.col("a.category").isNull() | F.exists(F.array(*(F.col(f"a.{s}") for s in scores)), lambda x: x.isNull() | F.isnan(x) | ~x.between(0, 10)) & F.coalesce("a.relevant", F.lit(True))
     dead = broken | F.col("a.relevant").eqNullSafe(False)
-    keep = [c for c in items.columns if c not in (*scores, "category", "event_key", "ai_summary", "ai_tags", "isolated")]
+    keep = [c for c in items.columns if c not in (*scores, *_LISTS, "category", "event_key", "ai_summary", "ai_tags", "isolated", "title_zh", "markets", "sponsored", "press_release", "product_launch")]
+    none = F.array().cast("array<string>")
+    markets = F.when(F.size("a.markets") > 0, F.col("a.markets")).otherwise(F.col("markets") if "markets" in items.columns else none)
     tags = F.coalesce(F.col("ai_tags") if "ai_tags" in items.columns else F.lit(None).cast("array<string>"), F.array().cast("array<string>"))
     return j.select(
         *keep, F.coalesce("a.category", "category").alias("category"), *(F.when(dead, 0.0).otherwise(F.col(f"a.{s}")).alias(s) for s in scores), F.coalesce(F.nullif("a.event_key", F.lit("")), "id").alias("event_key"), F.col("a.summary").alias("ai_summary"),
-        F.array_distinct(F.concat(tags, F.coalesce("a.tags", F.array().cast("array<string>")))).alias("ai_tags"), F.col("a.relevant").alias("relevant"), F.col("a.risk_level").alias("risk_level"), (broken | F.coalesce("isolated", F.lit(False))).alias("isolated"), F.when(broken, F.coalesce("error", F.lit("invalid answer"))).alias("analysis_error"),
+        F.array_distinct(F.concat(tags, F.coalesce("a.tags", F.array().cast("array<string>")))).alias("ai_tags"), F.col("a.relevant").alias("relevant"), F.col("a.risk_level").alias("risk_level"), F.nullif(F.trim("a.title_zh"), F.lit("")).alias("title_zh"), F.coalesce(markets, none).alias("markets"), *(F.coalesce(f"a.{c}", none).alias(c) for c in _LISTS),
+        F.coalesce("a.sponsored", F.lit(False)).alias("sponsored"), F.coalesce("a.press_release", F.lit(False)).alias("press_release"), F.col("a.product_launch").alias("product_launch"), (broken | F.coalesce("isolated", F.lit(False))).alias("isolated"), F.when(broken, F.coalesce("error", F.lit("invalid answer"))).alias("analysis_error"),
     )
 
 

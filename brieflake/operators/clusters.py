@@ -1,12 +1,18 @@
-"""Reports of one event: similarity candidates by blocks, the rule table, closure."""
+"""Reports of one event: similarity candidates by blocks, the rule table, the search in memory.
+
+Reports that say the same are one class; a class's reports of one stretch of time
+are a cell.  Cells that share a block and lie close meet, each pair of classes is
+judged once, and links join cells.  So copies, however many, cost a row each, and
+the links' closure is that of all pairs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import companion_ratio, metric_ratio, tags_ratio, text_ratio
-from ..ship import ship
+from ..functions.similarity import company_forms, event_key_parts, folded, folded_all, verdicts
+from ..ship import checkpoint_dir, ship
 
 # Words that are no part of a company's name.
 COMPANY_STOP_WORDS = ("and", "co", "company", "corp", "corporation", "group", "holdings", "inc", "limited", "ltd", "of", "plc", "the")
@@ -30,15 +36,8 @@ def event_kinds(text: Column) -> Column:
 
 
 def company_tags(tags: Column) -> Column:
-    """Tags folded to ASCII letters and digits, with each name's core (4 letters and more) and acronym (3 to 8, of 2 words and more); sorted."""
-    def words(t: Column) -> Column:
-        return F.filter(F.split(F.lower(t), r"[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*COMPANY_STOP_WORDS))
-
-    plain = F.transform(tags, lambda t: F.regexp_replace(F.lower(t), r"[^a-z0-9]", ""))
-    core = F.transform(tags, lambda t: F.array_join(words(t), ""))
-    acronym = F.transform(F.filter(tags, lambda t: F.size(words(t)) >= 2), lambda t: F.array_join(F.transform(words(t), lambda w: F.substring(w, 1, 1)), ""))
-    every = F.concat(F.filter(plain, lambda x: x != ""), F.filter(core, lambda x: F.length(x) >= 4), F.filter(acronym, lambda x: F.length(x).between(3, 8)))
-    return F.array_sort(F.array_distinct(every))
+    """Names folded (any script), with each one's core and acronym of Latin words; sorted."""
+    return company_forms(tags, F.array(*map(F.lit, COMPANY_STOP_WORDS)))
 
 
 def tags_overlap(a: Column, b: Column) -> Column:
@@ -47,53 +46,117 @@ def tags_overlap(a: Column, b: Column) -> Column:
     return F.arrays_overlap(a, b) | within
 
 
-def candidates(df: DataFrame, hours: int = 48) -> DataFrame:
-    """Pairs (a < b) within ``hours`` that share a block, each once.
+#: Bands of the block builder, each of so many least hashes of a title's runs of three signs.
+BANDS, BAND_ROWS = 16, 2
+
 
-    blocks: an array of keys made by the caller.  Time falls into buckets of
-    ``hours``; a row meets its own bucket and the next, so no pair in range is
-    missed and none is compared with all.
+def blocks(titles: Column, companies: Column, subjects: Column) -> Column:
+    """Block keys of a report: bands of min-hashes over its folded titles' runs of GRAM signs (so nearly equal titles in any script meet), each company tag, and each subject tag.
+
+    titles, companies, subjects: arrays, folded.  Reports whose titles share less
+    and that have no tag in common don't meet; tests hold the recall against all pairs.
     """
-    bucket = F.floor(F.unix_timestamp("published_at") / (3600 * hours))
-    x = df.select("seq", "published_at", F.explode(F.array_distinct("blocks")).alias("block"), bucket.alias("bucket"))
-    near = x.withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)))
-    j = x.select(F.col("seq").alias("q"), F.col("published_at").alias("tq"), "block", "bucket").join(near.select(F.col("seq").alias("p"), F.col("published_at").alias("tp"), "block", "bucket"), ["block", "bucket"])
-    close = F.abs(F.unix_timestamp("tp") - F.unix_timestamp("tq")) <= 3600 * hours
-    return j.where((F.col("p") != F.col("q")) & close).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    runs = F.array_distinct(F.flatten(F.transform(titles, lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substr(t, i, F.lit(3))))))
+    least = lambda k: F.array_min(F.transform(runs, lambda r: F.xxhash64(F.lit(k), r)))
+    bands = [F.when(F.size(runs) > 0, F.concat_ws(":", F.lit(f"t{b}"), *(least(b * BAND_ROWS + r) for r in range(BAND_ROWS)))) for b in range(BANDS)]
+    tags = lambda kind, ts: F.transform(F.coalesce(ts, F.array().cast("array<string>")), lambda x: F.concat(F.lit(kind), x))
+    return F.array_distinct(F.concat(F.array_compact(F.array(*bands)), tags("c:", companies), tags("s:", subjects)))
+
+
+_GROUPS = ("subjects", "products", "ingredients", "technologies")
+_FACTS = ("title", "title_zh", "summary", "category", "markets", "companies", "kinds", "key_parts")
+
+
+def _classed(df: DataFrame) -> DataFrame:
+    """df with sig, a name for all that the rules look at, t, its second, and whether it has a title at all (else copies aren't alike)."""
+    facts = [*_FACTS, *(g for g in _GROUPS if g in df.columns), "blocks"]
+    return df.withColumns({"sig": F.md5(F.to_json(F.struct(*facts))), "t": F.unix_timestamp("published_at"), "titled": F.concat_ws(" ", "title", "title_zh").rlike(r"[\p{L}\p{N}]")})
+
+
+def _cells(rows: DataFrame, seconds: int) -> DataFrame:
+    """One row for each class and stretch of time: its first, last and smallest report, and its blocks."""
+    return rows.groupBy("sig", F.floor(F.col("t") / seconds).alias("bucket")).agg(F.min("seq").alias("rep"), F.min(F.struct("t", "seq")).alias("first"), F.max(F.struct("t", "seq")).alias("last"), F.count("*").alias("many"), F.first("titled").alias("titled"), F.first("blocks").alias("blocks"))
+
+
+def _met(x: DataFrame, y: DataFrame, seconds: int) -> DataFrame:
+    """Pairs of cells of x and y that share a block and come within so many seconds: their columns with _a and _b, and gap."""
+    keyed = lambda d, s: d.select(F.explode(F.array_distinct("blocks")).alias("block"), "bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("sig", "rep", "first", "last")))
+    near = keyed(y, "b").withColumn("bucket_b", F.col("bucket")).withColumn("bucket", F.explode(F.array(*(F.col("bucket") + d for d in (-1, 0, 1)))))
+    gap = F.greatest(F.lit(0), F.col("first_b.t") - F.col("last_a.t"), F.col("first_a.t") - F.col("last_b.t"))
+    return keyed(x, "a").withColumn("bucket_a", F.col("bucket")).join(near, ["block", "bucket"]).where("sig_a <> sig_b").withColumn("gap", gap).where(F.col("gap") <= seconds).drop("block", "bucket").distinct()
+
+
+def _judged(pairs: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
+    """The verdict on each pair of classes (sig_a, sig_b); what can't be one event by length and facts doesn't reach Python."""
+    side = lambda d, s: d.dropDuplicates(["sig"]).select(*(F.col(c).alias(f"{c}_{s}") for c in d.columns if c not in ("seq", "published_at", "url_key", "t", "titled", "blocks")))
+    p = pairs.select("sig_a", "sig_b").distinct().join(side(x, "a"), "sig_a").join(side(y, "b"), "sig_b")
+    both = lambda c: F.coalesce(F.arrays_overlap(f"{c}_a", f"{c}_b"), F.lit(False))
+    overlap = lambda c: F.coalesce(tags_overlap(F.col(f"{c}_a"), F.col(f"{c}_b")), F.lit(False))
+    groups = [g for g in _GROUPS if f"{g}_a" in p.columns and f"{g}_b" in p.columns]
+    subject = F.lit(False)
+    for g in groups:
+        subject = subject | overlap(g)
+    facts = {
+        "market": both("markets"), "category": F.coalesce(F.col("category_a") == F.col("category_b"), F.lit(False)), "company": overlap("companies"), "subject": subject, "key_part": overlap("key_parts"),
+        "kind": both("kinds"), "compatible": (F.size("kinds_a") <= 0) | (F.size("kinds_b") <= 0) | both("kinds"), "groups": F.array(*(F.struct(F.col(f"{g}_a").alias("x"), F.col(f"{g}_b").alias("y")) for g in groups)) if groups else F.lit(None).cast("array<struct<x:array<string>,y:array<string>>>"),
+    }
+    texts = [f"{c}_{s}" for c in ("title", "title_zh", "summary") for s in "ab"]
+    p = p.select("sig_a", "sig_b", *texts, *(v.alias(k) for k, v in facts.items()))
+    return p.mapInPandas(verdicts, "sig_a string, sig_b string, verdict int").where("verdict > 0")
+
+
+def reports(items: DataFrame) -> DataFrame:
+    """Analysed items (seq, published_at, url_key, title, title_zh, ai_summary, category, markets, the four tag arrays, event_key) as the reports that similar_events reads."""
+    ship(items.sparkSession)
+    words = lambda *cs: F.concat_ws(" ", *(F.nullif(c, F.lit("")) for c in cs))
+    folded_tags = {g: folded_all(F.col(c)) for g, c in (("products", "product_tags"), ("ingredients", "ingredient_tags"), ("technologies", "technology_tags"))}
+    r = items.select(
+        "seq", "published_at", "url_key", "title", "title_zh", F.col("ai_summary").alias("summary"), "category", F.transform("markets", F.upper).alias("markets"), "event_key",
+        company_tags(F.col("company_tags")).alias("companies"), *(c.alias(g) for g, c in folded_tags.items()), folded(words("title", "title_zh", "ai_summary", "event_key")).alias("_words"), folded_all(F.array("title", "title_zh")).alias("_titles"),
+    )
+    r = r.withColumns({"kinds": event_kinds(F.col("_words")), "key_parts": event_key_parts("event_key", "companies", "markets")})
+    return r.withColumn("blocks", blocks(F.col("_titles"), F.col("companies"), F.concat("products", "ingredients", "technologies"))).drop("_words", "_titles", "event_key")
 
 
 def similar_events(df: DataFrame, hours: int = 48) -> DataFrame:
-    """Pairs (a, b) of rows that report one event, by the rule table.
+    """Links (a, b) between reports of one event; their closure is that of all pairs which the rules admit.
 
     Reads seq, published_at, url_key, title, title_zh, summary, category,
     markets, companies, subjects (folded tags; or products, ingredients and
-    technologies, each held against its own), kinds, key_parts, blocks.  Cheap
-    column tests come before the Arrow ratios, which see candidates only.
+    technologies, each held against its own), kinds, key_parts, blocks.  Reports
+    with one url_key are linked whatever their age.  Between classes there is a
+    link for every pair of their cells that the rules admit, between its nearest
+    reports; within a class reports form stars and a chain in time.
     """
     ship(df.sparkSession)
-    same = df.groupBy("url_key").agg(F.min("seq").alias("a"), F.count("*").alias("n")).where("n > 1").join(df.select("url_key", F.col("seq").alias("b")), "url_key").where("a <> b").select("a", "b")
-    left, right = (df.select(*(F.col(c).alias(f"{c}_{s}") for c in df.columns)) for s in "ab")
-    p = candidates(df, hours).join(left, F.col("a") == F.col("seq_a")).join(right, F.col("b") == F.col("seq_b"))
-    both = lambda c: F.arrays_overlap(F.col(f"{c}_a"), F.col(f"{c}_b"))
-    groups = [c for c in ("subjects", "products", "ingredients", "technologies") if c in df.columns]
-    subject = F.lit(False)
-    for c in groups:
-        x, y = F.col(f"{c}_a"), F.col(f"{c}_b")
-        subject = subject | tags_overlap(x, y) | (F.col(f"{c}_ratio") >= 0.65)
-        p = p.withColumn(f"{c}_ratio", tags_ratio(x, y))
-    words = lambda s: F.concat_ws(" ", *(F.nullif(f"{c}_{s}", F.lit("")) for c in ("title", "title_zh", "summary")))
-    p = p.select(
-        words("a").alias("words_a"), words("b").alias("words_b"), both("kinds").alias("kind"), (F.abs(F.unix_timestamp("published_at_a") - F.unix_timestamp("published_at_b")) > 48 * 3600).alias("late"),
-        "a", "b", "summary_a", "summary_b", "title_a", "title_b",
-        F.array_compact(F.array("title_a", "title_zh_a")).alias("titles_a"), F.array_compact(F.array("title_b", "title_zh_b")).alias("titles_b"),
-        F.coalesce(F.nullif("title_zh_a", F.lit("")), "title_a").alias("pref_a"), F.coalesce(F.nullif("title_zh_b", F.lit("")), "title_b").alias("pref_b"),
-        both("markets").alias("market"), (F.col("category_a") == F.col("category_b")).alias("category"), tags_overlap(F.col("companies_a"), F.col("companies_b")).alias("company"), subject.alias("subject"), tags_overlap(F.col("key_parts_a"), F.col("key_parts_b")).alias("key_part"),
-        ((F.size("kinds_a") == 0) | (F.size("kinds_b") == 0) | both("kinds")).alias("compatible"),
-    )
-    r = p.withColumn("title", companion_ratio(F.col("titles_a"), F.col("titles_b"))).withColumn("pref", text_ratio("pref_a", "pref_b")).withColumn("text", text_ratio("summary_a", "summary_b")).withColumn("metric", metric_ratio("words_a", "words_b"))
-    rules = (
-        "title >= 0.9 or (company and subject and compatible and pref >= 0.4) or (company and subject and key_part and compatible and pref >= 0.25)"
-        " or (company and market and category and kind and metric >= 0.2 and (subject or metric >= 0.45) and pref >= if(late, 0.45, 0.2))"
-        " or (company and market and category and compatible and text >= 0.6 and pref >= 0.35) or (market and subject and compatible and pref >= 0.45)"
-    )
-    return r.where(rules).select("a", "b").union(same).distinct()
+    checkpoint_dir(df.sparkSession)
+    seconds = 3600 * hours
+    rows = _classed(df)
+    cells = _cells(rows, seconds).checkpoint()
+    by_url = df.groupBy("url_key").agg(F.min("seq").alias("a"), F.count("*").alias("n")).where("n > 1").join(df.select("url_key", F.col("seq").alias("b")), "url_key").where("a <> b").select("a", "b")
+    star = rows.select("sig", F.floor(F.col("t") / seconds).alias("bucket"), "seq").join(cells.where("titled and many > 1").select("sig", "bucket", "rep"), ["sig", "bucket"]).where("seq <> rep").select(F.col("rep").alias("a"), F.col("seq").alias("b"))
+    after = cells.select("sig", (F.col("bucket") - 1).alias("bucket"), F.col("first").alias("next"))
+    chain = cells.where("titled").join(after, ["sig", "bucket"]).where(F.col("next.t") - F.col("last.t") <= seconds).select(F.col("last.seq").alias("a"), F.col("next.seq").alias("b"))
+    met = _met(cells, cells, seconds).where("rep_a < rep_b").checkpoint()  # a ratio may hang on which comes first
+    judged = _judged(met, rows, rows)
+    a = F.when(F.col("first_b.t") > F.col("last_a.t"), F.col("last_a.seq")).when(F.col("first_a.t") > F.col("last_b.t"), F.col("first_a.seq")).otherwise(F.col("rep_a"))
+    b = F.when(F.col("first_b.t") > F.col("last_a.t"), F.col("first_b.seq")).when(F.col("first_a.t") > F.col("last_b.t"), F.col("last_b.seq")).otherwise(F.col("rep_b"))
+    between = met.join(judged, ["sig_a", "sig_b"]).where(f"verdict = 2 or gap <= {48 * 3600}").select(a.alias("a"), b.alias("b"))
+    links = star.union(chain).union(between).union(by_url)
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+
+
+def remembered_events(events: DataFrame, memory: DataFrame, hours: int = 168) -> DataFrame:
+    """seq of the events that are like something in memory: one url_key, or the rules admit a remembered report within ``hours``.  Both sides have the columns of similar_events."""
+    ship(events.sparkSession)
+    checkpoint_dir(events.sparkSession)
+    seconds = 3600 * hours
+    x, y = _classed(events), _classed(memory)
+    one_url = x.join(y.select("url_key").distinct(), "url_key", "left_semi").select("seq")
+    one_class = x.where("titled").join(_cells(y, seconds).select("sig", "first", "last"), "sig").where(F.greatest(F.col("first.t") - F.col("t"), F.col("t") - F.col("last.t")) <= seconds).select("seq")
+    # each event is a cell of its own: its age decides
+    single = x.select("sig", F.floor(F.col("t") / seconds).alias("bucket"), F.col("seq").alias("rep"), F.struct("t", "seq").alias("first"), F.struct("t", "seq").alias("last"), "blocks")
+    met = _met(single, _cells(y, seconds), seconds).checkpoint()
+    judged = _judged(met, x, y)
+    ruled = met.join(judged, ["sig_a", "sig_b"]).where(f"verdict = 2 or gap <= {48 * 3600}").select(F.col("rep_a").alias("seq"))
+    return one_url.union(one_class).union(ruled).distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import clusters
+
 DAYS = 7
 
 
@@ -14,6 +16,12 @@ def unseen(events: DataFrame, memory: DataFrame, now: str, days: int = DAYS) ->
     return events.join(live, "event_key", "left_anti")
 
 
+def unlike(events: DataFrame, memory: DataFrame, now: str, days: int = DAYS) -> DataFrame:
+    """Events that no remembered report of the days before ``now`` is like, by the rules of clusters.similar_events.  memory: reports with seen_at."""
+    live = memory.where(F.col("seen_at") >= F.lit(now).cast("timestamp") - F.expr(f"interval {days} days"))
+    return events.join(clusters.remembered_events(events, live, 24 * days), "seq", "left_anti")
+
+
 def remembered(memory: DataFrame, events: DataFrame, now: str, days: int = DAYS) -> DataFrame:
     """The memory after a run: live entries and the new ones, the latest sight of each key."""
     at = F.lit(now).cast("timestamp")

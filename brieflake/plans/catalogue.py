@@ -242,16 +242,17 @@ def must_read_partition(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _reports(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as reports: title from the first line, tags from its words; blocks are the title's rarer words."""
+    """Documents as reports: the first line is the title, the whole text what is summed up, tags are the title's longer words."""
     d = table(spark, sf, "documents")
-    title = text.bounded(F.split_part("text", F.lit("\n"), F.lit(1)), 80)
-    low = F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"[^\p{L}\p{N} ]", "")
+    title = F.trim(F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)))
+    low = F.regexp_replace(F.lower(title), r"[^\p{L}\p{N} ]", "")
     ws = F.filter(F.split(low, " +"), lambda w: F.length(w) >= 8)
-    return d.select(
-        F.col("doc_id").alias("seq"), F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 600).alias("published_at"), F.concat(F.lit("u"), F.col("doc_id")).alias("url_key"), F.coalesce(title, F.lit("")).alias("title"), F.lit(None).cast("string").alias("title_zh"),
-        text.bounded(F.col("text"), 200).alias("summary"), F.col("source").alias("category"), F.array("lang").alias("markets"), F.slice(ws, 1, 1).alias("companies"), F.slice(ws, 2, 3).alias("subjects"), clusters.event_kinds(low).alias("kinds"), F.slice(ws, 1, 2).alias("key_parts"),
-        F.concat(ws, F.array(F.concat(F.lit("title:"), F.md5(low)))).alias("blocks"),
+    r = d.select(
+        F.col("doc_id").alias("seq"), F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 600).alias("published_at"), F.concat(F.lit("u"), F.col("doc_id")).alias("url_key"), title.alias("title"), F.lit(None).cast("string").alias("title_zh"),
+        F.col("text").alias("summary"), F.col("source").alias("category"), F.array("lang").alias("markets"), F.slice(ws, 1, 1).alias("companies"), F.slice(ws, 2, 3).alias("subjects"), clusters.event_kinds(low).alias("kinds"), F.slice(ws, 1, 2).alias("key_parts"),
+        F.array(F.regexp_replace(low, " ", "")).alias("folded"),
     )
+    return r.withColumn("blocks", clusters.blocks(F.col("folded"), F.col("companies"), F.array().cast("array<string>"))).drop("folded")
 
 
 @query()
@@ -494,10 +495,14 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-@query("select distinct user_id, event_type from events")
+@query(
+    "with recursive e as (select distinct user_id, event_type, ts from events), r as (select user_id, event_type, min(ts) as ts from e group by all union all "
+    "select e.user_id, e.event_type, min(e.ts) from r join e on e.user_id = r.user_id and e.event_type = r.event_type and e.ts > r.ts + interval 7 day group by e.user_id, e.event_type, r.ts) "
+    "select user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as at from r"
+)
 def stream_dedup_7d(spark: SparkSession, sf: str) -> DataFrame:
-    s = _stream(spark, sf).select("user_id", "event_type", F.concat_ws("/", "user_id", "event_type").alias("key"), F.col("ts").cast("timestamp").alias("at"))
-    return dedup.drained(dedup.deduplicated(s, "key", "at").select("user_id", "event_type"), "stream-dedup")
+    s = _stream(spark, sf).select("user_id", "event_type", F.concat_ws("/", "user_id", "event_type").alias("key"), F.col("ts").cast("timestamp").alias("seen"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
+    return dedup.drained(dedup.unremembered(s, "key", "seen").select("user_id", "event_type", "at"), "stream-dedup")
 
 
 @query("select epoch(date_trunc('day', ts))::bigint as day_start, event_type, count(*) as n from events group by all")

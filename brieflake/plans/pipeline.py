@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import analysis, evidence, memory, merge, ranking, windows
+from ..operators import analysis, clusters, evidence, memory, merge, ranking, windows
 from ..ship import checkpoint_dir
 from . import render
 
@@ -22,8 +22,8 @@ class Brief:
     memory: DataFrame = field(repr=False)
 
 
-def run(raw: DataFrame, contracts: DataFrame, scorers: list, seen: DataFrame, profile: ranking.Profile, since: str, until: str) -> Brief:
-    """raw: items (seq, id, source_id, source_type, title, url, content, metadata, published_at); seen: memory (event_key, seen_at)."""
+def run(raw: DataFrame, contracts: DataFrame, scorers: list, seen: DataFrame, profile: ranking.Profile, since: str, until: str, known: DataFrame | None = None) -> Brief:
+    """raw: items (seq, id, source_id, source_type, title, url, content, metadata, published_at); seen: memory (event_key, seen_at); known: remembered reports (clusters.reports, and seen_at), against which events are held by likeness too."""
     checkpoint_dir(raw.sparkSession)
     inside = windows.in_window(raw, since, until)
     one = merge.merge_by_url(inside).select("id", F.col("content").alias("merged"))
@@ -32,10 +32,20 @@ def run(raw: DataFrame, contracts: DataFrame, scorers: list, seen: DataFrame, pr
     answers = analysis.scored_by(normal.where("not isolated").withColumn("prompt", analysis.prompt(6000)), scorers)
     scored = analysis.analysed(normal, answers).checkpoint()  # scorers are called once
     live = scored.where("not isolated").withColumns({"has_food": F.lit(True), "publisher": F.col("source_id"), "linked_tier": F.lit(None).cast("int")})
-    events = merge.merge_by_event(live.drop("evidence"))
+    seen_urls = merge.keyed(live)
+    reports = clusters.reports(seen_urls).checkpoint()
+    labels = merge.components(clusters.similar_events(reports), reports.select(F.col("seq").alias("node"))).withColumnsRenamed({"node": "seq", "label": "_same"})
+    # exact keys and likeness together: the keys of what is alike count as one
+    one_key = live.join(labels, "seq").select("seq", "event_key", "_same")
+    links = one_key.groupBy("event_key").agg(F.min("_same").alias("a")).join(one_key.select("event_key", F.col("_same").alias("b")).distinct(), "event_key").select("a", "b").where("a <> b")
+    groups = merge.components(links, one_key.select(F.col("_same").alias("node")).distinct()).withColumnsRenamed({"node": "_same", "label": "_group"})
+    grouped = live.join(one_key.join(groups, "_same").select("seq", F.col("_group").cast("string").alias("_group")), "seq")
+    events = merge.merge_by_event(grouped.drop("evidence"), "_group")
     merged = live.join(events.select("id", F.col("evidence").alias("_all"), "members"), "id").withColumn("evidence_urls", F.sort_array(F.array_union("evidence_urls", "_all"))).drop("_all")
     decided = evidence.decide(merged).checkpoint()
     fresh = memory.unseen(decided.where("accepted"), seen, until)
+    if known is not None:
+        fresh = fresh.join(memory.unlike(reports, known, until).select("seq"), "seq", "left_semi")
     ranked = ranking.ranked(fresh, profile).where((F.col("base_rank") >= profile.minimum_score) | F.col("risk_alert")).checkpoint()
     regular = ranked.where("not risk_alert")
     chosen = ranking.explored(regular, profile).drop("exploration")

@@ -62,7 +62,7 @@ def food_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-PG = """pg as (select page_id * 2 as seq, 'p' || page_id as id, 'rss' as source_type, url, left(html, 200) as content, 'p' as tag from pages
+PG = """pg as (select page_id * 2 as seq, 'p' || page_id as id, 'rss' as source_type, url, html as content, 'p' as tag from pages
   union all select page_id * 2 + 1, 'q' || page_id, 'reddit', case when contains(url, '?') then replace(url, '?', '?utm_medium=x&') when contains(url, '#') then url else url || '?fbclid=1' end, case when page_id % 3 = 0 then '' else 'comment ' || page_id end, 'q' from pages)"""
 
 
@@ -70,7 +70,7 @@ def items_pg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages twice: as they are, and once more under a tracked address with another content."""
     p = table(spark, sf_dir, "pages")
     meta = lambda tag: F.create_map(F.lit("tag"), F.lit(tag), F.lit(f"only_{tag}"), F.lit("1"))
-    first = p.select((F.col("page_id") * 2).alias("seq"), F.concat(F.lit("p"), "page_id").alias("id"), F.lit("rss").alias("source_type"), "url", F.substring("html", 1, 200).alias("content"), meta("p").alias("metadata"))
+    first = p.select((F.col("page_id") * 2).alias("seq"), F.concat(F.lit("p"), "page_id").alias("id"), F.lit("rss").alias("source_type"), "url", F.col("html").alias("content"), meta("p").alias("metadata"))
     tracked = F.when(F.contains("url", F.lit("?")), F.replace("url", F.lit("?"), F.lit("?utm_medium=x&"))).when(F.contains("url", F.lit("#")), F.col("url")).otherwise(F.concat("url", F.lit("?fbclid=1")))
     second = p.select((F.col("page_id") * 2 + 1).alias("seq"), F.concat(F.lit("q"), "page_id").alias("id"), F.lit("reddit").alias("source_type"), tracked.alias("url"), F.when(F.col("page_id") % 3 == 0, "").otherwise(F.concat(F.lit("comment "), "page_id")).alias("content"), meta("q").alias("metadata"))
     return first.unionByName(second).withColumn("title", stripped(F.col("content")))

@@ -2,17 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..ship import checkpoint_dir
 
 
-def deduplicated(stream: DataFrame, key: str, ts: str, memory: str = "7 days") -> DataFrame:
-    """The first row of each key within the memory; state older than the watermark goes."""
-    return stream.withWatermark(ts, memory).dropDuplicatesWithinWatermark([key])
+def unremembered(stream: DataFrame, key: str, ts: str, days: int = 7, late: str = "1 day") -> DataFrame:
+    """The rows whose key was not let through within the days before them.
+
+    A row that is let through is remembered for ``days`` of event time; those held
+    back don't prolong that.  State is one time for each key, and goes once the
+    watermark (the latest time seen, less ``late``) is past it.  Of rows with one
+    key and time one is let through.  Rows without a key or time don't pass.
+    """
+    held = days * 86_400_000
+
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(ts, kind="stable")
+        last, out = (state.get[0] if state.exists else None), []
+        for at in rows[ts].astype("datetime64[us]").astype("int64"):
+            out.append(last is None or at - last > held * 1000)
+            last = at if out[-1] else last
+        state.update((int(last),))
+        state.setTimeoutTimestamp(max(int(last) // 1000 + held + 1, state.getCurrentWatermarkMs() + 1))
+        yield rows[out]
+
+    marked = stream.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withWatermark(ts, late)
+    return marked.groupBy(key).applyInPandasWithState(step, marked.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def window_counts(stream: DataFrame, ts: str, length: str, late: str, key: str) -> DataFrame:

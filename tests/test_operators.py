@@ -1,12 +1,13 @@
 from __future__ import annotations
 
-from datetime import date, timedelta
+import random
+from datetime import date, datetime, timedelta
 
 import pytest
 from brieflake.functions import text, urls
-from brieflake.functions.similarity import loose_json, text_ratio
+from brieflake.functions.similarity import event_key_parts, loose_json, text_ratio
 from brieflake.operators import clusters, digest, evidence, memory, merge, metrics, ranking, rotation, windows
-from brieflake.ship import ship
+from brieflake.ship import checkpoint_dir, ship
 from pyspark.sql import functions as F
 
 
@@ -236,10 +237,111 @@ def test_arrow_functions(spark):
     assert [r[0] for r in j] == ['{"a": [1], "b": 1}', None, None]
 
 
-def test_candidates_cross_bucket_borders(spark):
-    rows = [(i, f"2026-07-{d:02d} {h:02d}:00:00", ["b"]) for i, (d, h) in enumerate([(1, 0), (2, 23), (3, 1), (9, 0)])]
-    df = spark.createDataFrame(rows, "seq long, t string, blocks array<string>").withColumn("published_at", F.col("t").cast("timestamp"))
-    assert {(r.a, r.b) for r in clusters.candidates(df).collect()} == {(0, 1), (1, 2)}
+REPORT = "seq long, at string, url_key string, title string, title_zh string, summary string, category string, markets array<string>, companies array<string>, subjects array<string>, kinds array<string>, key_parts array<string>"
+
+
+def reports(spark, rows):
+    df = spark.createDataFrame(rows, REPORT).withColumn("published_at", F.col("at").cast("timestamp")).drop("at")
+    from brieflake.functions.similarity import folded_all
+
+    df = df.withColumn("folded", folded_all(F.array("title", "title_zh"))).checkpoint()
+    return df.withColumn("blocks", clusters.blocks(F.col("folded"), F.col("companies"), F.col("subjects"))).drop("folded")
+
+
+def closure(links, nodes):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {n: find(n) for n in nodes}
+
+
+def test_copies_cross_bucket_borders(spark):
+    checkpoint_dir(spark)
+    at = [f"2026-07-{d:02d} {h:02d}:00:00" for d, h in [(1, 0), (2, 23), (3, 1), (9, 0)]]
+    rows = [(i, t, f"u{i}", "One title of many words", None, "s", "c", ["US"], [], [], [], []) for i, t in enumerate(at)]
+    rows += [(10 + i, at[0], f"v{i}", "!", "", "no title", "c", ["US"], ["acme"], ["milk"], [], []) for i in range(2)]
+    links = {(r.a, r.b) for r in clusters.similar_events(reports(spark, rows)).collect()}
+    assert closure(links, range(4)) == {0: 0, 1: 0, 2: 0, 3: 3} and not any(a >= 10 for a, _ in links)
+
+
+def rule_table(x, y, hours=48):
+    """The rules as they are written down, every ratio in full."""
+    from difflib import SequenceMatcher
+
+    from brieflake.functions.similarity import fold, metric_contexts
+
+    full = lambda a, b: SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+    age = abs(datetime.fromisoformat(x[1]) - datetime.fromisoformat(y[1])).total_seconds() / 3600
+    if x[2] == y[2] or age > hours:
+        return x[2] == y[2]
+
+    def over(a, b, fuzzy=None):
+        return any(p == q or min(len(p), len(q)) >= 2 and (p in q or q in p) or fuzzy and min(len(p), len(q)) >= 4 and full(p, q) >= fuzzy for p in a for q in b)
+
+    titles = lambda r: {fold(r[3]), fold(r[4])} - {""}
+    title = max((full(p, q) for p in titles(x) for q in titles(y)), default=0.0)
+    pref, text_ = full(fold(x[4] or x[3]), fold(y[4] or y[3])), full(fold(x[5]), fold(y[5]))
+    market, category, company = bool({*x[7]} & {*y[7]}), x[6] == y[6], over(x[8], y[8])
+    subject, part, kind = over(x[9], y[9], 0.65), over(x[11], y[11]), bool({*x[10]} & {*y[10]})
+    fits = not x[10] or not y[10] or kind
+    mx, my = (metric_contexts(" ".join(v for v in (r[3], r[4], r[5]) if v)) for r in (x, y))
+    metric = max((full(p, q) for k in mx.keys() & my.keys() for p in mx[k] for q in my[k]), default=0.0)
+    return (
+        title >= 0.9 or company and subject and fits and (pref >= 0.4 or part and pref >= 0.25)
+        or company and market and category and kind and metric >= 0.2 and (subject or metric >= 0.45) and pref >= (0.2 if age <= 48 else 0.45)
+        or company and market and category and fits and text_ >= 0.6 and pref >= 0.35 or market and subject and fits and pref >= 0.45
+    )
+
+
+def made_reports(n, seed):
+    r = random.Random(seed)
+    firms = [("Acme Foods", ["acmefoods", "acme"]), ("伊利", ["伊利"]), ("伊利集团", ["伊利集团", "伊利"]), ("Dairy United", ["dairyunited"]), ("蒙牛", ["蒙牛"])]
+    things = [("oat milk", ["oatmilk"], "燕麦奶"), ("oats milks", ["oatsmilk"], "燕麦奶饮料"), ("pea protein bar", ["peaproteinbar"], "豌豆蛋白棒"), ("yoghurt", ["yoghurt"], "酸奶"), ("yogurts", ["yogurts"], "酸奶杯")]
+    acts = [("launches", ["launch"], "推出"), ("invests in", ["investment"], "投资"), ("recalls", ["recall"], "召回"), ("talks about", [], "谈")]
+    out = []
+    for i in range(n):
+        (firm, tags), (thing, subj, zh), (act, kinds, azh) = r.choice(firms), r.choice(things), r.choice(acts)
+        title = f"{firm} {act} {thing} in {r.choice(['spring', 'the spring', 'stores', 'May'])}" + r.choice(["", " again", ", report says"])
+        extra = r.choice(["", f"Revenue rose {r.choice(['12.5%', '12.50%', '3 bn'])} in the year", f"More on {thing} by {firm}"])
+        at = f"2026-07-{r.randint(1, 9):02d} {r.randint(0, 23):02d}:00:00"
+        out.append((i, at, f"u{i if r.random() < 0.95 else 0}", title, f"{firm}{azh}{zh}" if r.random() < 0.5 else None, extra, r.choice("cd"), [r.choice(["US", "CN"])], tags, subj, kinds, subj[:1] if r.random() < 0.5 else []))
+    return out
+
+
+def test_similar_events_against_all_pairs(spark):
+    checkpoint_dir(spark)
+    rows = made_reports(140, 5)
+    links = {(r.a, r.b) for r in clusters.similar_events(reports(spark, rows)).collect()}
+    want = {(x[0], y[0]) for i, x in enumerate(rows) for y in rows[i + 1 :] if rule_table(x, y)}
+    assert links <= want and len(want) > 300
+    ids = [r[0] for r in rows]
+    assert closure(links, ids) == closure(want, ids)
+
+
+def test_events_like_remembered_ones(spark):
+    checkpoint_dir(spark)
+    rows = made_reports(120, 6)
+    new, old = rows[:60], rows[60:]
+    old = [(r[0], r[1], f"m{r[2]}", *r[3:]) for r in old] + [(900, "2026-07-01 00:00:00", new[3][2], "elsewhere", None, "", "c", [], [], [], [], [])]
+    seen = reports(spark, old).withColumn("seen_at", F.col("published_at"))
+    got = {r.seq for r in memory.unlike(reports(spark, new), seen, "2026-07-10 00:00:00").collect()}
+    live = [r for r in old if datetime.fromisoformat(r[1]) >= datetime(2026, 7, 3)]
+    want = {x[0] for x in new if not any(rule_table(x, y, 168) for y in live)}
+    assert got == want and 0 < len(want) < 60
+
+
+def test_company_names_of_any_script(spark):
+    got = spark.createDataFrame([(["伊利集团", "Nestlé", "Ａｃｍｅ Foods Co"],), ([],), (None,)], "t array<string>").select(clusters.company_tags(F.col("t")).alias("x")).collect()
+    assert [r.x for r in got] == [sorted(["伊利集团", "nestlé", "nestl", "acmefoodsco", "acmefoods"]), [], []]
+    parts = spark.createDataFrame([("Acme|Protein Tea|launch|JP|20260724|global|ab",)], "k string").select(event_key_parts(F.col("k"), F.array(F.lit("acmefoods"), F.lit("acme")), F.array(F.lit("JP")))).first()[0]
+    assert parts == ["launch", "proteintea"]
 
 
 def test_components_of_a_chain(spark):
@@ -263,5 +365,6 @@ def test_events_by_metric_context_and_fuzzy_subjects(spark):
         (3, "New yogurt drink is out", "a", "c", ["JP"], ["x1"], ["yoghurts"], ["launch"], ["s"]),
         (4, "New drinks out of yogurt", "b", "d", ["JP"], ["y2"], ["yogurtz"], ["launch"], ["s"]),
     ]
+    checkpoint_dir(spark)
     df = spark.createDataFrame([(i, at, f"u{i}", t, None, x, c, m, co, su, k, [], b) for i, t, x, c, m, co, su, k, b in data], row.replace("timestamp", "string")).withColumn("published_at", F.to_timestamp("published_at"))
     assert {(r.a, r.b) for r in clusters.similar_events(df).collect()} == {(1, 2), (3, 4)}
