@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import company_forms, event_key_parts, folded, folded_all, verdicts
+from ..functions.similarity import company_forms, contexts, event_key_parts, folded, folded_all, title_bands, verdicts
 from ..ship import checkpoint_dir, ship
 
 # Words that are no part of a company's name.
@@ -46,21 +46,14 @@ def tags_overlap(a: Column, b: Column) -> Column:
     return F.arrays_overlap(a, b) | within
 
 
-#: Bands of the block builder, each of so many least hashes of a title's runs of three signs.
-BANDS, BAND_ROWS = 16, 2
-
-
 def blocks(titles: Column, companies: Column, subjects: Column) -> Column:
-    """Block keys of a report: bands of min-hashes over its folded titles' runs of GRAM signs (so nearly equal titles in any script meet), each company tag, and each subject tag.
+    """Block keys of a report: bands of min-hashes over its folded titles' runs of signs (so nearly equal titles in any script meet), each company tag, and each subject tag.
 
     titles, companies, subjects: arrays, folded.  Reports whose titles share less
     and that have no tag in common don't meet; tests hold the recall against all pairs.
     """
-    runs = F.array_distinct(F.flatten(F.transform(titles, lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substr(t, i, F.lit(3))))))
-    least = lambda k: F.array_min(F.transform(runs, lambda r: F.xxhash64(F.lit(k), r)))
-    bands = [F.when(F.size(runs) > 0, F.concat_ws(":", F.lit(f"t{b}"), *(least(b * BAND_ROWS + r) for r in range(BAND_ROWS)))) for b in range(BANDS)]
     tags = lambda kind, ts: F.transform(F.coalesce(ts, F.array().cast("array<string>")), lambda x: F.concat(F.lit(kind), x))
-    return F.array_distinct(F.concat(F.array_compact(F.array(*bands)), tags("c:", companies), tags("s:", subjects)))
+    return F.array_distinct(F.concat(title_bands(titles), tags("c:", companies), tags("s:", subjects)))
 
 
 _GROUPS = ("subjects", "products", "ingredients", "technologies")
@@ -88,7 +81,13 @@ def _met(x: DataFrame, y: DataFrame, seconds: int) -> DataFrame:
 
 def _judged(pairs: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
     """The verdict on each pair of classes (sig_a, sig_b); what can't be one event by length and facts doesn't reach Python."""
-    side = lambda d, s: d.dropDuplicates(["sig"]).select(*(F.col(c).alias(f"{c}_{s}") for c in d.columns if c not in ("seq", "published_at", "url_key", "t", "titled", "blocks")))
+    words = F.concat_ws(" ", *(F.nullif(c, F.lit("")) for c in ("title", "title_zh", "summary")))
+    read = {"titles": folded_all(F.array("title", "title_zh")), "pref": folded(F.coalesce(F.nullif("title_zh", F.lit("")), "title")), "text": folded("summary"), "contexts": contexts(words)}
+
+    def side(d: DataFrame, s: str) -> DataFrame:
+        one = d.dropDuplicates(["sig"]).withColumns(read).drop("seq", "published_at", "url_key", "t", "titled", "blocks", "title", "title_zh", "summary")
+        return one.select(*(F.col(c).alias(f"{c}_{s}") for c in one.columns))
+
     p = pairs.select("sig_a", "sig_b").distinct().join(side(x, "a"), "sig_a").join(side(y, "b"), "sig_b")
     both = lambda c: F.coalesce(F.arrays_overlap(f"{c}_a", f"{c}_b"), F.lit(False))
     overlap = lambda c: F.coalesce(tags_overlap(F.col(f"{c}_a"), F.col(f"{c}_b")), F.lit(False))
@@ -100,8 +99,11 @@ def _judged(pairs: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
         "market": both("markets"), "category": F.coalesce(F.col("category_a") == F.col("category_b"), F.lit(False)), "company": overlap("companies"), "subject": subject, "key_part": overlap("key_parts"),
         "kind": both("kinds"), "compatible": (F.size("kinds_a") <= 0) | (F.size("kinds_b") <= 0) | both("kinds"), "groups": F.array(*(F.struct(F.col(f"{g}_a").alias("x"), F.col(f"{g}_b").alias("y")) for g in groups)) if groups else F.lit(None).cast("array<struct<x:array<string>,y:array<string>>>"),
     }
-    texts = [f"{c}_{s}" for c in ("title", "title_zh", "summary") for s in "ab"]
-    p = p.select("sig_a", "sig_b", *texts, *(v.alias(k) for k, v in facts.items()))
+    p = p.select("*", *(v.alias(k) for k, v in facts.items()))
+    long_enough = F.exists("titles_a", lambda x: F.exists("titles_b", lambda y: 20 * F.least(F.length(x), F.length(y)) >= 9 * (F.length(x) + F.length(y))))
+    full = F.expr("company and market and category")
+    seen = [*(F.col(f"{c}_{s}") for c in ("titles", "pref") for s in "ab"), *(F.when(full, F.col(f"{c}_{s}")).alias(f"{c}_{s}") for c in ("text", "contexts") for s in "ab")]
+    p = p.where(F.expr("company or market") | long_enough).select("sig_a", "sig_b", *seen, *facts)
     return p.mapInPandas(verdicts, "sig_a string, sig_b string, verdict int").where("verdict > 0")
 
 

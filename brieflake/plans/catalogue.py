@@ -242,9 +242,11 @@ def must_read_partition(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _reports(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as reports: the first line is the title, the whole text what is summed up, tags are the title's longer words."""
-    d = table(spark, sf, "documents")
-    title = F.trim(F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)))
+    """Conversations as reports: the first turn is the title, the second the summary, each whole; tags are the title's longer words."""
+    c = table(spark, sf, "conversations")
+    d = c.groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("title"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("text"), F.count("*").alias("turns"))
+    d = d.select(F.col("conv_id").alias("doc_id"), "title", "text", (F.col("conv_id") % 2).cast("string").alias("lang"), (F.col("turns") % 3).cast("string").alias("source"))
+    title = F.coalesce("title", F.lit(""))
     low = F.regexp_replace(F.lower(title), r"[^\p{L}\p{N} ]", "")
     ws = F.filter(F.split(low, " +"), lambda w: F.length(w) >= 8)
     r = d.select(
@@ -252,7 +254,7 @@ def _reports(spark: SparkSession, sf: str) -> DataFrame:
         F.col("text").alias("summary"), F.col("source").alias("category"), F.array("lang").alias("markets"), F.slice(ws, 1, 1).alias("companies"), F.slice(ws, 2, 3).alias("subjects"), clusters.event_kinds(low).alias("kinds"), F.slice(ws, 1, 2).alias("key_parts"),
         F.array(F.regexp_replace(low, " ", "")).alias("folded"),
     )
-    return r.withColumn("blocks", clusters.blocks(F.col("folded"), F.col("companies"), F.array().cast("array<string>"))).drop("folded")
+    return r.withColumn("blocks", clusters.blocks(F.col("folded"), F.col("companies"), F.col("subjects"))).drop("folded")
 
 
 @query()
