@@ -283,7 +283,7 @@ def _run_hashes(x: np.ndarray, start: np.ndarray, w: int) -> np.ndarray:
 
 
 #: Shingles that verification lays out at once, but for a single pair's or strip's.
-LAID = 1 << 20
+LAID = 1 << 18
 
 
 def _compared(part: pa.RecordBatch) -> tuple[list, pa.ListArray]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..ship import checkpoint_dir, ship
+from .split import give_back
 
 #: Rows and bytes that an Arrow batch holds at most, so a batch of long texts stays small.
-BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,7 +97,12 @@ def arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     """df.mapInArrow, with this package on the workers."""
     ship(df.sparkSession)
     limit_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(task, schema)
 
 
 def free_names(docs: DataFrame, *names: str) -> list[str]:
