@@ -26,7 +26,7 @@ label it is that label's share.  Rows may repeat; other columns don't matter.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -201,7 +201,7 @@ def fit(texts: list[str], labels: list[int], weight: np.ndarray) -> Model:
     return fit_segments([learnable(t) for t in texts], labels, weight)
 
 
-def fit_segments(words: list[list[str]], labels: list[int], weight: np.ndarray) -> Model:
+def fit_segments(words: Iterable[list[str]], labels: list[int], weight: np.ndarray) -> Model:
     """The segments of texts in a fixed order; weight: what each row counts for the calibration."""
     y = np.array(labels, dtype=np.float64)
     blank = Model(np.zeros(32**ORDER, dtype=np.float32), -1.0, (0.0, 0.0, 0.0))
@@ -277,16 +277,16 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = pa.array([learnable(t) for t in b.column(2).to_pylist()], pa.list_(pa.string()))
+            words = pa.array([" ".join(learnable(t)) for t in b.column(2).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), words], names=["doc_id", "y", "words"])
 
-    got = sorted(tuple(r) for r in arrow(texts, run, "doc_id long, y int, words array<string>").collect())
+    got = sorted(tuple(r) for r in arrow(texts, run, "doc_id long, y int, words string").collect())
     y = [r[1] for r in got]
     weight = np.ones(len(y))
     for v, n in true.items():
         if v in y:
             weight[np.array(y) == v] = n / y.count(v)
-    return fit_segments([r[2] for r in got], y, weight / weight.mean() if len(y) else weight)
+    return fit_segments((r[2].split() for r in got), y, weight / weight.mean() if len(y) else weight)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
