@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import text, urls
+from ..schema import CATEGORIES, RISK_LEVELS
 from ..ship import ship
 
 MARK = "\n--- Top Comments ---"
@@ -60,25 +61,44 @@ def scored_by(df: DataFrame, scorers: list[Scorer], key: str = "id") -> DataFram
     return df.select(F.col(key).cast("string"), "prompt").mapInArrow(run, f"{key} string, answer string, error string")
 
 
-ANSWER = "relevant boolean, category string, importance double, relevance double, opportunity double, evidence_quality double, risk_level string, event_key string, summary string, tags array<string>, title_zh string, markets array<string>, company_tags array<string>, product_tags array<string>, ingredient_tags array<string>, technology_tags array<string>, sponsored boolean, press_release boolean, product_launch map<string,string>"
-_LISTS = ("company_tags", "product_tags", "ingredient_tags", "technology_tags")
+ANSWER = "relevant boolean, category string, importance double, relevance double, opportunity double, evidence_quality double, risk_level string, risk_reason string, event_key string, title_zh string, summary string, markets array<string>, product_tags array<string>, ingredient_tags array<string>, technology_tags array<string>, company_tags array<string>, sponsored boolean, press_release boolean, product_launch map<string,string>"
+_SCORES = ("importance", "relevance", "opportunity", "evidence_quality")
+_LISTS = ("product_tags", "ingredient_tags", "technology_tags", "company_tags")
+_REQUIRED = ("title_zh", "summary", "category", *_SCORES, "risk_level")
+_WRITTEN = (*_SCORES, *_LISTS, "category", "risk_level", "risk_reason", "event_key", "event_key_source", "ai_score", "ai_reason", "ai_summary", "ai_tags", "title_zh", "markets", "sponsored", "press_release", "product_launch", "relevant", "isolated", "analysis_error")
 
 
 def analysed(items: DataFrame, answers: DataFrame) -> DataFrame:
-    """Items with their answers: scores within 0 and 10, tags united in order, the item's id for a missing event key; irrelevant ones lose their scores, broken ones are isolated."""
-    a = answers.select("id", "error", F.from_json("answer", ANSWER).alias("a"))
-    j = items.join(a, "id", "left")
-    scores = ("importance", "relevance", "opportunity", "evidence_quality")
-    broken = F.col("a").isNull() | F.col("a.category").isNull() | F.exists(F.array(*(F.col(f"a.{s}") for s in scores)), lambda x: x.isNull() | F.isnan(x) | ~x.between(0, 10)) & F.coalesce("a.relevant", F.lit(True))
-    dead = broken | F.col("a.relevant").eqNullSafe(False)
-    keep = [c for c in items.columns if c not in (*scores, *_LISTS, "category", "event_key", "ai_summary", "ai_tags", "isolated", "title_zh", "markets", "sponsored", "press_release", "product_launch")]
-    none = F.array().cast("array<string>")
-    markets = F.when(F.size("a.markets") > 0, F.col("a.markets")).otherwise(F.col("markets") if "markets" in items.columns else none)
-    tags = F.coalesce(F.col("ai_tags") if "ai_tags" in items.columns else F.lit(None).cast("array<string>"), F.array().cast("array<string>"))
+    """Items (id, title, url, category, markets, isolated and more) with their answers (id, answer, error).
+
+    An answer is valid if it says whether the item is relevant, its scores are
+    within 0 and 10, its category and risk level are known ones, and, for a
+    relevant item, no required field is missing or empty.  A relevant item takes
+    all fields; without an event key it gets its address's.  An irrelevant one
+    loses its scores, key, risk and launch and keeps the rest.  Without a valid
+    answer an item is isolated as it is, with the error beside it.
+    """
+    a = lambda c: F.col(f"_a.{c}")
+    j = items.join(answers.select("id", F.col("error").alias("_error"), F.from_json("answer", ANSWER).alias("_a")), "id", "left")
+    none, nothing = F.array().cast("array<string>"), F.lit(None).cast("string")
+    had = lambda c, default: F.col(c) if c in items.columns else default
+    empty = F.exists(F.array(*(F.coalesce(a(c).cast("string"), F.lit("")) for c in _REQUIRED)), lambda x: x == "")
+    outside = F.exists(F.array(*map(a, _SCORES)), lambda x: F.coalesce(F.isnan(x) | ~x.between(0, 10), F.lit(False)))
+    strange = ~F.coalesce(a("category").isin(*CATEGORIES), F.lit(True)) | ~F.coalesce(a("risk_level").isin(*RISK_LEVELS), F.lit(True))
+    valid = F.coalesce(a("relevant").isNotNull() & ~outside & ~strange & (~a("relevant") | ~empty), F.lit(False))
+    good, out = valid & F.coalesce(a("relevant"), F.lit(False)), valid & ~F.coalesce(a("relevant"), F.lit(True))
+    pick = lambda new, old, irrelevant: F.when(good, new).when(out, irrelevant).otherwise(old)
+    tags = F.array_distinct(F.concat(*(F.coalesce(a(c), none) for c in _LISTS)))
+    keyed = F.coalesce(a("event_key"), F.lit("")) != ""
     return j.select(
-        *keep, F.coalesce("a.category", "category").alias("category"), *(F.when(dead, 0.0).otherwise(F.col(f"a.{s}")).alias(s) for s in scores), F.coalesce(F.nullif("a.event_key", F.lit("")), "id").alias("event_key"), F.col("a.summary").alias("ai_summary"),
-        F.array_distinct(F.concat(tags, F.coalesce("a.tags", F.array().cast("array<string>")))).alias("ai_tags"), F.col("a.relevant").alias("relevant"), F.col("a.risk_level").alias("risk_level"), F.nullif(F.trim("a.title_zh"), F.lit("")).alias("title_zh"), F.coalesce(markets, none).alias("markets"), *(F.coalesce(f"a.{c}", none).alias(c) for c in _LISTS),
-        F.coalesce("a.sponsored", F.lit(False)).alias("sponsored"), F.coalesce("a.press_release", F.lit(False)).alias("press_release"), F.col("a.product_launch").alias("product_launch"), (broken | F.coalesce("isolated", F.lit(False))).alias("isolated"), F.when(broken, F.coalesce("error", F.lit("invalid answer"))).alias("analysis_error"),
+        *(c for c in items.columns if c not in _WRITTEN), F.when(good, a("category")).otherwise(F.col("category")).alias("category"), F.when(good, F.coalesce(a("markets"), none)).otherwise(had("markets", none)).alias("markets"),
+        *(pick(a(c), had(c, F.lit(0.0)), 0.0).alias(c) for c in _SCORES), *(F.when(good, F.coalesce(a(c), none)).otherwise(had(c, none)).alias(c) for c in _LISTS),
+        pick(a("risk_level"), had("risk_level", nothing), "none").alias("risk_level"), pick(F.coalesce(a("risk_reason"), F.lit("")), had("risk_reason", nothing), "").alias("risk_reason"),
+        pick(F.when(keyed, a("event_key")).otherwise(urls.event_url_key(F.col("url"))), had("event_key", nothing), nothing).alias("event_key"), F.when(good & ~keyed, "canonical_url_fallback").alias("event_key_source"),
+        F.when(good, a("importance")).otherwise(0.0).alias("ai_score"), F.when(good, F.concat(F.lit("category: "), a("category"))).when(out, "not relevant to the industry").otherwise("analysis failed").alias("ai_reason"),
+        F.when(good, a("summary")).otherwise(F.col("title")).alias("ai_summary"), F.when(good, tags).otherwise(none).alias("ai_tags"), F.when(good, a("title_zh")).otherwise(had("title_zh", nothing)).alias("title_zh"),
+        F.when(good, F.coalesce(a("sponsored"), F.lit(False))).otherwise(had("sponsored", F.lit(False))).alias("sponsored"), F.when(good, F.coalesce(a("press_release"), F.lit(False))).otherwise(had("press_release", F.lit(False))).alias("press_release"),
+        F.when(good, a("product_launch")).alias("product_launch"), F.when(valid, a("relevant")).alias("relevant"), (~valid | F.coalesce(had("isolated", F.lit(False)), F.lit(False))).alias("isolated"), F.when(~valid, F.coalesce("_error", F.lit("invalid answer"))).alias("analysis_error"),
     )
 
 
@@ -103,3 +123,19 @@ def tag_aliases(tags: DataFrame, aliases: DataFrame) -> DataFrame:
 def tool_metrics(calls: DataFrame) -> DataFrame:
     """Calls (seq, name, error, seconds) by name: how many, how many failed, the last one's duration."""
     return calls.groupBy("name").agg(F.count("*").alias("calls"), F.count("error").alias("errors"), F.max_by("seconds", "seq").alias("last_seconds"))
+
+
+def error_counts(calls: DataFrame) -> DataFrame:
+    """Failed calls by error code."""
+    return calls.where("error is not null").groupBy("error").agg(F.count("*").alias("n"))
+
+
+def score_summary(scored: DataFrame, threshold: float) -> DataFrame:
+    """One row: items scored, and those with a score other than zero that reach the threshold."""
+    s = F.col("ai_score")
+    return scored.agg(F.count("*").alias("scored"), F.count_if((s >= threshold) & (s != 0)).alias("above_threshold"))
+
+
+def citation_count(enriched: DataFrame) -> DataFrame:
+    """One row: citations in all items' ``sources``; an item without any counts none."""
+    return enriched.agg(F.coalesce(F.sum(F.coalesce(F.size(F.col("sources")), F.lit(0))), F.lit(0)).cast("long").alias("citations"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .analysis import sub_source
 from .windows import by_score
 
 
@@ -37,3 +38,8 @@ def balanced_digest(df: DataFrame, groups: dict[str, tuple[list[str], int]], def
 
 def group_counts(digest: DataFrame) -> DataFrame:
     return digest.groupBy("grp").agg(F.count("*").alias("n"))
+
+
+def type_counts(items: DataFrame) -> DataFrame:
+    """(source_type, sub_source, n): items by source type and the label within it."""
+    return items.groupBy("source_type", sub_source().alias("sub_source")).agg(F.count("*").alias("n"))

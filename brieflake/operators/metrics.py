@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def fetch_report(outcomes: DataFrame) -> DataFrame:
-    """One row: sources attempted, successful, empty, failed, their items, and the status these make.  An empty source counts as successful."""
+    """One row: sources attempted, successful, empty, failed, their items, and the status these make.  An empty source counts as successful, one that the rotation skipped isn't attempted."""
+    outcomes = outcomes.where("status <> 'skipped_rotation'")
     failed = F.col("status") == "failure"
     r = outcomes.agg(F.count("*").alias("attempted"), F.count_if(~failed).alias("successful"), F.count_if(F.col("status") == "empty").alias("empty"), F.count_if(failed).alias("failed"), F.coalesce(F.sum("item_count"), F.lit(0)).cast("long").alias("item_count"))
     return r.withColumn("status", F.when(F.col("attempted") == 0, "not_attempted").when(F.col("failed") == F.col("attempted"), "failure").when(F.col("failed") > 0, "partial_failure").otherwise("success"))
 
 
+def outcome_json(*allowed: str) -> Column:
+    """An outcome as JSON with the allowed columns only, nulls left out."""
+    return F.to_json(F.struct(*allowed))
+
+
 def score_distribution(df: DataFrame) -> DataFrame:
     """One row with five bins of scores; a null score counts as 0."""
     s = F.coalesce("ai_score", F.lit(0.0))
@@ -30,7 +36,7 @@ def source_run_metrics(sources: DataFrame, outcomes: DataFrame, items: DataFrame
     )
     total = outcomes.agg(F.sum("candidate_count").alias("total"))  # one row
     j = sources.join(outcomes, "source_id", "left").join(per, "source_id", "left").join(F.broadcast(total))
-    here, some = F.col("status").isNotNull(), F.coalesce("total", F.lit(0)) > 0
+    here, some = F.coalesce(F.col("status") != "skipped_rotation", F.lit(False)), F.coalesce("total", F.lit(0)) > 0
     share = F.try_divide(F.col("candidate_count").cast("double"), F.col("total"))
     tokens = F.when(here & some, F.bround(run_tokens * F.col("candidate_count") / F.col("total"))).otherwise(0).cast("long")
     cost = F.when(~here, F.lit(0.0)).when(some, F.lit(run_cost).cast("double") * share)
@@ -85,6 +91,11 @@ def trial_summary(m: DataFrame, days: int = 14, attempts: int = 4) -> DataFrame:
     )
 
 
+def trial_order() -> list[Column]:
+    """The order of a trial report: most unique events, then the commercial share, the success rate, the id."""
+    return [F.desc("unique_count"), F.desc("commercial_share"), F.desc("success_rate"), F.asc("source_id")]
+
+
 def token_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """One row: tokens in all, models with tokens but no full price, and the cost, null if any is unpriced.
 

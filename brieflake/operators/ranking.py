@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..schema import RISK_LEVELS
 from ..ship import ship
 
+# Categories that count as commercial.
 COMMERCIAL = ("product_innovation", "ingredients_technology", "packaging_labeling", "consumer_trends", "retail_foodservice", "company_updates")
 
 
@@ -25,6 +26,7 @@ class Profile:
     commercial_min_ratio: float = 0.7
     minimum_score: float = 0.0
     risk_override_min: str = "high"
+    # Default weights of topics and penalties of markets.
     topic_weights: dict[str, float] = field(
         default_factory=lambda: {"product_innovation": 0.2, "ingredients_technology": 0.2, "packaging_labeling": 0.1, "consumer_trends": 0.15, "regulations_standards": 0.08, "food_safety_recalls": 0.07, "retail_foodservice": 0.1, "company_updates": 0.1}
     )
@@ -43,16 +45,29 @@ def _looked_up(values: dict[str, float], key: Column) -> Column:
     return F.coalesce(F.try_element_at(table, key), F.lit(0.0))
 
 
-def ranked(df: DataFrame, p: Profile) -> DataFrame:
-    """base_rank, final_rank and risk_alert of rows with category, markets, four scores and risk_level."""
-    base = 0.45 * F.col("importance") + 0.25 * F.col("relevance") + 0.20 * F.col("opportunity") + 0.10 * F.col("evidence_quality")
+def _market(p: Profile) -> Column:
+    """The market multiplier: the best boost, and the mean penalty, of a row's distinct markets."""
     markets = F.array_distinct(F.coalesce("markets", F.array().cast("array<string>")))
     boost = F.coalesce(F.array_max(F.transform(markets, lambda m: _looked_up(p.market_weights, m))), F.lit(0.0))
     total = F.aggregate(markets, F.lit(0.0), lambda acc, m: acc + _looked_up(p.market_penalties, m))
     penalty = F.coalesce(F.try_divide(total, F.size(markets)), F.lit(0.0))
+    return (1 + boost) * (1 - penalty)
+
+
+def ranked(df: DataFrame, p: Profile) -> DataFrame:
+    """base_rank, final_rank and risk_alert of rows with category, markets, four scores and risk_level."""
+    base = 0.45 * F.col("importance") + 0.25 * F.col("relevance") + 0.20 * F.col("opportunity") + 0.10 * F.col("evidence_quality")
     risk = F.array_position(F.array(*map(F.lit, RISK_LEVELS)), F.col("risk_level")) - 1
     out = df.withColumn("base_rank", base).withColumn("risk_alert", risk >= RISK_LEVELS.index(p.risk_override_min))
-    return out.withColumn("final_rank", F.col("base_rank") * (1 + _looked_up(p.topic_weights, F.col("category"))) * ((1 + boost) * (1 - penalty)))
+    return out.withColumn("final_rank", F.col("base_rank") * (1 + _looked_up(p.topic_weights, F.col("category"))) * _market(p))
+
+
+def reason(p: Profile, name: str) -> Column:
+    """Why a ranked row was chosen: scores with two decimals, multipliers and the final rank with four."""
+    topic = 1 + _looked_up(p.topic_weights, F.col("category"))
+    parts = [("importance", "%.2f", F.col("importance")), ("profile_relevance", "%.2f", F.col("relevance")), ("opportunity", "%.2f", F.col("opportunity")), ("evidence_quality", "%.2f", F.col("evidence_quality"))]
+    parts += [("topic_multiplier", "%.4f", topic), ("market_multiplier", "%.4f", _market(p)), ("evidence_tier", "%d", F.col("effective_tier")), ("final_rank", "%.4f", F.col("final_rank"))]
+    return F.format_string("profile=%s; " + "; ".join(f"{k}={f}" for k, f, _ in parts), F.lit(name), *(c for _, _, c in parts))
 
 
 def rank_order() -> list[Column]:

@@ -13,6 +13,12 @@ def fallback_order(day: str) -> list[Column]:
     return [F.when(F.col("tier") == "extended", 0).otherwise(1).asc(), F.sha2(F.concat(F.lit(f"{day}:"), F.col("source_id")), 256).asc(), F.col("source_id").asc()]
 
 
+def fetch_order() -> list[Column]:
+    """Core sources are fetched first, then extended ones, then discovery, each in the order given (``seq``)."""
+    rank = F.when(F.col("tier") == "core", 0).when(F.col("tier") == "extended", 1).otherwise(2)
+    return [rank.asc(), F.col("seq").asc()]
+
+
 def rotated(sources: DataFrame, day: str, extended_days: int, discovery_days: int) -> DataFrame:
     """``due``: core always, others when the bucket of their id is the day's."""
     from datetime import date

@@ -41,6 +41,13 @@ def by_score() -> list[Column]:
     return [F.coalesce("ai_score", F.lit(0.0)).desc(), F.col("seq").asc()]
 
 
+def page(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """The first ``limit`` rows in order with their place, and whether there are more (``truncated``).  One row beyond the page is read, so nothing is counted."""
+    top = df.orderBy(*order).limit(limit + 1)
+    placed = top.select("*", F.row_number().over(Window.orderBy(*order)).alias("place"), (F.count("*").over(Window.partitionBy()) > limit).alias("truncated"))  # one page, so one partition may number it
+    return placed.where(F.col("place") <= limit)
+
+
 def first_wins(df: DataFrame, *keys: str, order: str = "seq") -> DataFrame:
     """The first row of each key by ``order``.  An aggregate, so copies of a hot key meet map-side first."""
     rest = [c for c in df.columns if c not in keys]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from ..functions import text, urls
 from ..operators import clusters, digest, evidence, memory, merge, metrics, ranking, rotation, windows
 from ..sources.interests import interest_scores
 from ..streaming import dedup
+from .registry import oracle_sql, queries, query
 from .views import EV, FOOD, PG, food_ev, items_ev, items_pg, table
 
 SINCE, UNTIL, NOW = "2024-01-03 00:00:00", "2024-01-20 12:00:00", "2024-01-25 00:00:00"
@@ -18,27 +17,7 @@ GROUPS = {"commerce": (["purchase", "signup"], 12), "traffic": (["view", "click"
 PROFILE = ranking.Profile(market_weights={"JP": 0.2, "US": 0.05})
 WEIGHTS = ", ".join(f"('{c}', {w})" for c, w in PROFILE.topic_weights.items())
 
-_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_sql: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        _queries[f.__name__] = f
-        if sql is not None:
-            _sql[f.__name__] = sql
-        return f
-
-    return put
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_queries)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
-
+__all__ = ["oracle_sql", "queries"]
 
 # --- windows, thresholds, digest
 
@@ -48,10 +27,14 @@ def window_filter(spark: SparkSession, sf: str) -> DataFrame:
     return windows.in_window(items_ev(spark, sf), SINCE, UNTIL).select("seq", "source_id", "category", "ai_score")
 
 
-@query(f"with {EV} select seq, ai_score, row_number() over (order by ai_score desc, seq)::integer as place from ev where ai_score >= 7 order by ai_score desc, seq limit 500")
+@query(f"with {EV} select seq, ai_score from ev where ai_score >= 7")
 def score_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    top = windows.above_threshold(items_ev(spark, sf), 7.0).orderBy(*windows.by_score()).limit(500)
-    return top.select("seq", "ai_score", F.row_number().over(ranking.Window.orderBy(*windows.by_score())).alias("place"))
+    return windows.above_threshold(items_ev(spark, sf), 7.0).orderBy(*windows.by_score()).select("seq", "ai_score")
+
+
+@query(f"with {EV}, p as (select seq, ai_score, (select count(*) > 500 from ev) as truncated from ev order by coalesce(ai_score, 0) desc, seq limit 500) select seq, ai_score, truncated, row_number() over (order by coalesce(ai_score, 0) desc, seq)::integer as place from p")
+def score_page(spark: SparkSession, sf: str) -> DataFrame:
+    return windows.page(items_ev(spark, sf), windows.by_score(), 500).select("seq", "ai_score", "truncated", "place")
 
 
 _DIGEST = f"""with {EV}, g as (select *, case when category in ('purchase', 'signup') then 'commerce' when category in ('view', 'click') then 'traffic' else 'default' end as grp from ev where ai_score >= 1),
@@ -181,7 +164,7 @@ def evidence_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- ranking and selection
 
-_RANK = f"""{EV}, {FOOD}, tw(category, w) as (values {WEIGHTS}),
+RANK = f"""{EV}, {FOOD}, tw(category, w) as (values {WEIGHTS}),
 rk as (select f.*, f.evidence_tier as effective_tier, (0.45::double * importance + 0.25::double * relevance + 0.2::double * opportunity + 0.1::double * evidence_quality) as base_rank, tw.w::double as w,
   case when 'JP' = any(markets) then 0.2::double when 'US' = any(markets) then 0.05::double else 0.0::double end as boost,
   case when len(markets) = 0 then 0.0::double else (case when 'IN' = any(markets) then 0.5::double else 0.0::double end) / len(list_distinct(markets)) end as pen from food f join tw using (category)),
@@ -189,27 +172,27 @@ ranked as (select *, base_rank * (1 + w) * ((1 + boost) * (1 - pen)) as final_ra
 _ORDER = "final_rank desc, effective_tier, published_at desc, url, seq"
 
 
-def _ranked(spark: SparkSession, sf: str) -> DataFrame:
+def ranked(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.ranked(food_ev(spark, sf), PROFILE).withColumn("effective_tier", F.col("evidence_tier"))
 
 
-@query(f"with {_RANK} select seq, floor(base_rank * 1000000 + 0.5::double) / 1000000 as base_rank, floor(final_rank * 1000000 + 0.5::double) / 1000000 as final_rank, risk_alert from ranked")
+@query(f"with {RANK} select seq, floor(base_rank * 1000000 + 0.5::double) / 1000000 as base_rank, floor(final_rank * 1000000 + 0.5::double) / 1000000 as final_rank, risk_alert from ranked")
 def profile_rank(spark: SparkSession, sf: str) -> DataFrame:
     six = lambda c: (F.floor(F.col(c) * 1_000_000 + 0.5) / 1_000_000.0).alias(c)  # noqa: E731  one way of rounding in both engines
-    return _ranked(spark, sf).select("seq", six("base_rank"), six("final_rank"), "risk_alert")
+    return ranked(spark, sf).select("seq", six("base_rank"), six("final_rank"), "risk_alert")
 
 
-@query(f"with {_RANK} select risk_alert, risk_level, count(*) as n from ranked group by all")
+@query(f"with {RANK} select risk_alert, risk_level, count(*) as n from ranked group by all")
 def risk_partition(spark: SparkSession, sf: str) -> DataFrame:
-    return _ranked(spark, sf).groupBy("risk_alert", "risk_level").agg(F.count("*").alias("n"))
+    return ranked(spark, sf).groupBy("risk_alert", "risk_level").agg(F.count("*").alias("n"))
 
 
-@query(f"with {_RANK}, s as (select *, row_number() over (partition by source_id order by {_ORDER}) as in_source from ranked where not risk_alert) select seq, source_id, in_source::integer as in_source from s where in_source <= 3 order by {_ORDER} limit 20")
+@query(f"with {RANK}, s as (select *, row_number() over (partition by source_id order by {_ORDER}) as in_source from ranked where not risk_alert) select seq, source_id, in_source::integer as in_source from s where in_source <= 3 order by {_ORDER} limit 20")
 def source_cap_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.source_capped(_ranked(spark, sf).where("not risk_alert"), 3, 20).select("seq", "source_id", "in_source")
+    return ranking.source_capped(ranked(spark, sf).where("not risk_alert"), 3, 20).select("seq", "source_id", "in_source")
 
 
-_EXPLORE = f"""{_RANK}, reg as (select * from ranked where not risk_alert),
+_EXPLORE = f"""{RANK}, reg as (select * from ranked where not risk_alert),
 e1 as (select *, row_number() over (partition by source_id order by {_ORDER}) as n from reg where w < (select median(w) from tw)),
 e as (select * exclude (n) from e1 where n <= 3 order by {_ORDER} limit 2),
 r1 as (select *, row_number() over (partition by source_id order by {_ORDER}) as n from reg where seq not in (select seq from e)),
@@ -219,22 +202,22 @@ sel as (select *, true as exploration from e union all select * from (select *,
 
 @query(f"with {_EXPLORE} select seq, source_id, category, exploration from sel")
 def exploration_select(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.explored(_ranked(spark, sf).where("not risk_alert"), PROFILE).select("seq", "source_id", "category", "exploration")
+    return ranking.explored(ranked(spark, sf).where("not risk_alert"), PROFILE).select("seq", "source_id", "category", "exploration")
 
 
 @query()
 def commercial_mix(spark: SparkSession, sf: str) -> DataFrame:
-    pool = _ranked(spark, sf).where("not risk_alert")
+    pool = ranked(spark, sf).where("not risk_alert")
     return ranking.commercial_mix(ranking.explored(pool, PROFILE).drop("exploration"), pool, PROFILE)
 
 
 @query(
-    f"""with {_RANK}, b as (select cast(k as varchar) as id, * exclude (id) from ranked where final_rank >= 2), o as (select *, row_number() over (partition by id order by not risk_alert, seq) as n from b),
+    f"""with {RANK}, b as (select cast(k as varchar) as id, * exclude (id) from ranked where final_rank >= 2), o as (select *, row_number() over (partition by id order by not risk_alert, seq) as n from b),
 p as (select *, case when base_rank >= 3 then 'must_read' else 'news' end as part from o where n = 1)
 select id, seq, part, row_number() over (partition by part order by final_rank desc, published_at desc, url, seq)::integer as place from p"""
 )
 def must_read_partition(spark: SparkSession, sf: str) -> DataFrame:
-    brief = _ranked(spark, sf).where("final_rank >= 2").withColumn("id", F.col("k").cast("string"))
+    brief = ranked(spark, sf).where("final_rank >= 2").withColumn("id", F.col("k").cast("string"))
     return ranking.must_read(brief, 3.0).select("id", "seq", "part", "place")
 
 
@@ -326,46 +309,47 @@ def enrichment_join(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- metrics
 
-_OUT = "o as (select user_id as source_id, case user_id % 6 when 0 then 'failure' when 1 then 'empty' else 'success' end as status, case when user_id % 6 < 2 then 0 else count(*) end as item_count from events where user_id % 7 <> 0 group by user_id)"
+OUT = "o as (select user_id as source_id, case when user_id % 7 = 0 then 'skipped_rotation' when user_id % 6 = 0 then 'failure' when user_id % 6 = 1 then 'empty' else 'success' end as status, case when user_id % 7 = 0 or user_id % 6 < 2 then 0 else count(*) end as item_count from events group by user_id)"
 
 
-def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "events").where("user_id % 7 <> 0").groupBy(F.col("user_id").alias("source_id")).agg(F.count("*").alias("n"))
-    m = F.col("source_id") % 6
-    n = F.when(m < 2, 0).otherwise(F.col("n")).cast("long")
-    return c.select("source_id", F.when(m == 0, "failure").when(m == 1, "empty").otherwise("success").alias("status"), n.alias("item_count"), n.alias("candidate_count"))
+def outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "events").groupBy(F.col("user_id").alias("source_id")).agg(F.count("*").alias("n"))
+    m, skipped = F.col("source_id") % 6, F.col("source_id") % 7 == 0
+    n = F.when(skipped | (m < 2), 0).otherwise(F.col("n")).cast("long")
+    return c.select("source_id", F.when(skipped, "skipped_rotation").when(m == 0, "failure").when(m == 1, "empty").otherwise("success").alias("status"), n.alias("item_count"), n.alias("candidate_count"))
 
 
-@query(f"with {_OUT} select count(*) as attempted, count(*) filter (where status <> 'failure') as successful, count(*) filter (where status = 'empty') as empty, count(*) filter (where status = 'failure') as failed, sum(item_count)::bigint as item_count, 'partial_failure' as status from o")
+@query(f"with {OUT} select count(*) filter (where status <> 'skipped_rotation') as attempted, count(*) filter (where status in ('success', 'empty')) as successful, count(*) filter (where status = 'empty') as empty, count(*) filter (where status = 'failure') as failed, sum(item_count)::bigint as item_count, 'partial_failure' as status from o")
 def fetch_report(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.fetch_report(_outcomes(spark, sf))
+    return metrics.fetch_report(outcomes(spark, sf))
 
 
 @query(
-    f"""with {EV}, {FOOD}, {_OUT}, t as (select sum(item_count) as total from o), s as (select distinct source_id from ev),
+    f"""with {EV}, {FOOD}, {OUT}, t as (select sum(item_count) as total from o), s as (select distinct source_id from ev),
 i as (select source_id, not isolated and relevant is distinct from false as rel, ai_score >= 1 as adm, category not in ('regulations_standards', 'food_safety_recalls') as com, sponsored, seq % 3 as dup, coalesce(event_key, id) as event_key from food),
 p as (select source_id, count(*) filter (where rel) as relevant_count, count(*) filter (where adm) as admitted_count, count(*) filter (where adm and com) as commercial_count, count(*) filter (where adm and sponsored) as sponsored_count, coalesce(sum(dup) filter (where adm), 0)::bigint as duplicate_count, count(distinct event_key) filter (where adm) as unique_count from i group by source_id)
-select s.source_id, coalesce(o.status, 'skipped_rotation') as fetch_status, coalesce(o.item_count, 0)::bigint as candidate_count, relevant_count, admitted_count, commercial_count, sponsored_count, duplicate_count, unique_count,
-  case when o.status is null then 0 else round_even(1000000 * o.item_count::double / total, 0)::bigint end as ai_tokens, round(case when o.status is null then 0.0 else 12.5::double * (o.item_count::double / total) end, 8) as estimated_cost
+select s.source_id, o.status as fetch_status, coalesce(o.item_count, 0)::bigint as candidate_count, relevant_count, admitted_count, commercial_count, sponsored_count, duplicate_count, unique_count,
+  case when o.status = 'skipped_rotation' then 0 else round_even(1000000 * o.item_count::double / total, 0)::bigint end as ai_tokens, round(case when o.status = 'skipped_rotation' then 0.0 else 12.5::double * (o.item_count::double / total) end, 8) as estimated_cost
 from s left join o using (source_id) left join p using (source_id), t"""
 )
 def source_run_metrics(spark: SparkSession, sf: str) -> DataFrame:
     f = food_ev(spark, sf)
     i = f.select("source_id", (~F.col("isolated") & ~F.col("relevant").eqNullSafe(False)).alias("relevant"), (F.col("ai_score") >= 1).alias("admitted"), F.col("category").isin(*ranking.COMMERCIAL).alias("commercial"), "sponsored", (F.col("seq") % 3).alias("duplicates"), F.coalesce("event_key", "id").alias("event_key"))
-    return metrics.source_run_metrics(f.select("source_id").distinct(), _outcomes(spark, sf), i, 1_000_000, 12.5)
+    return metrics.source_run_metrics(f.select("source_id").distinct(), outcomes(spark, sf), i, 1_000_000, 12.5)
 
 
-_TRIAL = """tr as (select user_id % 40 as source_id, cast(ts as date) as day, case when event_id % 11 = 0 then 'manual' else 'scheduled' end as provenance,
-  case event_id % 9 when 0 then 'failure' when 1 then 'empty' when 2 then 'skipped_rotation' else 'success' end as fetch_status, case when user_id % 40 = 7 then 'paywall' when user_id % 40 = 9 then 'robots_denied' else 'open' end as access_mode,
+_TRIAL = """tr as (select user_id % 40 as source_id, cast(ts as date) as day, case when gap or event_id % 11 = 0 then 'manual' else 'scheduled' end as provenance,
+  case when gap or event_id % 9 = 2 then 'skipped_rotation' when event_id % 9 = 0 then 'failure' when event_id % 9 = 1 then 'empty' else 'success' end as fetch_status, case when user_id % 40 = 7 then 'paywall' when user_id % 40 = 9 then 'robots_denied' else 'open' end as access_mode,
   (100 - event_id % 13) / 100.0::double as parse_rate, event_id % 20 as candidate_count, event_id % 5 as admitted_count, event_id % 3 as commercial_count, event_id % 2 as duplicate_count, event_id % 4 as unique_count,
-  case when user_id % 40 = 3 then null else value / 8 end as cost from events where (user_id + cast(epoch(date_trunc('day', ts)) / 86400 as bigint)) % 23 <> 0)"""
+  case when user_id % 40 = 3 then null else value / 8 end as cost from (select *, (user_id + cast(epoch(date_trunc('day', ts)) / 86400 as bigint)) % 23 = 0 as gap from events) e)"""
 
 
 def _trials(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").where("(user_id + unix_date(cast(ts as date))) % 23 <> 0")
+    # on its gap days a source has no scheduled run and nothing is fetched
+    e = table(spark, sf, "events").withColumn("gap", F.expr("(user_id + unix_date(cast(ts as date))) % 23 = 0"))
     i, u = F.col("event_id"), F.col("user_id") % 40
     return e.select(
-        u.alias("source_id"), F.to_date("ts").alias("day"), F.when(i % 11 == 0, "manual").otherwise("scheduled").alias("provenance"), F.when(i % 9 == 0, "failure").when(i % 9 == 1, "empty").when(i % 9 == 2, "skipped_rotation").otherwise("success").alias("fetch_status"),
+        u.alias("source_id"), F.to_date("ts").alias("day"), F.when(F.col("gap") | (i % 11 == 0), "manual").otherwise("scheduled").alias("provenance"), F.when(F.col("gap") | (i % 9 == 2), "skipped_rotation").when(i % 9 == 0, "failure").when(i % 9 == 1, "empty").otherwise("success").alias("fetch_status"),
         F.when(u == 7, "paywall").when(u == 9, "robots_denied").otherwise("open").alias("access_mode"), ((100 - i % 13) / 100.0).cast("double").alias("parse_rate"), (i % 20).alias("candidate_count"), (i % 5).alias("admitted_count"), (i % 3).alias("commercial_count"), (i % 2).alias("duplicate_count"), (i % 4).alias("unique_count"), F.when(u != 3, F.col("value") / 8).alias("cost"),
     )
 
@@ -415,17 +399,17 @@ h as (select *, list_reduce(list_prepend(0::bigint, list_transform(string_split(
 select source_id, tier from h where tier = 'core' or bucket = (date_diff('day', date '0001-01-01', date '2026-07-24') + 1) % case when tier = 'extended' then 3 else 7 end"""
 )
 def source_rotation(spark: SparkSession, sf: str) -> DataFrame:
-    return rotation.rotated(_sources(spark, sf), "2026-07-24", 3, 7).where("due").select("source_id", "tier")
+    return rotation.rotated(sources(spark, sf), "2026-07-24", 3, 7).where("due").select("source_id", "tier")
 
 
-def _sources(spark: SparkSession, sf: str) -> DataFrame:
+def sources(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col("c_custkey")
     return table(spark, sf, "customer").select(F.concat(F.lit("src-"), c).alias("source_id"), F.when(c % 3 == 0, "core").when(c % 3 == 1, "extended").otherwise("discovery").alias("tier"), (c % 10 != 9).alias("enabled"))
 
 
 @query("select source_id, tier from (select 'src-' || c_custkey as source_id, case c_custkey % 3 when 0 then 'core' when 1 then 'extended' else 'discovery' end as tier from customer where c_custkey % 10 <> 9) order by case when tier = 'extended' then 0 else 1 end, sha256('2026-07-24:' || source_id), source_id limit 40")
 def fallback_order(spark: SparkSession, sf: str) -> DataFrame:
-    return _sources(spark, sf).where("enabled").orderBy(*rotation.fallback_order("2026-07-24")).limit(40).select("source_id", "tier")
+    return sources(spark, sf).where("enabled").orderBy(*rotation.fallback_order("2026-07-24")).limit(40).select("source_id", "tier")
 
 
 @query("select max(o_orderdate) filter (where o_orderpriority = '1-URGENT' and o_orderstatus = 'F') as last_completed, coalesce(max(o_orderdate) filter (where o_orderpriority = '1-URGENT' and o_orderstatus = 'F') >= timestamp '1998-01-01', false) as healthy from orders")
@@ -512,3 +496,6 @@ def stream_window_counts(spark: SparkSession, sf: str) -> DataFrame:
     s = _stream(spark, sf).select("event_type", F.col("ts").cast("timestamp").alias("at"))
     out = dedup.drained(dedup.window_counts(s, "at", "1 day", "2 days", "event_type"), "stream-counts", mode="complete")
     return out.select(F.unix_timestamp("window_start").alias("day_start"), "event_type", "n")
+
+
+from . import source_queries  # noqa: E402, F401  registers its queries
