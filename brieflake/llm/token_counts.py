@@ -6,6 +6,11 @@ descending the tree, splits again only from two pre-tokens before the edit (the
 pattern looks ahead no further) until a split falls on an old boundary behind
 the edit, encodes the new pre-tokens, and adds the differences up the tree.
 
+``trees`` makes the table of trees: each document's text with the characters and
+tokens of its pre-tokens.  ``edited`` applies a column of edits to such a table
+and encodes nothing but what they touch; with ``keep`` it gives the table after
+them, for the edits to come.  ``edit_table`` does so for a table of edits.
+
 A null text counts as empty.  Edits apply one after the other; their offsets are
 in characters of the text as it is then, clipped to it; a null edit list or
 replacement is empty.  Rows may repeat; other columns don't matter.
@@ -15,15 +20,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import RANKS
 from .split import Remembered, splitter
-from .store import arrow, table
+from .store import arrow, table, written
 
 BLOCK = 64
 REMEMBER = 200_000  # pre-tokens, in each of two generations
@@ -61,12 +67,15 @@ def counter(path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> Coun
 class CountTree:
     """Token counts of one text under edits.  ``encoded``: pre-tokens encoded so far."""
 
-    def __init__(self, count: Counter, text: str):
-        self.count, self.text = count, text
-        pieces = count.split(text)
-        self.encoded = len(pieces)
-        tokens, sizes = count(pieces), list(map(len, pieces))
-        self.blocks = [[sizes[i : i + BLOCK], tokens[i : i + BLOCK]] for i in range(0, len(pieces), BLOCK)] or [[[], []]]
+    def __init__(self, count: Counter, text: str, leaves: tuple[list[int], list[int]] | None = None):
+        """The tree of a text, or of ``leaves``, the characters and tokens of its pre-tokens as ``leaves()`` gave them."""
+        self.count, self.text, self.encoded = count, text, 0
+        if leaves is None:
+            pieces = count.split(text)
+            self.encoded = len(pieces)
+            leaves = list(map(len, pieces)), count(pieces)
+        sizes, tokens = leaves
+        self.blocks = [[sizes[i : i + BLOCK], tokens[i : i + BLOCK]] for i in range(0, len(sizes), BLOCK)] or [[[], []]]
         self._grow()
 
     def _grow(self) -> None:
@@ -79,6 +88,9 @@ class CountTree:
             self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
             self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
 
+    def leaves(self) -> tuple[list[int], list[int]]:
+        return [x for b in self.blocks for x in b[0]], [x for b in self.blocks for x in b[1]]
+
     @property
     def n_tokens(self) -> int:
         return self.tokens[1]
@@ -162,26 +174,77 @@ class CountTree:
             yield begin
 
 
-def counted(docs: DataFrame, edits: str | None = None, path: str = RANKS, make: Callable[[str], Counter] = counter) -> DataFrame:
-    """doc_id, n_pieces, n_tokens of each row's text, and with ``edits`` (a column array<struct<start,end,text>>) n_tokens_edited after them and n_reencoded, the pre-tokens encoded again for them."""
+TREE = "doc_id long, text string, sizes binary, tokens binary"
+COUNTS = ["doc_id", "n_pieces", "n_tokens", "n_tokens_edited", "n_reencoded"]
+EDIT = "array<struct<start:long,end:long,text:string>>"
+ROUND = 1000  # edits of one document that a task holds at a time
+
+
+def _bytes(x: list[int]) -> bytes:
+    return np.array(x, dtype="<u4").tobytes()
+
+
+def _numbers(x: bytes) -> list[int]:
+    return np.frombuffer(x, "<u4").tolist()
+
+
+def trees(docs: DataFrame, path: str = RANKS, make: Callable[[str], Counter] = counter) -> DataFrame:
+    """doc_id, text, and the characters (sizes) and tokens of its pre-tokens as 32-bit numbers: what a tree is grown from without encoding."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = make(path)
+        for b in batches:
+            texts = [t.as_py() or "" for t in b.column(1)]
+            pieces = [c.split(t) for t in texts]
+            sizes, tokens = ([_bytes(list(map(len, p))) for p in pieces], [_bytes(c(p)) for p in pieces])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(sizes, pa.binary()), pa.array(tokens, pa.binary())], names=["doc_id", "text", "sizes", "tokens"])
+
+    return arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, TREE)
+
+
+def edited(table_of_trees: DataFrame, edits: str | None, path: str = RANKS, keep: bool = False, make: Callable[[str], Counter] = counter) -> DataFrame:
+    """Counts of each tree before and after its ``edits`` (an expression of type EDIT), and n_reencoded, the pre-tokens encoded for them; with ``keep`` also the tree after them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = make(path)
         for b in batches:
-            out = [[], [], [], []]
-            for t, es in zip(b.column(1), b.column(2), strict=True):
-                tree = CountTree(c, t.as_py() or "")
-                n, before = tree.encoded, tree.n_tokens
+            out: list[list] = [[], [], [], [], [], [], []]
+            for t, sizes, tokens, es in zip(*(b.column(i) for i in range(1, 5)), strict=True):
+                tree = CountTree(c, t.as_py(), (_numbers(sizes.as_py()), _numbers(tokens.as_py())))
+                n, before = len(sizes.as_py()) // 4, tree.n_tokens
                 for e in es.as_py() or []:
                     if e is not None:
                         tree.edit(e["start"] or 0, e["end"] or 0, e["text"] or "")
-                for col, v in zip(out, (n, before, tree.n_tokens, tree.encoded - n), strict=True):
+                after = (tree.text, *map(_bytes, tree.leaves())) if keep else ()
+                for col, v in zip(out, (n, before, tree.n_tokens, tree.encoded, *after), strict=False):
                     col.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in out)], names=["doc_id", "n_pieces", "n_tokens", "n_tokens_edited", "n_reencoded"])
+            more = [pa.array(out[4], pa.string()), pa.array(out[5], pa.binary()), pa.array(out[6], pa.binary())] if keep else []
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in out[:4]), *more], names=COUNTS + ["text", "sizes", "tokens"] * keep)
+
+    rows = table_of_trees.select("doc_id", "text", "sizes", "tokens", (F.expr(edits) if edits else F.lit(None)).cast(EDIT).alias("edits"))
+    return arrow(rows, run, ", ".join(f"{c} long" for c in COUNTS) + ", text string, sizes binary, tokens binary" * keep)
+
+
+def edit_table(table_of_trees: DataFrame, edits: DataFrame, path: str = RANKS) -> DataFrame:
+    """The table of trees after a table of edits (doc_id, seq, start, end, text), each document's in the order of seq.
+
+    A document's edits build on each other, so they are applied ROUND at a time,
+    with the table written in between.  A document's trees that repeat are all
+    edited; edits of documents that aren't there, or with a null doc_id, do
+    nothing.
+    """
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq", "start", "end", "text"))
+    e = written(edits.where("doc_id is not null").select(F.col("doc_id").cast("long"), "seq", F.col("start").cast("long"), F.col("end").cast("long"), "text").withColumn("round", F.floor((n - 1) / ROUND)), "edits")
+    for r in range((e.agg(F.max("round")).first()[0] or 0) + 1):
+        one = e.where(F.col("round") == r).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "start", "end", "text"))), lambda x: F.struct(x["start"], x["end"], x["text"])).alias("edits"))
+        touched = edited(table_of_trees.join(one, "doc_id"), "edits", path, keep=True).select("doc_id", "text", "sizes", "tokens")
+        table_of_trees = written(table_of_trees.join(one, "doc_id", "left_anti").unionByName(touched), "trees")
+    return table_of_trees
+
 
-    none = F.lit(None).cast("array<struct<start:long,end:long,text:string>>")
-    rows = docs.select(F.col("doc_id").cast("long"), "text", (F.expr(edits) if edits else none).alias("edits"))
-    return arrow(rows, run, "doc_id long, n_pieces long, n_tokens long, n_tokens_edited long, n_reencoded long")
+def counted(docs: DataFrame, edits: str | None = None, path: str = RANKS) -> DataFrame:
+    """doc_id, n_pieces, n_tokens of each row's text, and with ``edits`` (an expression over doc_id and text) n_tokens_edited after them and n_reencoded; by a written table of trees."""
+    return edited(written(trees(docs, path), "trees"), edits, path)
 
 
 #: The query's edits of every text: forty characters in the middle give way to a phrase, a quarter in a word is put in, at three quarters ten characters go, and a line is added.
@@ -193,5 +256,5 @@ EDITS = """array(
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.length(F.coalesce("text", F.lit(""))).alias("n"))
-    return counted(docs, EDITS)
+    kept = written(trees(table(spark, sf_dir, "documents")), "trees")
+    return edited(kept.withColumn("n", F.length("text")), EDITS)

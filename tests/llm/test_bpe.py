@@ -86,6 +86,28 @@ def test_counts_after_edits(spark, tables, tiktoken_encoding):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_edit_table(spark, docs, no_docs, tiktoken_encoding, monkeypatch):
+    monkeypatch.setattr(token_counts, "ROUND", 2)
+    rows = [(1, 1, 5, 9, "new words "), (1, 2, 0, 0, "'s"), (1, 3, 10**9, 10**9, " end"), (1, 4, 3, 3, None), (1, 5, 2, 20, ""), (9, 1, 70_000, 70_003, "zz"), (4, 1, 0, 5, "from nothing"), (5, 1, None, None, "x"), (424242, 1, 0, 0, "nobody"), (None, 1, 0, 0, "nobody"), (7, 1, 1, 3, None)]
+    edits = spark.createDataFrame(rows, "doc_id long, seq int, start long, end long, text string")
+    kept = token_counts.written(token_counts.trees(docs), "trees")
+    after = token_counts.edit_table(kept, edits).collect()
+    want = []
+    for i, t, _ in edge_texts():
+        t = t or ""
+        for _, _, a, b, new in sorted((r for r in rows if r[0] == i and i is not None), key=lambda r: r[1]):
+            a = min(a or 0, len(t))
+            t = t[:a] + (new or "") + t[max(a, min(b or 0, len(t))) :]
+        want.append((i, t, len(tiktoken_encoding.encode_ordinary(t))))
+    assert sorted(((r.doc_id, r.text, sum(np.frombuffer(r.tokens, "<u4").tolist())) for r in after), key=str) == sorted(want, key=str)
+    assert all(sum(np.frombuffer(r.sizes, "<u4").tolist()) == len(r.text) for r in after)
+    # a stored tree encodes only what an edit touches
+    long = token_counts.edited(kept.where("doc_id = 9"), "array(named_struct('start', 70000L, 'end', 70003L, 'text', 'zz'))").first()
+    assert long.n_reencoded < 12 < long.n_pieces
+    none = token_counts.trees(no_docs)
+    assert token_counts.edited(none, None).collect() == [] and token_counts.edit_table(none, edits.limit(0)).collect() == []
+
+
 def test_token_files(spark, docs, tmp_path):
     from tokenizers import Tokenizer
 
