@@ -150,9 +150,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
 
     rows = written(_blocks(clean(vectors), BLOCK, scale, True), "va-file")
     asked = written(_blocks(clean(queries).distinct(), QUERIES, scale, False).toDF("q_block", "dim", "q_n", "q_ids", "q_exact"), "va-queries")
-    # numbers of blocks only: a row for each 8192 vectors
-    meets = rows.select("block", "dim").join(asked.select("q_block", "dim"), "dim").select("block", "q_block")
-    meets = meets.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "block", "q_block")
+    # numbers of blocks only: a row for each 8192 vectors; row blocks are dealt into shares and query blocks go to each, so no task makes all the pairs of a length
+    shares = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    mine = rows.select("block", "dim", F.pmod(F.hash("block"), F.lit(shares)).alias("share"))
+    theirs = asked.select("q_block", "dim", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+    meets = mine.join(theirs, ["dim", "share"]).select("block", "q_block").repartition(shares, "block", "q_block")
     pairs = meets.join(rows, "block").join(asked.drop("dim"), "q_block").select("ids", "exact", "cells", "low", "step", "dim", "q_ids", "q_exact")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
