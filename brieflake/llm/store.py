@@ -35,20 +35,20 @@ def new_dir(spark: SparkSession, kind: str) -> str:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def _write(df: DataFrame, path: str) -> DataFrame:
+def _write(df: DataFrame, path: str, codec: str | None = None) -> DataFrame:
     spark = df.sparkSession
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def written(df: DataFrame, kind: str) -> DataFrame:
-    """df, written as Parquet under the shared folder and read back.  What comes back doesn't hang on df's inputs."""
-    return _write(df, new_dir(df.sparkSession, kind))
+def written(df: DataFrame, kind: str, codec: str | None = None) -> DataFrame:
+    """df, written as Parquet (by the session's codec, or the one given) under the shared folder and read back.  What comes back doesn't hang on df's inputs."""
+    return _write(df, new_dir(df.sparkSession, kind), codec)
 
 
 class Scratch:

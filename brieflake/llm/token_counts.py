@@ -180,23 +180,25 @@ EDIT = "array<struct<start:long,end:long,text:string>>"
 ROUND = 1000  # edits of one document that a task holds at a time
 
 
-def _bytes(x: list[int]) -> bytes:
-    return np.array(x, dtype="<u4").tobytes()
+def packed(x: list[int]) -> bytes:
+    """Numbers in one, two or four bytes each, as the largest needs, behind a byte that says so."""
+    width = 1 if max(x, default=0) < 1 << 8 else 2 if max(x) < 1 << 16 else 4
+    return bytes([width]) + np.array(x, dtype=f"<u{width}").tobytes()
 
 
-def _numbers(x: bytes) -> list[int]:
-    return np.frombuffer(x, "<u4").tolist()
+def numbers(x: bytes) -> list[int]:
+    return np.frombuffer(x, f"<u{x[0]}", offset=1).tolist()
 
 
 def trees(docs: DataFrame, path: str = RANKS, make: Callable[[str], Counter] = counter) -> DataFrame:
-    """doc_id, text, and the characters (sizes) and tokens of its pre-tokens as 32-bit numbers: what a tree is grown from without encoding."""
+    """doc_id, text, and the characters (sizes) and tokens of its pre-tokens, packed: what a tree is grown from without encoding."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = make(path)
         for b in batches:
             texts = [t.as_py() or "" for t in b.column(1)]
             pieces = [c.split(t) for t in texts]
-            sizes, tokens = ([_bytes(list(map(len, p))) for p in pieces], [_bytes(c(p)) for p in pieces])
+            sizes, tokens = [packed(list(map(len, p))) for p in pieces], [packed(c(p)) for p in pieces]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(sizes, pa.binary()), pa.array(tokens, pa.binary())], names=["doc_id", "text", "sizes", "tokens"])
 
     return arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, TREE)
@@ -210,12 +212,13 @@ def edited(table_of_trees: DataFrame, edits: str | None, path: str = RANKS, keep
         for b in batches:
             out: list[list] = [[], [], [], [], [], [], []]
             for t, sizes, tokens, es in zip(*(b.column(i) for i in range(1, 5)), strict=True):
-                tree = CountTree(c, t.as_py(), (_numbers(sizes.as_py()), _numbers(tokens.as_py())))
-                n, before = len(sizes.as_py()) // 4, tree.n_tokens
+                leaves = numbers(sizes.as_py()), numbers(tokens.as_py())
+                tree = CountTree(c, t.as_py(), leaves)
+                n, before = len(leaves[0]), tree.n_tokens
                 for e in es.as_py() or []:
                     if e is not None:
                         tree.edit(e["start"] or 0, e["end"] or 0, e["text"] or "")
-                after = (tree.text, *map(_bytes, tree.leaves())) if keep else ()
+                after = (tree.text, *map(packed, tree.leaves())) if keep else ()
                 for col, v in zip(out, (n, before, tree.n_tokens, tree.encoded, *after), strict=False):
                     col.append(v)
             more = [pa.array(out[4], pa.string()), pa.array(out[5], pa.binary()), pa.array(out[6], pa.binary())] if keep else []
@@ -238,13 +241,13 @@ def edit_table(table_of_trees: DataFrame, edits: DataFrame, path: str = RANKS) -
     for r in range((e.agg(F.max("round")).first()[0] or 0) + 1):
         one = e.where(F.col("round") == r).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "start", "end", "text"))), lambda x: F.struct(x["start"], x["end"], x["text"])).alias("edits"))
         touched = edited(table_of_trees.join(one, "doc_id"), "edits", path, keep=True).select("doc_id", "text", "sizes", "tokens")
-        table_of_trees = written(table_of_trees.join(one, "doc_id", "left_anti").unionByName(touched), "trees")
+        table_of_trees = written(table_of_trees.join(one, "doc_id", "left_anti").unionByName(touched), "trees", "zstd")
     return table_of_trees
 
 
 def counted(docs: DataFrame, edits: str | None = None, path: str = RANKS) -> DataFrame:
     """doc_id, n_pieces, n_tokens of each row's text, and with ``edits`` (an expression over doc_id and text) n_tokens_edited after them and n_reencoded; by a written table of trees."""
-    return edited(written(trees(docs, path), "trees"), edits, path)
+    return edited(written(trees(docs, path), "trees", "zstd"), edits, path)
 
 
 #: The query's edits of every text: forty characters in the middle give way to a phrase, a quarter in a word is put in, at three quarters ten characters go, and a line is added.
@@ -256,5 +259,5 @@ EDITS = """array(
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = written(trees(table(spark, sf_dir, "documents")), "trees")
+    kept = written(trees(table(spark, sf_dir, "documents")), "trees", "zstd")
     return edited(kept.withColumn("n", F.length("text")), EDITS)
