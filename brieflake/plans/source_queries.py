@@ -85,7 +85,8 @@ def usage_since(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.usage_delta(total(1000, 300), total(700, 400))
 
 
-_FIX = lambda x, n: f"cast(cast({x} as decimal(18,9)) as decimal(18,{n}))::varchar"
+# the shortest decimal form of a double, rounded half up once
+_FIX = lambda x, n: f"cast(cast(cast({x} as varchar) as decimal(38,18)) as decimal(18,{n}))::varchar"
 
 
 @query(
