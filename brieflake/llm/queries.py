@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("vector_search", "near_dedup", "passages", "quality", "token_files", "token_counts", "language", "decontaminate", "bpe", "toxicity", "ball_trees", "phrases")
+_MODULES = ("vector_search", "near_dedup", "passages", "quality", "token_files", "token_counts", "language", "decontaminate", "bpe", "toxicity", "ball_trees", "phrases", "page_text")
 
 
 def _gather(what: str) -> dict:
