@@ -272,7 +272,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host(F.col("url")).alias("host"), "html")
     with Scratch(spark) as to:
         known = to.keep(templates(rows), "templates")
-        slotted = to.keep(_slotted(rows.join(_small(known), "host", "left")), "page-blocks")
+        slotted = to.keep(_slotted(rows.join(_small(known), "host", "left")), "page-blocks", "zstd")
         made = to.keep(wrappers(slotted, known), "wrappers")
         p = slotted.join(_small(made), ["host", "template"], "left")
         none = F.expr("cast(array() as array<struct<slot:int,hash:long>>)")
@@ -282,7 +282,7 @@ def main_text(pages: DataFrame) -> DataFrame:
         size = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.length(x["text"]))
         p = p.withColumn("fresh", fresh).withColumn("mine", F.when(2 * size("fresh") > size("mine"), F.col("fresh")).otherwise(F.col("mine")))
         text = F.array_join(F.transform("mine", lambda x: x["text"]), "\n")
-        return written(p.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars")), "main-texts")
+        return written(p.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars")), "main-texts", "zstd")
 
 
 def op12_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:

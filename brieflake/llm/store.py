@@ -61,10 +61,10 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
-    def keep(self, df: DataFrame, kind: str) -> DataFrame:
+    def keep(self, df: DataFrame, kind: str, codec: str | None = None) -> DataFrame:
         path = new_dir(self.spark, kind)
         self.paths[path] = None
-        out = _write(df, path)
+        out = _write(df, path, codec)
         self.paths[path] = out
         return out
 
