@@ -32,7 +32,8 @@ EVENT_KINDS = {
 
 def event_kinds(text: Column) -> Column:
     """The kinds, sorted, whose words a folded text holds."""
-    return F.array_compact(F.array(*(F.when(F.exists(F.array(*map(F.lit, ws)), lambda w: F.contains(text, w)), F.lit(k)) for k, ws in sorted(EVENT_KINDS.items()))))
+    held = lambda t: F.array_compact(F.array(*(F.when(t.rlike("|".join(ws)), F.lit(k)) for k, ws in sorted(EVENT_KINDS.items()))))
+    return F.get(F.transform(F.array(text), held), F.lit(0))  # a text that is long to work out is so once
 
 
 def company_tags(tags: Column) -> Column:
@@ -49,8 +50,9 @@ def tags_overlap(a: Column, b: Column) -> Column:
 def blocks(titles: Column, companies: Column, subjects: Column) -> Column:
     """Block keys of a report: bands of min-hashes over its folded titles' runs of signs (so nearly equal titles in any script meet), each company tag, and each subject tag.
 
-    titles, companies, subjects: arrays, folded.  Reports whose titles share less
-    and that have no tag in common don't meet; tests hold the recall against all pairs.
+    titles, companies, subjects: arrays, folded.  Tags that are a part of another's
+    meet by their pairs of signs besides (_met).  Reports whose titles share less and
+    whose tags aren't part of each other don't meet; tests hold the recall against all pairs.
     """
     tags = lambda kind, ts: F.transform(F.coalesce(ts, F.array().cast("array<string>")), lambda x: F.concat(F.lit(kind), x))
     return F.array_distinct(F.concat(title_bands(titles), tags("c:", companies), tags("s:", subjects)))
@@ -62,33 +64,61 @@ _FACTS = ("title", "title_zh", "summary", "category", "markets", "companies", "k
 
 def _classed(df: DataFrame) -> DataFrame:
     """df with sig, a name for all that the rules look at, t, its second, and whether it has a title at all (else copies aren't alike)."""
-    facts = [*_FACTS, *(g for g in _GROUPS if g in df.columns), "blocks"]
-    return df.withColumns({"sig": F.md5(F.to_json(F.struct(*facts))), "t": F.unix_timestamp("published_at"), "titled": F.concat_ws(" ", "title", "title_zh").rlike(r"[\p{L}\p{N}]")})
+    groups = [g for g in _GROUPS if g in df.columns]
+    facts = [*_FACTS, *groups, "blocks"]
+    named = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.struct(F.lit(c).alias("kind"), x.alias("tag")))
+    return df.withColumns({"tags": F.array_distinct(F.concat(*map(named, ("companies", *groups)))), "sig": F.md5(F.to_json(F.struct(*facts))), "t": F.unix_timestamp("published_at"), "titled": F.concat_ws(" ", "title", "title_zh").rlike(r"[\p{L}\p{N}]")})
 
 
 def _cells(rows: DataFrame, seconds: int) -> DataFrame:
     """One row for each class and stretch of time: its first, last and smallest report, and its blocks."""
-    return rows.groupBy("sig", F.floor(F.col("t") / seconds).alias("bucket")).agg(F.min("seq").alias("rep"), F.min(F.struct("t", "seq")).alias("first"), F.max(F.struct("t", "seq")).alias("last"), F.count("*").alias("many"), F.first("titled").alias("titled"), F.first("blocks").alias("blocks"))
+    return rows.groupBy("sig", F.floor(F.col("t") / seconds).alias("bucket")).agg(F.min("seq").alias("rep"), F.min(F.struct("t", "seq")).alias("first"), F.max(F.struct("t", "seq")).alias("last"), F.count("*").alias("many"), F.first("titled").alias("titled"), F.first("blocks").alias("blocks"), F.first("tags").alias("tags"))
+
+
+def _pairs(tag: Column) -> Column:
+    """The pairs of neighbouring signs of a tag, or the tag, if it has no more than one."""
+    return F.when(F.length(tag) < 2, F.array(tag)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(tag) - 1, F.lit(1))), lambda i: F.substring(tag, i, F.lit(2)))))
+
+
+#: Cells of one block and stretch of time that meet in one task; of more, one side is dealt into parts and the other goes to each.
+PART = 1000
 
 
 def _met(x: DataFrame, y: DataFrame, seconds: int) -> DataFrame:
     """Pairs of cells of x and y that share a block and come within so many seconds: their columns with _a and _b, and gap."""
-    keyed = lambda d, s: d.select(F.explode(F.array_distinct("blocks")).alias("block"), "bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("sig", "rep", "first", "last")))
+    def keyed(d: DataFrame, s: str) -> DataFrame:
+        # a tag within another has its least pair of signs there: what is looked for goes by one pair, what may hold it by all
+        one, every = ("in:", "on:") if s == "a" else ("on:", "in:")
+        nothing = F.lit(None).cast("string")
+        plain = F.transform(F.array_distinct("blocks"), lambda b: F.struct(b.alias("block"), nothing.alias("tag")))
+        part = F.transform("tags", lambda t: F.struct(F.concat(F.lit(one), t["kind"], F.lit(":"), F.array_min(F.transform(_pairs(t["tag"]), lambda g: F.struct(F.xxhash64(g), g.alias("g"))))["g"]).alias("block"), t["tag"].alias("tag")))
+        holds = F.flatten(F.transform("tags", lambda t: F.transform(_pairs(t["tag"]), lambda g: F.struct(F.concat(F.lit(every), t["kind"], F.lit(":"), g).alias("block"), t["tag"].alias("tag")))))
+        rows = d.select(F.inline(F.concat(plain, part, holds)), "bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("sig", "rep", "first", "last")))
+        return rows.withColumnRenamed("tag", f"tag_{s}")
+
+    mine = keyed(x, "a").withColumn("bucket_a", F.col("bucket"))
     near = keyed(y, "b").withColumn("bucket_b", F.col("bucket")).withColumn("bucket", F.explode(F.array(*(F.col("bucket") + d for d in (-1, 0, 1)))))
+    # a row for each hot block alone: no more of them than cells / PART
+    hot = mine.groupBy("block", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > PART).select("block", "bucket", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    mine = mine.join(hot, ["block", "bucket"], "left").withColumn("part", F.pmod(F.xxhash64("sig_a"), parts).cast("int")).drop("parts")
+    near = near.join(hot, ["block", "bucket"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     gap = F.greatest(F.lit(0), F.col("first_b.t") - F.col("last_a.t"), F.col("first_a.t") - F.col("last_b.t"))
-    return keyed(x, "a").withColumn("bucket_a", F.col("bucket")).join(near, ["block", "bucket"]).where("sig_a <> sig_b").withColumn("gap", gap).where(F.col("gap") <= seconds).drop("block", "bucket").distinct()
+    return mine.join(near, ["block", "bucket", "part"]).where("sig_a <> sig_b and (tag_a is null or if(startswith(block, 'in:'), contains(tag_b, tag_a), contains(tag_a, tag_b)))").withColumn("gap", gap).where(F.col("gap") <= seconds).drop("block", "bucket", "part", "tag_a", "tag_b").distinct()
 
 
-def _judged(pairs: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
-    """The verdict on each pair of classes (sig_a, sig_b); what can't be one event by length and facts doesn't reach Python."""
+def _judged(pairs: DataFrame, x: DataFrame, y: DataFrame, whole_x: DataFrame, whole_y: DataFrame) -> DataFrame:
+    """The verdict on each pair of classes (sig_a, sig_b) of x and y, whose summaries whole_x and whole_y hold.  What can't be one event by length and facts doesn't reach Python, and only the texts that a rule reads are folded and go along."""
     words = F.concat_ws(" ", *(F.nullif(c, F.lit("")) for c in ("title", "title_zh", "summary")))
-    read = {"titles": folded_all(F.array("title", "title_zh")), "pref": folded(F.coalesce(F.nullif("title_zh", F.lit("")), "title")), "text": folded("summary"), "contexts": contexts(words)}
+    titles = {"titles": folded_all(F.array("title", "title_zh")), "pref": folded(F.coalesce(F.nullif("title_zh", F.lit("")), "title"))}
+    each = pairs.select("sig_a", "sig_b").distinct().checkpoint()
 
     def side(d: DataFrame, s: str) -> DataFrame:
-        one = d.dropDuplicates(["sig"]).withColumns(read).drop("seq", "published_at", "url_key", "t", "titled", "blocks", "title", "title_zh", "summary")
+        asked = d.join(each.select(F.col(f"sig_{s}").alias("sig")), "sig", "left_semi")
+        one = asked.drop("seq", "published_at", "url_key", "t", "titled", "blocks", "tags").dropDuplicates(["sig"]).withColumns(titles).drop("title", "title_zh")
         return one.select(*(F.col(c).alias(f"{c}_{s}") for c in one.columns))
 
-    p = pairs.select("sig_a", "sig_b").distinct().join(side(x, "a"), "sig_a").join(side(y, "b"), "sig_b")
+    p = each.join(side(x, "a"), "sig_a").join(side(y, "b"), "sig_b")
     both = lambda c: F.coalesce(F.arrays_overlap(f"{c}_a", f"{c}_b"), F.lit(False))
     overlap = lambda c: F.coalesce(tags_overlap(F.col(f"{c}_a"), F.col(f"{c}_b")), F.lit(False))
     groups = [g for g in _GROUPS if f"{g}_a" in p.columns and f"{g}_b" in p.columns]
@@ -99,11 +129,15 @@ def _judged(pairs: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
         "market": both("markets"), "category": F.coalesce(F.col("category_a") == F.col("category_b"), F.lit(False)), "company": overlap("companies"), "subject": subject, "key_part": overlap("key_parts"),
         "kind": both("kinds"), "compatible": (F.size("kinds_a") <= 0) | (F.size("kinds_b") <= 0) | both("kinds"), "groups": F.array(*(F.struct(F.col(f"{g}_a").alias("x"), F.col(f"{g}_b").alias("y")) for g in groups)) if groups else F.lit(None).cast("array<struct<x:array<string>,y:array<string>>>"),
     }
-    p = p.select("*", *(v.alias(k) for k, v in facts.items()))
+    p = p.select("*", *(v.alias(k) for k, v in facts.items())).withColumn("full", F.expr("company and market and category"))
     long_enough = F.exists("titles_a", lambda x: F.exists("titles_b", lambda y: 20 * F.least(F.length(x), F.length(y)) >= 9 * (F.length(x) + F.length(y))))
-    full = F.expr("company and market and category")
-    seen = [*(F.col(f"{c}_{s}") for c in ("titles", "pref") for s in "ab"), *(F.when(full, F.col(f"{c}_{s}")).alias(f"{c}_{s}") for c in ("text", "contexts") for s in "ab")]
-    p = p.where(F.expr("company or market") | long_enough).select("sig_a", "sig_b", *seen, *facts)
+    p = p.where(F.expr("company or market") | long_enough).select("sig_a", "sig_b", "titles_a", "titles_b", "pref_a", "pref_b", "full", *facts).checkpoint()
+
+    def read(d: DataFrame, s: str) -> DataFrame:
+        asked = d.join(p.where("full").select(F.col(f"sig_{s}").alias("sig")), "sig", "left_semi").select("sig", "title", "title_zh", "summary").dropDuplicates(["sig"])
+        return asked.select(F.col("sig").alias(f"sig_{s}"), F.lit(True).alias("full"), folded("summary").alias(f"text_{s}"), contexts(words).alias(f"contexts_{s}"))
+
+    p = p.join(read(whole_x, "a"), ["sig_a", "full"], "left").join(read(whole_y, "b"), ["sig_b", "full"], "left").drop("full")
     return p.mapInPandas(verdicts, "sig_a string, sig_b string, verdict int").where("verdict > 0")
 
 
@@ -133,14 +167,15 @@ def similar_events(df: DataFrame, hours: int = 48) -> DataFrame:
     ship(df.sparkSession)
     checkpoint_dir(df.sparkSession)
     seconds = 3600 * hours
-    rows = _classed(df)
+    whole = _classed(df)
+    rows = whole.drop("summary").checkpoint()
     cells = _cells(rows, seconds).checkpoint()
-    by_url = df.groupBy("url_key").agg(F.min("seq").alias("a"), F.count("*").alias("n")).where("n > 1").join(df.select("url_key", F.col("seq").alias("b")), "url_key").where("a <> b").select("a", "b")
+    by_url = rows.groupBy("url_key").agg(F.min("seq").alias("a"), F.count("*").alias("n")).where("n > 1").join(rows.select("url_key", F.col("seq").alias("b")), "url_key").where("a <> b").select("a", "b")
     star = rows.select("sig", F.floor(F.col("t") / seconds).alias("bucket"), "seq").join(cells.where("titled and many > 1").select("sig", "bucket", "rep"), ["sig", "bucket"]).where("seq <> rep").select(F.col("rep").alias("a"), F.col("seq").alias("b"))
     after = cells.select("sig", (F.col("bucket") - 1).alias("bucket"), F.col("first").alias("next"))
     chain = cells.where("titled").join(after, ["sig", "bucket"]).where(F.col("next.t") - F.col("last.t") <= seconds).select(F.col("last.seq").alias("a"), F.col("next.seq").alias("b"))
     met = _met(cells, cells, seconds).where("rep_a < rep_b").checkpoint()  # a ratio may hang on which comes first
-    judged = _judged(met, rows, rows)
+    judged = _judged(met, rows, rows, whole, whole)
     a = F.when(F.col("first_b.t") > F.col("last_a.t"), F.col("last_a.seq")).when(F.col("first_a.t") > F.col("last_b.t"), F.col("first_a.seq")).otherwise(F.col("rep_a"))
     b = F.when(F.col("first_b.t") > F.col("last_a.t"), F.col("first_b.seq")).when(F.col("first_a.t") > F.col("last_b.t"), F.col("last_b.seq")).otherwise(F.col("rep_b"))
     between = met.join(judged, ["sig_a", "sig_b"]).where(f"verdict = 2 or gap <= {48 * 3600}").select(a.alias("a"), b.alias("b"))
@@ -153,12 +188,13 @@ def remembered_events(events: DataFrame, memory: DataFrame, hours: int = 168) ->
     ship(events.sparkSession)
     checkpoint_dir(events.sparkSession)
     seconds = 3600 * hours
-    x, y = _classed(events), _classed(memory)
+    whole_x, whole_y = _classed(events), _classed(memory)
+    x, y = whole_x.drop("summary").checkpoint(), whole_y.drop("summary").checkpoint()
     one_url = x.join(y.select("url_key").distinct(), "url_key", "left_semi").select("seq")
     one_class = x.where("titled").join(_cells(y, seconds).select("sig", "first", "last"), "sig").where(F.greatest(F.col("first.t") - F.col("t"), F.col("t") - F.col("last.t")) <= seconds).select("seq")
     # each event is a cell of its own: its age decides
-    single = x.select("sig", F.floor(F.col("t") / seconds).alias("bucket"), F.col("seq").alias("rep"), F.struct("t", "seq").alias("first"), F.struct("t", "seq").alias("last"), "blocks")
+    single = x.select("sig", F.floor(F.col("t") / seconds).alias("bucket"), F.col("seq").alias("rep"), F.struct("t", "seq").alias("first"), F.struct("t", "seq").alias("last"), "blocks", "tags")
     met = _met(single, _cells(y, seconds), seconds).checkpoint()
-    judged = _judged(met, x, y)
+    judged = _judged(met, x, y, whole_x, whole_y)
     ruled = met.join(judged, ["sig_a", "sig_b"]).where(f"verdict = 2 or gap <= {48 * 3600}").select(F.col("rep_a").alias("seq"))
     return one_url.union(one_class).union(ruled).distinct()

@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import fixed_point
 from ..schema import RISK_LEVELS
 from ..ship import ship
+from . import windows
 
 # Categories that count as commercial.
 COMMERCIAL = ("product_innovation", "ingredients_technology", "packaging_labeling", "consumer_trends", "retail_foodservice", "company_updates")
@@ -65,9 +67,10 @@ def ranked(df: DataFrame, p: Profile) -> DataFrame:
 def reason(p: Profile, name: str) -> Column:
     """Why a ranked row was chosen: scores with two decimals, multipliers and the final rank with four."""
     topic = 1 + _looked_up(p.topic_weights, F.col("category"))
-    parts = [("importance", "%.2f", F.col("importance")), ("profile_relevance", "%.2f", F.col("relevance")), ("opportunity", "%.2f", F.col("opportunity")), ("evidence_quality", "%.2f", F.col("evidence_quality"))]
-    parts += [("topic_multiplier", "%.4f", topic), ("market_multiplier", "%.4f", _market(p)), ("evidence_tier", "%d", F.col("effective_tier")), ("final_rank", "%.4f", F.col("final_rank"))]
-    return F.format_string("profile=%s; " + "; ".join(f"{k}={f}" for k, f, _ in parts), F.lit(name), *(c for _, _, c in parts))
+    parts = [("importance", 2, F.col("importance")), ("profile_relevance", 2, F.col("relevance")), ("opportunity", 2, F.col("opportunity")), ("evidence_quality", 2, F.col("evidence_quality"))]
+    parts += [("topic_multiplier", 4, topic), ("market_multiplier", 4, _market(p)), ("evidence_tier", 0, F.col("effective_tier")), ("final_rank", 4, F.col("final_rank"))]
+    said = [F.concat(F.lit(f"{k}="), fixed_point(c, n) if n else c.cast("string")) for k, n, c in parts]
+    return F.concat_ws("; ", F.lit(f"profile={name}"), *said)
 
 
 def rank_order() -> list[Column]:
@@ -148,5 +151,4 @@ def must_read(brief: DataFrame, bar: float = 6.0) -> DataFrame:
     rest = [c for c in brief.columns if c != "id"]
     once = brief.groupBy("id").agg(F.min_by(F.struct(*rest), order).alias("r")).select("id", "r.*")
     part = F.when(F.col("base_rank") >= bar, "must_read").otherwise("news")
-    return once.withColumn("part", part).withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("final_rank"), F.desc("published_at"), F.asc("url"), F.asc("seq"))))
-
+    return windows.numbered(once.withColumn("part", part), [F.desc("final_rank"), F.desc("published_at"), F.asc("url"), F.asc("seq")], by="part")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..ship import checkpoint_dir
+
 MOST_HOURS = 720
 
 
@@ -75,3 +77,24 @@ def freshness(runs: DataFrame, due_before: str) -> DataFrame:
 def top_per_key(df: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
     """The k first rows of each key; Spark keeps k rows of each key map-side before it shuffles."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def numbered(df: DataFrame, order: list[Column], by: str | None = None, out: str = "place") -> DataFrame:
+    """df with each row's place (int, from 1) in the order, within ``by`` if it is given.
+
+    No task sees all rows, however few values ``by`` has: rows are dealt by ranges of
+    the order, numbered in their partition, and the sizes of the partitions before are
+    added; a row a partition is all that is summed up.  The order must leave no ties.
+    """
+    checkpoint_dir(df.sparkSession)
+    full = [F.asc(by), *order] if by else order
+    low = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    dealt = df.repartitionByRange(*full).sortWithinPartitions(*full).select("*", F.spark_partition_id().alias("_part"), low.alias("_at")).checkpoint()
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    number = F.col("_before") + F.col("_at") + 1
+    rows = dealt.join(F.broadcast(before), "_part").withColumn(out, number)  # a row for each partition
+    if by:
+        first = rows.groupBy(by).agg(F.min(out).alias("_first")).withColumnRenamed(by, "_by")
+        rows = rows.join(first, F.col(by).eqNullSafe(F.col("_by"))).withColumn(out, F.col(out) - F.col("_first") + 1).drop("_by", "_first")
+    return rows.withColumn(out, F.col(out).cast("int")).drop("_part", "_at", "_before")

@@ -225,10 +225,8 @@ def must_read_partition(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _reports(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversations as reports: the first turn is the title, the second the summary, each whole; tags are the title's longer words."""
-    c = table(spark, sf, "conversations")
-    d = c.groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("title"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("text"), F.count("*").alias("turns"))
-    d = d.select(F.col("conv_id").alias("doc_id"), "title", "text", (F.col("conv_id") % 2).cast("string").alias("lang"), (F.col("turns") % 3).cast("string").alias("source"))
+    """Documents as reports: the first line is the title, the whole text the summary; tags are the title's first longer words."""
+    d = table(spark, sf, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), "text", "lang", "source")
     title = F.coalesce("title", F.lit(""))
     low = F.regexp_replace(F.lower(title), r"[^\p{L}\p{N} ]", "")
     ws = F.filter(F.split(low, " +"), lambda w: F.length(w) >= 8)

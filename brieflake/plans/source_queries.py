@@ -17,14 +17,13 @@ from .views import EV, FOOD, food_ev, items_ev, table
 
 @query(f"select source_id, row_number() over (order by unique_count desc, commercial_share desc, success_rate desc, source_id)::integer as place from ({oracle_sql()['trial_summary']})")
 def trial_report(spark: SparkSession, sf: str) -> DataFrame:
-    # a row for each source of a configured list
-    return catalogue.trial_summary(spark, sf).select("source_id", F.row_number().over(ranking.Window.orderBy(*metrics.trial_order())).alias("place"))
+    return windows.numbered(catalogue.trial_summary(spark, sf), metrics.trial_order()).select("source_id", "place")
 
 
 @query("select 'src-' || c_custkey as source_id, row_number() over (order by case c_custkey % 3 when 0 then 0 when 1 then 1 else 2 end, c_custkey)::integer as place from customer where c_custkey % 10 <> 9")
 def fetch_priority(spark: SparkSession, sf: str) -> DataFrame:
     s = catalogue.sources(spark, sf).where("enabled").withColumn("seq", F.regexp_extract("source_id", r"(\d+)$", 1).cast("long"))
-    return s.select("source_id", F.row_number().over(ranking.Window.orderBy(*rotation.fetch_order())).alias("place"))
+    return windows.numbered(s, rotation.fetch_order()).select("source_id", "place")
 
 
 @query("select o_orderkey as run_id, (select count(*) > 30 from orders) as truncated, row_number() over (order by o_orderdate desc, o_orderkey desc)::integer as place from orders order by o_orderdate desc, o_orderkey desc limit 30")
@@ -85,13 +84,13 @@ def usage_since(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.usage_delta(total(1000, 300), total(700, 400))
 
 
-# the shortest decimal form of a double, rounded half up once
-_FIX = lambda x, n: f"cast(cast(cast({x} as varchar) as decimal(38,18)) as decimal(18,{n}))::varchar"
+# as a formatter rounds the binary value of a double
+_FIX = lambda x, n: "format('{:." + str(n) + f"f}}', ({x})::double)"
 
 
 @query(
     f"""with {catalogue.RANK} select seq, 'profile=daily; importance=' || {_FIX('importance', 2)} || '; profile_relevance=' || {_FIX('relevance', 2)} || '; opportunity=' || {_FIX('opportunity', 2)} || '; evidence_quality=' || {_FIX('evidence_quality', 2)}
-  || '; topic_multiplier=' || {_FIX('1 + w', 4)} || '; market_multiplier=' || {_FIX('(1 + boost) * (1 - pen)', 4)} || '; evidence_tier=' || effective_tier || '; final_rank=' || {_FIX('final_rank', 4)} as reason from ranked"""
+  || '; topic_multiplier=' || {_FIX('1 + w::double', 4)} || '; market_multiplier=' || {_FIX('(1 + boost::double) * (1 - pen::double)', 4)} || '; evidence_tier=' || effective_tier || '; final_rank=' || {_FIX('final_rank', 4)} as reason from ranked"""
 )
 def selection_reason(spark: SparkSession, sf: str) -> DataFrame:
     return catalogue.ranked(spark, sf).select("seq", ranking.reason(catalogue.PROFILE, "daily").alias("reason"))

@@ -275,7 +275,7 @@ def rule_table(x, y, hours=48):
     """The rules as they are written down, every ratio in full."""
     from difflib import SequenceMatcher
 
-    from brieflake.functions.similarity import fold, metric_contexts
+    from brieflake.functions.similarity import figures, fold
 
     full = lambda a, b: SequenceMatcher(None, a, b).ratio() if a and b else 0.0
     age = abs(datetime.fromisoformat(x[1]) - datetime.fromisoformat(y[1])).total_seconds() / 3600
@@ -287,12 +287,14 @@ def rule_table(x, y, hours=48):
 
     titles = lambda r: {fold(r[3]), fold(r[4])} - {""}
     title = max((full(p, q) for p in titles(x) for q in titles(y)), default=0.0)
-    pref, text_ = full(fold(x[4] or x[3]), fold(y[4] or y[3])), full(fold(x[5]), fold(y[5]))
+    pref = full(fold(x[4] or x[3]), fold(y[4] or y[3]))
     market, category, company = bool({*x[7]} & {*y[7]}), x[6] == y[6], over(x[8], y[8])
     subject, part, kind = over(x[9], y[9], 0.65), over(x[11], y[11]), bool({*x[10]} & {*y[10]})
     fits = not x[10] or not y[10] or kind
-    mx, my = (metric_contexts(" ".join(v for v in (r[3], r[4], r[5]) if v)) for r in (x, y))
-    metric = max((full(p, q) for k in mx.keys() & my.keys() for p in mx[k] for q in my[k]), default=0.0)
+    whole = company and market and category
+    text_ = full(fold(x[5]), fold(y[5])) if whole else 0.0
+    mx, my = (figures(" ".join(v for v in (r[3], r[4], r[5]) if v)) if whole else [] for r in (x, y))
+    metric = max((full(p, q) for k, p in mx for m, q in my if k == m), default=0.0)
     return (
         title >= 0.9 or company and subject and fits and (pref >= 0.4 or part and pref >= 0.25)
         or company and market and category and kind and metric >= 0.2 and (subject or metric >= 0.45) and pref >= (0.2 if age <= 48 else 0.45)
@@ -315,7 +317,9 @@ def made_reports(n, seed):
     return out
 
 
-def test_similar_events_against_all_pairs(spark):
+@pytest.mark.parametrize("part", [clusters.PART, 3])
+def test_similar_events_against_all_pairs(spark, monkeypatch, part):
+    monkeypatch.setattr(clusters, "PART", part)
     checkpoint_dir(spark)
     rows = made_reports(140, 5)
     links = {(r.a, r.b) for r in clusters.similar_events(reports(spark, rows)).collect()}
@@ -368,3 +372,23 @@ def test_events_by_metric_context_and_fuzzy_subjects(spark):
     checkpoint_dir(spark)
     df = spark.createDataFrame([(i, at, f"u{i}", t, None, x, c, m, co, su, k, [], b) for i, t, x, c, m, co, su, k, b in data], row.replace("timestamp", "string")).withColumn("published_at", F.to_timestamp("published_at"))
     assert {(r.a, r.b) for r in clusters.similar_events(df).collect()} == {(1, 2), (3, 4)}
+
+
+def test_fixed_point_is_python_s(spark):
+    r = random.Random(4)
+    xs = [0.965, 0.125, 0.375, 2.5, 0.005, 1.005, 9.995, 9.99995, 0.0, -0.0, -1.125, 1e-12, 123456.78125, 0.5, 10.0, 5e-324, -0.001, float("nan"), float("inf"), -float("inf")]
+    xs += [r.choice([r.random() * 10, r.randint(0, 80000) / 8000, round(r.random() * 10, 3)]) for _ in range(3000)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").select("x", text.fixed_point(F.col("x"), 2).alias("two"), text.fixed_point(F.col("x"), 4).alias("four"))
+    assert [r for r in df.collect() if (r.two, r.four) != (f"{r.x:.2f}", f"{r.x:.4f}")] == []
+
+
+@pytest.mark.parametrize("by", [None, "k"])
+def test_numbered(spark, by):
+    rows = [(i % 2 if i else None, (i * 7919) % 1000) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k int, v int").repartition(6)
+    got = windows.numbered(df, [F.desc("v")], by=by).collect()
+    seen: dict = {}
+    for k, v in sorted(rows, key=lambda x: -x[1]):
+        seen.setdefault(k if by else 0, []).append(v)
+    assert {(r.k, r.v): r.place for r in got} == {(k, v): seen[k if by else 0].index(v) + 1 for k, v in rows}
+    assert windows.numbered(df.limit(0), [F.desc("v")], by=by).count() == 0
