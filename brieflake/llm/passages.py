@@ -17,19 +17,22 @@ their min-hash together with the SIDE shingles on one side, and one hash functio
 meets every pair; more would meet the same pairs again.
 
 Of those that meet, each is joined to one place in the smallest document only, so the
-pairs grow with the windows and not with their square.  What that place settles
-not, runs of LENGTH words about the shared place within the window, meet under
-their own hash in a second step, at most LENGTH of them for a window, so a
-passage that the smallest document holds in part is found in the others.
+pairs grow with the windows and not with their square.  Windows that lie in no passage
+found there go on: they meet others under what stands from their place to FURTHER
+shingles beyond what they share with that document, after it or before it, and again
+the smallest of those is compared, once with that document's other places and once
+without it.  What meets then has so many more places in a row in
+common, so after a few rounds it is a passage and nothing is open.  Runs of LENGTH
+words about the shared place that the smallest document hasn't got meet under their
+own hash besides, at most LENGTH of them for a window.
 Verification compares the two documents' shingles within BAND places of the shared
 diagonals, up to BEYOND places from a window, takes every stretch from a matched
 run to another whose Jaccard similarity with its counterpart is PERCENT, and keeps
 passages of at least LENGTH words.
 
-An exact passage of LENGTH words is always found.  A near-copy is found if, under
-one of the keys it shares with it, the document it is like is the smallest one; a
-near-copy of a later document alone, under keys that are all held by smaller
-documents too, is not compared.
+An exact passage of LENGTH words is always found.  A near-copy is found if the two
+are compared under a key they share: the document it is like is the smallest one there,
+or they go on alike FURTHER places beyond a part that smaller documents hold.
 
 The smallest document keeps a passage; in all others it is a duplicate.  Repeats
 within one document, and rows that share an id, are not compared.  Documents
@@ -55,6 +58,8 @@ RUN = 20
 SIDE = RUN // 2
 #: Places beyond a window that verification sees, and how far from the diagonal.
 BEYOND, BAND = 2 * LENGTH, 12
+#: Places by which what is shared must go on beyond a smaller document's part of it for others to meet there.
+FURTHER = 3
 
 
 def _tag() -> Column:
@@ -286,8 +291,41 @@ def _run_hashes(x: np.ndarray, start: np.ndarray, w: int) -> np.ndarray:
 LAID = 1 << 18
 
 
-def _compared(part: pa.RecordBatch) -> tuple[list, pa.ListArray]:
-    """Of each pair, its passages and the runs left open: all its strips (diagonals with shared places) are laid end to end and compared at once."""
+def _settled(passages: list[list], pair: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Whether each pair's place lies in one of its passages."""
+    begin, end = [], []
+    for i, spans in enumerate(passages):
+        top = -1
+        for s, e in sorted(spans):
+            if e > top:
+                begin.append((i << 32) | s)
+                end.append((i << 32) | e)
+                top = e
+    if not begin:
+        return np.zeros(len(c), dtype=bool)
+    at = (pair << 32) | c
+    # ends ascend with begins, so the last passage that begins before a place reaches farthest
+    k = np.searchsorted(np.array(begin), at, side="right") - 1
+    return (k >= 0) & (np.array(end)[np.maximum(k, 0)] >= at + SHINGLE)
+
+
+def _further(x: np.ndarray, begin: np.ndarray, length: np.ndarray, c: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Keys of what stands from the places c of documents laid at ``begin`` to FURTHER places beyond their matched runs [low, high), after and before: which have these places, and the keys."""
+    v = W.mix(x.astype(W.U64) + W.U64(1))
+    once, placed = (np.concatenate([np.zeros(1, dtype=W.U64), np.cumsum(y, dtype=W.U64)]) for y in (v, v * np.arange(len(x), dtype=W.U64)))
+    out = []
+    for side, start, end in ((1, c, high + FURTHER), (2, low - FURTHER, c + 1)):
+        ok = np.flatnonzero((start >= 0) & (end <= length))
+        lo, hi = begin[ok] + start[ok], begin[ok] + end[ok]
+        known = (x[lo] >= 0) & (x[hi - 1] >= 0)
+        ok, lo, hi = ok[known], lo[known], hi[known]
+        total = once[hi] - once[lo]
+        out.append((ok, W.mix(W.mix(total + W.U64(side)) + (placed[hi] - placed[lo]) - lo.astype(W.U64) * total)))
+    return out
+
+
+def _compared(part: pa.RecordBatch) -> tuple[list, pa.ListArray, pa.ListArray]:
+    """Of each pair, its passages, the runs left open, and the windows left open under further keys: all its strips (diagonals with shared places) are laid end to end and compared at once."""
     w, n = LENGTH - SHINGLE + 1, part.num_rows
     x, x_at, x_len = _laid(part.column("starts"), part.column("sizes"), part.column("hashes"), -1)
     y, y_at, y_len = _laid(part.column("starts_0"), part.column("sizes_0"), part.column("hashes_0"), -2)
@@ -299,6 +337,7 @@ def _compared(part: pa.RecordBatch) -> tuple[list, pa.ListArray]:
     pair = np.repeat(np.arange(n), np.diff(off))
     order = np.lexsort((d, pair))
     d, c, left, right, pair = d[order], c[order], left[order], right[order], pair[order]
+    low, high = c.copy(), c + 1  # the matched run about each place
     first = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (d[1:] != d[:-1])]))
     strip = np.cumsum(np.isin(np.arange(len(d)), first, assume_unique=True)) - 1
     of, slant = pair[first], d[first]
@@ -320,6 +359,14 @@ def _compared(part: pa.RecordBatch) -> tuple[list, pa.ListArray]:
         mine = slice(*np.searchsorted(strip, [u, v]))
         start = _unheld(same, c[mine] + base[strip[mine] - u], left[mine], right[mine], w)
         opened.append((of[here[start]] << 32) | place[start])
+        edge = np.cumsum(size)
+        stops = np.unique(np.concatenate([np.flatnonzero(~same), edge]))
+        p, mine_of = c[mine] + base[strip[mine] - u], strip[mine] - u
+        k = np.searchsorted(stops, p, side="right")
+        first_of = edge[mine_of] - size[mine_of]
+        high[mine] = np.maximum(c[mine] + 1, np.minimum(stops[np.minimum(k, len(stops) - 1)], edge[mine_of]) - base[mine_of])
+        before = np.where(k > 0, stops[np.maximum(k, 1) - 1] + 1, 0)
+        low[mine] = np.minimum(c[mine], np.maximum(before, first_of) - base[mine_of])
         todo = np.flatnonzero(later[of[here]] & ~same & (xs >= 0)) if len(y_keys) else have
         at = np.where(same & later[of[here]], across, -1)
         near = _near(xs[todo], target[todo], y_keys)
@@ -331,11 +378,24 @@ def _compared(part: pa.RecordBatch) -> tuple[list, pa.ListArray]:
     got = np.unique(np.concatenate(opened)) if opened else np.zeros(0, dtype=np.int64)
     start, owner = got & 0xFFFFFFFF, got >> 32
     runs = pa.StructArray.from_arrays([pa.array(_run_hashes(x, start + x_at[owner], w).view(np.int64)), pa.array(start, pa.int32())], names=["run", "start"])
-    return passages, pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), runs)
+    left_open = np.flatnonzero(~_settled(passages, pair, c))
+    parts = _further(x, x_at[pair[left_open]], x_len[pair[left_open]], c[left_open], low[left_open], high[left_open])
+    which = left_open[np.concatenate([ok for ok, _ in parts])]
+    keys = np.concatenate([k for _, k in parts])
+    # once with the keeper's other places, once among the others
+    keeper = part.column("keeper").to_numpy().view(W.U64)
+    other = later[pair[which]]
+    keys = np.concatenate([keys, W.mix(keys[other] + keeper[pair[which[other]]] * W.U64(2) + W.U64(1))]).view(np.int64)
+    which = np.concatenate([which, which[other]])
+    order = np.argsort(pair[which], kind="stable")
+    which, keys = which[order], keys[order]
+    more = pa.StructArray.from_arrays([pa.array(keys), *(pa.array(v[which], pa.int32()) for v in (c, left, right))], names=["key", "c", "left", "right"])
+    lists = lambda who, values: pa.ListArray.from_arrays(pa.array(np.searchsorted(who, np.arange(n + 1)), pa.int32()), values)
+    return passages, lists(owner, runs), lists(pair[which], more)
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
-    """(doc, tag, keeper, spans, open) of pairs with both slices and their shared places; open: hash and start of the runs of LENGTH words about a shared place that the keeper doesn't hold there."""
+    """(doc, tag, keeper, spans, open, more) of pairs with both slices and their shared places; open: hash and start of the runs of LENGTH words about a shared place that the keeper doesn't hold there; more: windows in no passage, under keys of what lies beyond their match."""
 
     def reach(starts: pa.ListArray, sizes: pa.ListArray) -> np.ndarray:
         return np.array([a[-1] + z[-1] if a else 0 for a, z in zip(starts.to_pylist(), sizes.to_pylist(), strict=True)], dtype=np.int64)
@@ -346,11 +406,11 @@ def _verified(pairs: DataFrame) -> DataFrame:
             size = reach(b.column("starts"), b.column("sizes")) + reach(b.column("starts_0"), b.column("sizes_0"))
             for u, v in W.spans(np.concatenate([[0], np.cumsum(size)]), LAID):
                 part = b.slice(u, v - u)
-                passages, opened = _compared(part)
+                passages, opened, more = _compared(part)
                 spans = pa.array([[{"start": s, "end": e} for s, e in sorted(set(p))] for p in passages], span)
-                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("tag"), part.column("keeper"), spans, opened], names=["doc", "tag", "keeper", "spans", "open"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("tag"), part.column("keeper"), spans, opened, more], names=["doc", "tag", "keeper", "spans", "open", "more"])
 
-    return arrow(pairs, run, "doc long, tag long, keeper long, spans array<struct<start:int,end:int>>, open array<struct<run:long,start:int>>").where("size(spans) > 0 or size(open) > 0")
+    return arrow(pairs, run, "doc long, tag long, keeper long, spans array<struct<start:int,end:int>>, open array<struct<run:long,start:int>>, more array<struct<key:long,c:int,left:int,right:int>>").where("size(spans) > 0 or size(open) > 0 or size(more) > 0")
 
 
 def duplicate_passages(docs: DataFrame) -> DataFrame:
@@ -359,6 +419,21 @@ def duplicate_passages(docs: DataFrame) -> DataFrame:
         return written(_duplicates(docs, to), "passages")
 
 
+def _pairs(placed: DataFrame, to: Scratch) -> DataFrame:
+    """Each window (key, doc, tag, c, left, right, keeper) with the first place that the smallest document under its key, the keeper, has it at (tag_0, c_0, left_0, right_0).  The keeper's other places are windows too: they may hold what others repeat."""
+    best = to.keep(placed.where("doc = keeper").groupBy("key").agg(F.min(F.struct("tag", "c", "left", "right")).alias("k")), "best")
+    pairs = placed.join(best, "key").where("not (doc = keeper and tag = k.tag and c = k.c)")
+    out = to.keep(pairs.select("key", "doc", "tag", "c", "left", "right", "keeper", F.col("k.tag").alias("tag_0"), F.col("k.c").alias("c_0"), F.col("k.left").alias("left_0"), F.col("k.right").alias("right_0")), "pairs")
+    to.drop(best)
+    return out
+
+
+def _sliced(pairs: DataFrame, slices: DataFrame) -> DataFrame:
+    groups = pairs.groupBy("doc", "tag", "keeper", "tag_0").agg(F.collect_set(F.struct(F.expr("c_0 - c").alias("d"), "c", "left", "right")).alias("places"))
+    rows = groups.join(slices, ["doc", "tag"]).join(slices.toDF("keeper", "tag_0", "starts_0", "sizes_0", "hashes_0"), ["keeper", "tag_0"])
+    return rows.select("doc", "tag", "keeper", "places", "starts", "sizes", "hashes", "starts_0", "sizes_0", "hashes_0")
+
+
 def _duplicates(docs: DataFrame, to: Scratch) -> DataFrame:
     # what a hot key is joined to is written first, so that both sides are plain exchanges, and a skewed join is split
     first = to.keep(_windows(docs, whole=False).groupBy("key").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last")).where("keeper < last").select("key", "keeper"), "keys")
@@ -366,24 +441,32 @@ def _duplicates(docs: DataFrame, to: Scratch) -> DataFrame:
     to.drop(first)
     low = 0x7FFFFFFF
     placed = met.select("key", "doc", "keeper", F.col("place").bitwiseAND(low).alias("tag"), F.shiftright("place", 31).cast("int").alias("c"), F.shiftright("extent", 31).cast("int").alias("left"), F.col("extent").bitwiseAND(low).cast("int").alias("right"))
-    best = to.keep(placed.where("doc = keeper").groupBy("key").agg(F.min(F.struct("tag", "c", "left", "right")).alias("k")), "best")
-    # all but the keeper's one place; its other places and narrow overlaps may hold what others repeat
-    pairs = placed.join(best, "key").where("not (doc = keeper and tag = k.tag and c = k.c)")
-    pairs = to.keep(pairs.select("doc", "tag", "c", "left", "right", "keeper", F.col("k.tag").alias("tag_0"), F.col("k.c").alias("c_0"), F.col("k.left").alias("left_0"), F.col("k.right").alias("right_0")), "pairs")
-    to.drop(met, best)
+    pairs = _pairs(placed, to)
+    to.drop(met)
     span = F.struct(F.expr("c - left").alias("l"), F.expr("c + right").alias("r"))
     theirs = pairs.select(F.col("keeper").alias("doc"), F.col("tag_0").alias("tag"), F.struct(F.expr("c_0 - left_0").alias("l"), F.expr("c_0 + right_0").alias("r")).alias("x")).distinct()
     asked = pairs.select("doc", "tag", span.alias("x")).distinct().union(theirs).groupBy("doc", "tag").agg(F.collect_set("x").alias("ranges"))
     slices = to.keep(_slices(docs, asked), "slices")
-    groups = pairs.groupBy("doc", "tag", "keeper", "tag_0").agg(F.collect_set(F.struct(F.expr("c_0 - c").alias("d"), "c", "left", "right")).alias("places"))
-    rows = groups.join(slices, ["doc", "tag"]).join(slices.toDF("keeper", "tag_0", "starts_0", "sizes_0", "hashes_0"), ["keeper", "tag_0"])
-    found = to.keep(_verified(rows.select("doc", "tag", "keeper", "places", "starts", "sizes", "hashes", "starts_0", "sizes_0", "hashes_0")), "found")
-    to.drop(pairs, slices)
+    found = first_found = to.keep(_verified(_sliced(pairs, slices)), "found")
+    to.drop(pairs)
+    spans = found.where("size(spans) > 0").select("doc", "tag", "keeper", "spans")
+    while True:  # what meets in a round has FURTHER more places in a row in common than in the one before, and from LENGTH words on nothing stays open
+        left = to.keep(found.select("doc", "tag", F.inline("more")).distinct(), "open")
+        shared = left.groupBy("key").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last")).where("keeper < last").select("key", "keeper")
+        met = to.keep(left.join(to.keep(shared, "keys"), "key"), "windows")
+        to.drop(left)
+        if met.isEmpty():
+            break
+        pairs = _pairs(met, to)
+        found = to.keep(_verified(_sliced(pairs, slices)), "found")
+        to.drop(met, pairs)
+        spans = spans.union(found.where("size(spans) > 0").select("doc", "tag", "keeper", "spans"))
+    to.drop(slices)
+    found = first_found
     opened = found.select("doc", "tag", F.inline("open")).distinct()
     held = to.keep(opened.groupBy("run").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last")).where("keeper < last").select("run", "keeper"), "held")
     more = opened.join(held, "run").where("doc > keeper").select("doc", "tag", "keeper", F.array(F.struct("start", (F.col("start") + LENGTH).alias("end"))).alias("spans"))
-    found = found.where("size(spans) > 0").select("doc", "tag", "keeper", "spans").union(more)
-    return found.groupBy("doc", "tag").agg(F.sort_array(F.collect_set("keeper")).alias("keepers"), _merged(F.sort_array(F.flatten(F.collect_list("spans")))).alias("spans"))
+    return spans.union(more).groupBy("doc", "tag").agg(F.sort_array(F.collect_set("keeper")).alias("keepers"), _merged(F.sort_array(F.flatten(F.collect_list("spans")))).alias("spans"))
 
 
 def _merged(spans: Column) -> Column:

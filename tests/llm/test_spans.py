@@ -143,3 +143,18 @@ def test_compact_windows_are_maximal():
 def test_word_class():
     w = next(decontaminate.W.words(pa.array(["Ab_c-é1 \x7fZ"]), decontaminate.W.ALNUM_WORDS))
     assert [bytes(w.data[a:b]).decode() for a, b in zip(w.start, w.end, strict=True)] == re.findall("[0-9A-Za-z\x80-\U0010ffff]+", "Ab_c-é1 \x7fZ")
+
+
+def test_near_passages_are_found_where_a_smaller_document_holds_pieces(spark):
+    """The smallest document holds the passage in overlapping pieces, the next one whole, the last one a near-copy."""
+    texts, want, n = [], {}, 80
+    for t in range(30):
+        p = prose(70_000 + t, n).split()
+        q = [*p]
+        q[20 + t] = "edited"
+        pieces = " ".join(f"{' '.join(p[a : a + 45])} {prose(80_000 + 10 * t + a, 12)}" for a in range(0, n - 22, 22))
+        texts += [(3 * t, f"{prose(71_000 + t, 20)} {pieces}", "en"), (3 * t + 1, f"{prose(72_000 + t, 20)} {' '.join(p)} {prose(73_000 + t, 20)}", "en"), (3 * t + 2, f"{prose(74_000 + t, 20)} {' '.join(q)} {prose(75_000 + t, 20)}", "en")]
+        want[3 * t + 2] = set(range(20, 20 + n))
+    got = {r.doc: {x for s in r.spans for x in range(s.start, s.end)} for r in passages.duplicate_passages(spark.createDataFrame(rows(texts), SCHEMA)).collect()}
+    assert sum(len(got.get(d, set()) & w) >= 0.9 * n for d, w in want.items()) >= 28
+    assert all(len(got[d] - want.get(d, set())) <= 5 for d in got if d in want)
