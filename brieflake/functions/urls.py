@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import addresses
+
 # Tracking parameters dropped from the de-duplication key, besides utm_*.
 DEDUP_TRACKING = ("_ga", "dclid", "fbclid", "gclid", "igshid", "li_fat_id", "mc_cid", "mc_eid", "msclkid", "ttclid", "twclid", "vero_id")
 # The shorter list of the event key.
 EVENT_TRACKING = ("dclid", "fbclid", "gclid", "mc_cid", "mc_eid", "msclkid")
-#: Suffixes of two labels under which domains are registered; all others count as one label.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "gov.au", "co.jp", "or.jp", "go.jp", "ne.jp", "ac.jp", "co.kr", "or.kr", "go.kr", "com.cn", "gov.cn", "org.cn", "net.cn", "co.in", "gov.in", "co.nz", "govt.nz", "com.br", "gov.br", "com.sg", "gov.sg", "com.hk", "com.tw", "co.za", "com.mx")
 AGGREGATORS = ("news.google.com",)
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.\-]*):(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
@@ -102,34 +102,27 @@ def is_address(h: Column) -> Column:
     return h.rlike(r"^(\d{1,3}(\.\d{1,3}){3}|\[?[0-9a-f]*:[0-9a-f:.]*\]?)$")
 
 
-def registrable(url: Column) -> Column:
-    """The domain under its public suffix; empty for addresses, single labels and suffixes themselves."""
-    h = F.regexp_replace(host(url), r"\.$", "")
-    labels = F.split(h, r"\.")
-    last2 = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")
-    last3 = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 2, F.lit(1)), 3), ".")
-    under = last2.isin(*TWO_LABEL_SUFFIXES)
-    return F.when(is_address(h) | (F.size(labels) < 2) | (under & (F.size(labels) < 3)), F.lit("")).otherwise(F.when(under, last3).otherwise(last2))
-
-
-def is_attributable(url: Column) -> Column:
-    """A public page of a publisher: web, not local, not an aggregator, under a registrable domain."""
+def is_attributable(url: Column, domain: Column) -> Column:
+    """A public page of a publisher: web, not local, not an aggregator, under a registrable domain (``domain``: its host's, see functions.domains)."""
     h = F.regexp_replace(host(url), r"\.$", "")
     local = (h == "localhost") | h.endswith(".localhost") | h.endswith(".local")
-    return F.coalesce(is_web(url) & ~local & ~h.isin(*AGGREGATORS) & (registrable(url) != ""), F.lit(False))
+    return F.coalesce(is_web(url) & ~local & ~h.isin(*AGGREGATORS) & ~is_address(h) & (domain != ""), F.lit(False))
 
 
 def is_safe(url: Column) -> Column:
-    """May be fetched: web, no credentials, not local, no private address."""
-    h = host(url)
-    private = h.rlike(r"^(0|10|127|169\.254|192\.168|172\.(1[6-9]|2\d|3[01])|100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])|22[4-9]|23\d|24\d|25[0-5])\.") | h.rlike(r"^\[?(::1?|f[cd][0-9a-f]{2}:.*|fe80:.*)\]?$")
-    return is_web(url) & ~((h == "localhost") | h.endswith(".localhost") | h.endswith(".local") | private)
+    """May be fetched: web, no credentials, not local, no address that isn't public or is for many receivers."""
+    inner = lambda a: ~addresses.within(a, addresses.NOT_PUBLIC) | addresses.within(a, addresses.PUBLIC_WITHIN)
+    literal = lambda h: addresses.let(addresses.address(h), lambda a: F.when(a.isNull(), True).otherwise(inner(a) & ~addresses.within(a, addresses.MULTICAST)))
+    named = lambda h: ~((h == "localhost") | h.endswith(".localhost") | h.endswith(".local")) & literal(h)
+    return is_web(url) & addresses.let(F.regexp_replace(host(url), r"\.$|^\[|\]$", ""), named)
+
 
+def all_safe(hops: Column) -> Column:
+    """Every address of a redirect chain (array) may be fetched; an empty chain may not."""
+    return (F.size(hops) > 0) & F.forall(hops, lambda u: F.coalesce(is_safe(u), F.lit(False)))
 
-def domain_count(urls: Column) -> Column:
-    """Distinct registrable domains (or last labels, where there is none) of an array of addresses."""
-    def domain(u: Column) -> Column:
-        r = registrable(u)
-        return F.when(r != "", r).otherwise(host(u))
 
-    return F.size(F.array_distinct(F.transform(F.filter(urls, is_web), domain)))
+def domain_count(urls: Column, domains: Column) -> Column:
+    """Distinct publishers of an array of addresses: registrable domains, or what stands for them (``domains``: a map from hosts, see functions.domains)."""
+    names = F.transform(F.filter(urls, is_web), lambda u: F.try_element_at(domains, host(u))["name"])
+    return F.size(F.array_distinct(F.filter(names, lambda n: n.isNotNull() & (n != ""))))

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..schema import CATEGORIES, RISK_LEVELS
-from ..ship import ship
+from . import calls
 
 MARK = "\n--- Top Comments ---"
 
@@ -37,28 +36,9 @@ def prompt(limit: int = 1000) -> Column:
     return F.concat_ws("\n", F.concat(F.lit("Title: "), "title"), part("Content", body, limit), part("Comments", talk, 1500))
 
 
-def scored_by(df: DataFrame, scorers: list[Scorer], key: str = "id") -> DataFrame:
-    """(key, answer, error) of each row's ``prompt``: the first scorer that answers with something; an error stays in its row and stops nothing."""
-    ship(df.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            answers, errors = [], []
-            for p in b.column(1).to_pylist():
-                answer, error = None, "no scorer"
-                for s in scorers:
-                    try:
-                        answer = s(p) or None
-                        error = None if answer else "empty answer"
-                    except Exception as e:  # of any kind: the row is isolated, the batch goes on
-                        error = f"{type(e).__name__}: {e}"[:300]
-                    if answer:
-                        break
-                answers.append(answer)
-                errors.append(error)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(answers, pa.string()), pa.array(errors, pa.string())], names=[key, "answer", "error"])
-
-    return df.select(F.col(key).cast("string"), "prompt").mapInArrow(run, f"{key} string, answer string, error string")
+def scored_by(df: DataFrame, scorers: list[Scorer], key: str = "id", policy: calls.CallPolicy = calls.CallPolicy()) -> DataFrame:  # noqa: B008
+    """(key, answer, error) of each row's ``prompt``: scorers are asked within the policy's time limit, concurrency and attempts; an error stays in its row and stops nothing."""
+    return calls.called(df, scorers, key, policy=policy).select(key, "answer", "error")
 
 
 ANSWER = "relevant boolean, category string, importance double, relevance double, opportunity double, evidence_quality double, risk_level string, risk_reason string, event_key string, title_zh string, summary string, markets array<string>, product_tags array<string>, ingredient_tags array<string>, technology_tags array<string>, company_tags array<string>, sponsored boolean, press_release boolean, product_launch map<string,string>"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import urls
+from ..functions import domains, urls
 
 OFFICIAL_CATEGORIES = ("regulations_standards", "food_safety_recalls")
 
@@ -29,13 +29,15 @@ def with_contract(items: DataFrame, contracts: DataFrame) -> DataFrame:
     return j.withColumn("isolated", isolated).withColumn("ai_score", F.when(isolated, 0.0).otherwise(F.col("ai_score")))
 
 
-def decide(df: DataFrame, mode: str = "loose", aggregator_fallback: bool = True) -> DataFrame:
-    """accepted, reason and effective_tier, by rules in order.  Reads has_food, isolated, category, official_urls, relevant, evidence_tier, original_url, evidence_urls, publisher, linked_tier."""
+def decide(df: DataFrame, mode: str = "loose", aggregator_fallback: bool = True, rules: DataFrame | None = None) -> DataFrame:
+    """accepted, reason and effective_tier, by rules in order; domains by the public suffix rules, unless others are given.  Reads has_food, isolated, category, official_urls, relevant, evidence_tier, original_url, evidence_urls, publisher, linked_tier."""
     official = F.col("category").isin(*OFFICIAL_CATEGORIES) & (F.size(F.coalesce("official_urls", F.array().cast("array<string>"))) == 0)
     evidence = F.coalesce("evidence_urls", F.array().cast("array<string>"))
-    original = F.coalesce(urls.is_attributable(F.col("original_url")), F.lit(False))
+    hosts = F.transform(F.filter(F.concat(F.array("original_url"), evidence), urls.is_web), urls.host)
+    df = domains.with_domains(df, hosts, rules if rules is not None else domains.suffix_rules(df.sparkSession), "_domains")
+    original = urls.is_attributable(F.col("original_url"), F.try_element_at("_domains", urls.host(F.col("original_url")))["domain"])
     web = F.exists(evidence, urls.is_web)
-    corroborated = urls.domain_count(evidence) >= 2
+    corroborated = urls.domain_count(evidence, F.col("_domains")) >= 2
     publisher = F.trim(F.coalesce("publisher", F.lit(""))) != ""
     aggregator = F.exists(evidence, lambda u: urls.scheme(u).isin("http", "https") & urls.host(u).isin(*urls.AGGREGATORS))
     linked = (F.coalesce("original_url", F.lit("")) != "") & F.coalesce(F.col("linked_tier").between(1, 3), F.lit(False))
@@ -58,7 +60,7 @@ def decide(df: DataFrame, mode: str = "loose", aggregator_fallback: bool = True)
     )
     v = df.withColumn("_verdict", verdict)
     tier = F.when(~F.col("has_food"), 4).when(F.col("_verdict") == "+accepted linked weak signal", F.col("linked_tier")).otherwise(F.col("evidence_tier"))
-    return v.withColumn("accepted", F.col("_verdict").startswith("+")).withColumn("reason", F.regexp_replace("_verdict", r"^\+", "")).withColumn("effective_tier", tier.cast("int")).drop("_verdict")
+    return v.withColumn("accepted", F.col("_verdict").startswith("+")).withColumn("reason", F.regexp_replace("_verdict", r"^\+", "")).withColumn("effective_tier", tier.cast("int")).drop("_verdict", "_domains")
 
 
 def summary(decisions: DataFrame) -> DataFrame:

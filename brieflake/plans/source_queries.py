@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text, urls
+from ..functions import domains, text, urls
 from ..operators import analysis, digest, memory, metrics, ranking, rotation, windows
-from ..sources import adapters, interests, readers
+from ..sources import adapters, interests, original, readers
 from . import catalogue, service
 from .registry import oracle_sql, query
 from .views import EV, FOOD, food_ev, items_ev, table
@@ -139,9 +139,85 @@ def retry_delays(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", text.retry_delay(i % 9 + 1, F.when(i % 3 == 0, F.col("value"))).alias("seconds"))
 
 
-@query(f"with {EV}, {FOOD} select seq, coalesce(regexp_matches(original_url, '^https?://[^/@]+(/|$)') and not regexp_matches(original_url, '^https?://10[.]'), false) as safe from food")
+# addresses from the digits of each page's hash: two of four parts, one of eight groups, one of a host's name
+_HOPS = """hops as (select page_id, h, list_transform([1, 3, 5, 7], lambda i: ('0x' || h[i:i + 1])::int) as a, [10, 100, 127, 169, 172, 192, 198, 203, 224, 255][1 + ('0x' || h[9:10])::int % 10] as first,
+  list_transform([11, 13, 15], lambda i: ('0x' || h[i:i + 1])::int) as b, ['fe80', 'fc00', '2001', '2002', '2a00', '2606', 'ff02', '0064'][1 + ('0x' || h[17:18])::int % 8] || ':' || h[19:22] || ':0:0:0:0:' || h[23:26] || ':' || h[27:30] as six from (select page_id, md5(url) as h from pages))"""
+
+
+def _hops(spark: SparkSession, sf: str) -> DataFrame:
+    h = F.md5(F.col("url").cast("binary"))
+    byte = lambda i: F.conv(F.substring(h, i, 2), 16, 10).cast("int")
+    of = lambda xs, i: F.get(F.array(*map(F.lit, xs)), byte(i) % len(xs))
+    four = lambda first, at: F.concat_ws(".", first, *(byte(i).cast("string") for i in at))
+    six = F.concat_ws(":", of(("fe80", "fc00", "2001", "2002", "2a00", "2606", "ff02", "0064"), 17), F.substring(h, 19, 4), F.lit("0:0:0:0"), F.substring(h, 23, 4), F.substring(h, 27, 4))
+    return table(spark, sf, "pages").select("page_id", F.array("url", *(F.concat(F.lit("http://"), x, F.lit(":8080/a?b")) for x in (four(byte(1).cast("string"), (3, 5, 7)), four(of((10, 100, 127, 169, 172, 192, 198, 203, 224, 255), 9).cast("string"), (11, 13, 15)), F.concat(F.lit("["), six, F.lit("]"))))).alias("hops"))
+
+
+_NOT4 = "({0} in (0, 10, 127) or {0} >= 224 or {0} = 100 and {1} between 64 and 127 or {0} = 169 and {1} = 254 or {0} = 172 and {1} between 16 and 31 or {0} = 192 and {1} = 168 or {0} = 192 and {1} = 0 and {2} in (0, 2) or {0} = 198 and ({1} in (18, 19) or {1} = 51 and {2} = 100) or {0} = 203 and {1} = 0 and {2} = 113)"
+
+
+@query(
+    f"""with {_HOPS} select page_id, not {_NOT4.format('a[1]', 'a[2]', 'a[3]')} as plain, not {_NOT4.format('first', 'b[1]', 'b[2]')} as dealt,
+  not (h[17:18] is null or six[1:4] in ('fe80', 'fc00', '2002', 'ff02') or six[1:4] = '2001' and (six[6:9] < '0200' and not six[6:9] between '0020' and '003f' and six[6:9] <> '0003' or six[6:9] = '0db8') or six[1:4] = '0064' and six[6:9] = 'ff9b' and false) as groups,
+  plain and dealt and groups as safe from hops"""
+)
 def url_safety(spark: SparkSession, sf: str) -> DataFrame:
-    return food_ev(spark, sf).select("seq", F.coalesce(urls.is_safe(F.col("original_url")), F.lit(False)).alias("safe"))
+    one = lambda i: urls.is_safe(F.get("hops", F.lit(i)))
+    return _hops(spark, sf).select("page_id", one(1).alias("plain"), one(2).alias("dealt"), one(3).alias("groups"), urls.all_safe(F.col("hops")).alias("safe"))
+
+
+#: Rules of every kind for the hosts that this query makes of the pages' hosts.
+_RULES = [("com", "plain"), ("uk", "plain"), ("co.uk", "plain"), ("jp", "plain"), ("kawasaki.jp", "wildcard"), ("city.kawasaki.jp", "exception")]
+
+
+@query(
+    """with r(suffix, kind) as (values ('com', 'plain'), ('uk', 'plain'), ('co.uk', 'plain'), ('jp', 'plain'), ('kawasaki.jp', 'wildcard'), ('city.kawasaki.jp', 'exception')),
+h as (select page_id, regexp_replace(regexp_extract(url, '^https?://([^/?#]*)', 1), 'example[.](com|org|net)$', case regexp_extract(url, '^https?://[^/]*/(..)/', 1) when 'en' then 'co.uk' when 'de' then 'kawasaki.jp' when 'fr' then 'city.kawasaki.jp' when 'es' then 'test' else 'com' end) as host from pages),
+l as (select page_id, host, string_split(host, '.') as l from h),
+m as (select page_id, kind, len(string_split(suffix, '.')) + case kind when 'wildcard' then 1 when 'exception' then -1 else 0 end as n from l join r on host = suffix or ends_with(host, '.' || suffix)),
+b as (select page_id, coalesce(max(n) filter (where kind = 'exception'), max(n) filter (where kind <> 'exception')) as n from (select m.* from m join l using (page_id) where m.n <= len(l)) group by page_id)
+select page_id, host, case when n is null then '' else array_to_string(l[len(l) - n + 1:], '.') end as suffix, case when n is null or len(l) <= n then '' else array_to_string(l[len(l) - n:], '.') end as domain from l left join b using (page_id)"""
+)
+def registrable_domains(spark: SparkSession, sf: str) -> DataFrame:
+    lang, url = F.regexp_extract("url", "^https?://[^/]*/(..)/", 1), F.col("url")
+    end = F.when(lang == "en", "co.uk").when(lang == "de", "kawasaki.jp").when(lang == "fr", "city.kawasaki.jp").when(lang == "es", "test").otherwise("com")
+    p = table(spark, sf, "pages").select("page_id", F.regexp_replace(urls.host(url), F.lit(r"example\.(com|org|net)$"), end).alias("host"))
+    return p.join(domains.domains(p, spark.createDataFrame(_RULES, domains.RULES)), "host").select("page_id", "host", "suffix", "domain")
+
+
+#: Pages as fetched responses.  A page with a query is a redirect to the first link of its menu or, where its host goes on, to the next page of the host; others name their address without a query as the canonical one.
+_AGGREGATORS = ("m", "www", "blog")
+
+
+def _responses(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "pages").withColumn("host", urls.host(F.col("url")))
+    following = F.lead("url").over(windows.Window.partitionBy("host").orderBy("url"))
+    https = lambda u: F.regexp_replace(u, "^http:", "https:")
+    asked = F.contains("url", F.lit("?"))
+    link = F.when(F.contains("url", F.lit("page=")), F.regexp_extract("html", '<nav><ul><li><a href="([^"]*)"', 1)).otherwise(https(following))
+    canonical = F.concat(F.lit("<html><head><link href='"), F.concat(F.lit("//pub-"), F.col("host"), F.lit("/"), F.regexp_extract("url", "([^/?#]*)([?#].*)?$", 1)), F.lit("' rel='alternate canonical'></head>"))
+    return p.select(https(F.col("url")).alias("url"), F.when(asked, 302).otherwise(200).alias("status"), F.when(asked, link).alias("location"), canonical.alias("html"))
+
+
+@query(
+    """with recursive p as (select page_id, regexp_replace(url, '^http:', 'https:') as url, html, regexp_extract(url, '^https?://([^/?#]*)', 1) as host, contains(url, '?') as asked, contains(url, 'page=') as paged,
+  lead(regexp_replace(url, '^http:', 'https:')) over (partition by regexp_extract(url, '^https?://([^/?#]*)', 1) order by url) as following from pages),
+agg as (select distinct host from p where string_split(host, '.')[1] in ('m', 'www', 'blog')),
+q as (select *, host in (select host from agg) as through, case when not asked then null when paged then 'https://' || host || regexp_extract(html, '<nav><ul><li><a href="([^"]*)"', 1) else following end as link from p),
+r as (select url as start, url, 0 as n, case when asked then null else 'https://pub-' || host || '/' || regexp_extract(url, '([^/?#]*)([?#].*)?$', 1) end as out, case when asked and link is null then 'redirect_without_location' end as error, link from q where through
+  union all select r.start, q.url, r.n + 1, case when not q.asked then 'https://pub-' || q.host || '/' || regexp_extract(q.url, '([^/?#]*)([?#].*)?$', 1) end, case when q.url is null then 'request_failed' when q.asked and q.link is null then 'redirect_without_location' end, q.link
+  from r left join q on q.url = r.link where r.out is null and r.error is null and r.n <= 5),
+e as (select start, arg_max(out, n) as out, arg_max(coalesce(error, ''), n) as error, max(n) as n, arg_max(out is null, n) as open from r group by start)
+select page_id, case when through and n <= 5 and error = '' and not open then out end as original_url, case when not through then 'unsupported_aggregator' when n > 5 then 'too_many_redirects' when error <> '' then error end as original_error,
+  case when through and n <= 5 and error = '' and not open then 'resolved' when contains(q.url, '?') then 'fallback' else 'failed' end as original_status from q left join e on e.start = q.url"""
+)
+def original_urls(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").withColumn("host", urls.host(F.col("url")))
+    # the queries' host names are a fixed list of the tables' makers, a few of each table
+    through = tuple(sorted(r[0] for r in pages.where(F.split("host", r"\.")[0].isin(*_AGGREGATORS)).select("host").distinct().collect()))
+    items = pages.select("page_id", F.regexp_replace("url", "^http:", "https:").alias("url"), F.when(F.contains("url", F.lit("?")), F.col("host")).alias("publisher"))
+    done = original.resolved_items(items, _responses(spark, sf), spark.createDataFrame(_RULES, domains.RULES), aggregators=through)
+    return done.select("page_id", "original_url", "original_error", "original_status")
 
 
 # --- answers of services as items

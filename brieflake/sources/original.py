@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import addresses, domains, urls
+from ..functions.addresses import let
+from ..ship import checkpoint_dir
 
 MAX_REDIRECTS = 5
 #: Characters of a page in which its canonical address is looked for, as a fetcher reads no more.
@@ -22,9 +24,8 @@ _TAG = r"(?is)<(?:link|meta)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
 
 def _attribute(tag: Column, name: str) -> Column:
     """The value of an attribute, "" without one; references to the signs that attributes need are decoded."""
-    value = F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", 1)
-    for k in (2, 3):
-        value = F.when(value == "", F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", k)).otherwise(value)
+    found = rf"(?is)[\s\"'/]{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    value = F.concat(*(F.regexp_extract(tag, found, k) for k in (1, 2, 3)))  # two of them are empty
     for ref, sign in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         value = F.replace(value, F.lit(ref), F.lit(sign))
     return value
@@ -44,33 +45,36 @@ def canonical_link(html: Column) -> Column:
 def _without_dots(path: Column) -> Column:
     """A path with its . and .. parts carried out; it begins with a slash."""
     parts = F.slice(F.split(path, "/"), 2, 1 << 30)
-    last = F.element_at(parts, -1)
 
     def step(acc: Column, p: Column) -> Column:
         up = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
         return F.when(p == ".", acc).when(p == "..", up).otherwise(F.concat(acc, F.array(p)))
 
+    end = F.when(F.try_element_at(parts, F.lit(-1)).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
     kept = F.aggregate(parts, F.array().cast("array<string>"), step)
-    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")))
+    return F.concat(F.lit("/"), F.array_join(F.concat(kept, end), "/"))
+
+
+_PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
+
+
+def _parts(u: Column) -> Column:
+    return F.struct(*(F.regexp_extract(u, _PARTS, k).alias(name) for k, name in enumerate(("scheme", "site", "path", "query", "fragment"), 1)))
 
 
 def joined(base: Column, link: Column) -> Column:
     """A link as an address, seen from the page it stands on: absolute, of another host, from the root, relative, a query or a fragment alone."""
-    part = lambda u, k: F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.\-]*:)(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$", k)
-    rest = lambda k: F.regexp_extract(link, r"^([^?#]*)(\?[^#]*)?(#.*)?$", k)
-    folder = F.regexp_extract(part(base, 3), r"^(.*/)", 1)
-    merged = F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), rest(1))
-    absolute = link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
-    site = F.concat(part(base, 1), part(base, 2))
-    own = lambda u, after: F.when(part(u, 3) == "", F.concat(part(u, 1), part(u, 2), after)).otherwise(F.concat(part(u, 1), part(u, 2), F.when(part(u, 3).startswith("/"), _without_dots(part(u, 3))).otherwise(part(u, 3)), after))
-    other = F.concat(part(base, 1), link)
-    return (
-        F.when(link == "", base)
-        .when(absolute, F.when(part(link, 2) == "", link).otherwise(own(link, F.concat(part(link, 4), part(link, 5)))))
-        .when(link.startswith("//"), own(other, F.concat(part(other, 4), part(other, 5))))
-        .when(rest(1) == "", F.when(rest(2) == "", F.concat(site, part(base, 3), part(base, 4), rest(3))).otherwise(F.concat(site, part(base, 3), rest(2), rest(3))))
-        .otherwise(F.concat(site, _without_dots(F.when(rest(1).startswith("/"), rest(1)).otherwise(merged)), rest(2), rest(3)))
-    )
+
+    def told(x: Column) -> Column:
+        b, k = x["base"], x["link"]
+        own, site = k["scheme"] != "", k["site"] != ""
+        folder = F.regexp_extract(b["path"], r"^(.*/)", 1)
+        beside = F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), k["path"])
+        path = F.when(k["path"] == "", b["path"]).otherwise(let(F.when(k["path"].startswith("/"), k["path"]).otherwise(beside), _without_dots))
+        here = F.concat(b["scheme"], b["site"], path, F.when((k["path"] == "") & (k["query"] == ""), b["query"]).otherwise(k["query"]), k["fragment"])
+        return F.when(own, x["as_is"]).when(site, F.concat(b["scheme"], x["as_is"])).otherwise(here)
+
+    return F.when(link == "", base).otherwise(let(F.struct(_parts(base).alias("base"), _parts(link).alias("link"), link.alias("as_is")), told))
 
 
 def _through(url: Column, aggregators: tuple[str, ...]) -> Column:
@@ -113,7 +117,8 @@ def _first_step(responses: DataFrame, aggregators: tuple[str, ...], resolved: Da
 def chains(responses: DataFrame, aggregators: tuple[str, ...] = urls.AGGREGATORS, resolved: DataFrame | None = None, most: int = MAX_REDIRECTS) -> DataFrame:
     """(url, to, error, redirects) of each response's address, chains followed to their end; one response an address (the smallest, if rows repeat)."""
     one = responses.groupBy("url").agg(F.min(F.struct("status", "location", "html")).alias("r")).select("url", "r.*")
-    step = _first_step(one, aggregators, resolved)
+    checkpoint_dir(responses.sparkSession)
+    step = _first_step(one, aggregators, resolved).checkpoint()
     for _ in range(max(1, most).bit_length()):  # 2 ** rounds > most
         nxt = step.select(F.col("url").alias("to"), F.col("to").alias("to2"), F.col("error").alias("error2"), F.col("redirects").alias("more"), F.col("on").alias("on2"), F.lit(True).alias("known"))
         j = step.join(nxt, "to", "left")
@@ -122,7 +127,7 @@ def chains(responses: DataFrame, aggregators: tuple[str, ...] = urls.AGGREGATORS
         step = j.select(
             "url", F.when(on, F.col("to2")).otherwise(F.col("to")).alias("to"), F.when(lost, "request_failed").when(on, F.col("error2")).otherwise(F.col("error")).alias("error"),
             (F.col("redirects") + F.when(on, F.coalesce("more", F.lit(0))).otherwise(0)).alias("redirects"), (on & F.coalesce("on2", F.lit(False))).alias("on"),
-        )
+        ).checkpoint()
     long = F.col("on") | (F.col("redirects") > most)
     return step.select("url", F.when(~long, F.col("to")).alias("to"), F.when(long, "too_many_redirects").otherwise(F.col("error")).alias("error"), "redirects")
 

@@ -108,17 +108,6 @@ def unknown_sources(asked: DataFrame, known: DataFrame) -> tuple[DataFrame, Data
     return asked.join(known.select("source_id"), "source_id", "left_semi"), asked.join(known.select("source_id"), "source_id", "left_anti")
 
 
-def originals(df: DataFrame, resolutions: DataFrame, fallback: bool = True) -> DataFrame:
-    """Aggregator links replaced by what a table (url, original) resolved them to; status resolved, fallback or failed; other links are disabled for it."""
-    r = resolutions.groupBy("url").agg(F.min("original").alias("_original"))
-    j = df.join(r, "url", "left")
-    from ..functions import urls
-
-    through = urls.host(F.col("url")).isin(*urls.AGGREGATORS)
-    status = F.when(~through, "disabled").when(F.col("_original").isNotNull(), "resolved").otherwise("fallback" if fallback else "failed")
-    return j.withColumn("original_url", F.when(~through, F.col("url")).otherwise(F.coalesce("_original", F.col("url") if fallback else F.lit(None)))).withColumn("original_status", status).drop("_original")
-
-
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id and the main text of each page."""
     ship(pages.sparkSession)

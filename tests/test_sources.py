@@ -53,9 +53,6 @@ def test_reader_isolates_failures(spark, tmp_path):
     assert (o.status, o.candidate_count, o.item_count, o.parse_rate) == ("success", 2, 1, 1.0)
     both = readers.discovered([kept, kept])
     assert both.count() == 1
-    links = spark.createDataFrame([("https://news.google.com/1",), ("https://news.google.com/2",), ("https://e.com",)], "url string")
-    r = readers.originals(links, spark.createDataFrame([("https://news.google.com/1", "https://p.com/1")], "url string, original string"))
-    assert sorted(x.original_status for x in r.collect()) == ["disabled", "fallback", "resolved"]
 
 
 def test_data_source(spark, tmp_path):
