@@ -458,6 +458,10 @@ def _duplicates(docs: DataFrame, to: Scratch) -> DataFrame:
         if met.isEmpty():
             break
         pairs = _pairs(met, to)
+        # documents of a round are among those of the one before, and mostly few
+        theirs = pairs.select("doc", "tag").union(pairs.select("keeper", "tag_0")).distinct()
+        before, slices = slices, to.keep(slices.join(theirs, ["doc", "tag"], "left_semi"), "slices")
+        to.drop(before)
         found = to.keep(_verified(_sliced(pairs, slices)), "found")
         to.drop(met, pairs)
         spans = spans.union(found.where("size(spans) > 0").select("doc", "tag", "keeper", "spans"))
