@@ -7,24 +7,29 @@ and an inverted list holds the places of each word.  Level by level lists grow:
 occurrences of a frequent phrase of k - 1 words are merge-joined by place with what
 stands one place on, the frequent phrase of k - 1 words that ends with the adjacent
 word, so what comes out are the lists of phrases of k words both of whose parts are
-frequent, and no other phrase can be.  A bucket tells the length of each list; the
-sum over buckets is the phrase's exact frequency.  Frequent phrases get a number and
-go back to the buckets that hold them, which keep those lists alone.
+frequent, and no other phrase can be.
+
+A phrase's id is a 64-bit hash of its language and word, or of its two parts' ids.  A
+bucket deals the ids and lengths of its lists into ranges of ids, each packed; a range
+sums the lengths of an id over buckets, which is its exact frequency, and sends back
+to each bucket which of its lists are frequent, and to the first of them how frequent.
+So what is shuffled is a few bytes for each bucket and phrase, in one row for each
+bucket and range; there are as many ranges as keep RANGE ids in each.  (Where ranges
+outnumber a bucket's lists, a row holds one list.)
 
-What is shuffled are (phrase, length) pairs, one for each bucket and phrase, so a
-phrase that stands everywhere costs a row a bucket; lists go to their bucket packed.
 Frequent phrases carry the frequencies of all their first and last words, so scores
 need no look-up.  A frequent phrase within a longer one of the same frequency is
 within one that is a word longer: dropping looks one level up only.
 
 Null texts are empty, a null language is "und".  Repeated rows count.  Texts of any
-length are whole: a bucket ends after a text.  Words are told apart within a bucket
-by 64-bit hashes and across buckets by themselves.  Counts are longs, products
-decimals of 38 digits.
+length are whole: a bucket ends after a text.  Phrases are told apart by their ids:
+among 10^8 frequent and 10^10 rare ones one collision is expected in 18 such corpora.
+Counts are longs, products decimals of 38 digits.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +38,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from . import words as W
 from .split import forget
-from .store import Scratch, arrow, table, written
+from .store import Scratch, arrow, limit_batches, table, written
 
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 #: Words of a bucket, but for its last text's, and words that a worker holds for all languages.
 BUCKET, HELD = 1 << 19, 1 << 21
 LEAST, LONGEST, FIRST = 100, 5, 2000
+#: Ids of a range on average, and the least power of two of ranges.
+RANGE, RANGES = 1 << 22, 6
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[list(SEPARATORS)] = True
@@ -58,6 +66,37 @@ def _unpacked(b: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(b[8:], 4 * n, codec="zstd"), "<i4") if n else np.zeros(0, dtype=np.int32)
 
 
+def _packed_ids(v: np.ndarray) -> bytes:
+    """Steps between 64-bit numbers, byte by byte, so that zstd meets the bytes of one weight together."""
+    v = np.ascontiguousarray(v).view(W.U64)
+    steps = np.diff(v, prepend=W.U64(0))
+    return len(v).to_bytes(8, "little") + (pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True) if len(v) else b"")
+
+
+def _unpacked_ids(b: bytes) -> np.ndarray:
+    n = int.from_bytes(b[:8], "little")
+    if not n:
+        return np.zeros(0, dtype=W.U64)
+    planes = np.frombuffer(pa.decompress(b[8:], 8 * n, codec="zstd"), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(W.U64).ravel(), dtype=W.U64)
+
+
+def _ids(names: bytes, parts: bytes | None, lang: str) -> np.ndarray:
+    """The ids of a bucket's lists: of words by their hashes, of longer phrases by the ids of their two parts (``names``: number of the first times how many there are, plus number of the rest)."""
+    names = _unpacked_ids(names)
+    if parts is None:
+        of = int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
+        return W.mix(names + W.mix(np.array([of], dtype=W.U64)))
+    first, rest = _parts(names, parts)
+    return W.mix(W.mix(first + W.U64(1)) + rest)
+
+
+def _parts(names: np.ndarray, parts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    parts = _unpacked_ids(parts)
+    n = W.U64(max(len(parts), 1))
+    return parts[names // n], parts[names % n]
+
+
 class _Held:
     """Words of one language on their way to a bucket."""
 
@@ -75,12 +114,12 @@ class _Held:
     def bucket(self, number: int, lang: str) -> dict:
         h, places = np.concatenate(self.hashes), np.concatenate(self.places)
         name, ids, count = np.unique(h, return_inverse=True, return_counts=True)
-        return {"bucket": number, "lang": lang, "n": self.n, "places": _packed(np.diff(places, prepend=0)), "lists": _packed(ids), "word": [self.text[k] for k in name.tolist()], "length": count.astype(np.int32)}
+        return {"bucket": number, "lang": lang, "n": self.n, "places": _packed(np.diff(places, prepend=0)), "lists": _packed(ids), "names": _packed_ids(name), "parts": None, "length": _packed(count), "size": len(name), "word": [self.text[k] for k in name.tolist()]}
 
 
 def _postings(docs: DataFrame) -> DataFrame:
-    """Buckets: bucket, lang, n, the place of each occurrence (as steps) and the number of its list, and each list's word and length."""
-    kinds = pa.schema([("bucket", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("places", pa.binary()), ("lists", pa.binary()), ("word", pa.list_(pa.binary())), ("length", pa.list_(pa.int32()))])
+    """Buckets: bucket, lang, n, the place of each occurrence (as steps) and the number of its list, and each list's name, length and word."""
+    kinds = pa.schema([("bucket", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), *((c, pa.binary()) for c in ("places", "lists", "names", "parts", "length")), ("size", pa.int64()), ("word", pa.list_(pa.binary()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -120,20 +159,96 @@ def _postings(docs: DataFrame) -> DataFrame:
             yield out(lang)
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return arrow(rows, run, "bucket long, lang string, n long, places binary, lists binary, word array<binary>, length array<int>")
+    return arrow(rows, run, "bucket long, lang string, n long, places binary, lists binary, names binary, parts binary, length binary, size long, word array<binary>")
 
 
-def _extended(lists: DataFrame) -> DataFrame:
-    """The lists of phrases a word longer, from lists and the frequent ones' numbers (``known``: list, id): places, lists, and of each list the two parts' numbers and its length."""
-    names = ["bucket", "places", "lists", "first", "rest", "length"]
+def _dealt(lists: DataFrame, bits: int) -> DataFrame:
+    """Each bucket's ids and lengths by range, the first ``bits`` bits of an id: bucket, range, ids, length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                bucket, places, which, known = (b.column(c)[i] for c in range(4))
-                at, which = np.cumsum(_unpacked(places.as_py()), dtype=np.int64), _unpacked(which.as_py())
-                numbers = known.values
-                local, ids = numbers.field("list").to_numpy(), numbers.field("id").to_numpy()
+            for r in b.to_pylist():
+                ids, length = _ids(r["names"], r["parts"], r["lang"]), _unpacked(r["length"])
+                order = np.argsort(ids, kind="stable")
+                ids, length = ids[order], length[order]
+                of = (ids >> W.U64(64 - bits)).astype(np.int64)
+                at = np.concatenate([np.flatnonzero(np.diff(of, prepend=-1)), [len(of)]])
+                out = [{"bucket": r["bucket"], "range": int(of[u]), "ids": _packed_ids(ids[u:v]), "length": _packed(length[u:v])} for u, v in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("bucket", pa.int64()), ("range", pa.int64()), ("ids", pa.binary()), ("length", pa.binary())]))
+
+    return arrow(lists.select("bucket", "lang", "names", "parts", "length"), run, "bucket long, range long, ids binary, length binary")
+
+
+def _summed(dealt: DataFrame, least: int) -> DataFrame:
+    """Of each bucket and range with frequent ids: which they are, in the order of ids (bits), and the frequency of those that the bucket is the first to hold, 0 of others."""
+
+    def run(t: pa.Table) -> pa.Table:
+        ids = [_unpacked_ids(x) for x in t["ids"].to_pylist()]
+        end = np.cumsum([len(x) for x in ids]).tolist()
+        ids, length = np.concatenate(ids), np.concatenate([_unpacked(x) for x in t["length"].to_pylist()])
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        head = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        f = np.add.reduceat(length[order], head, dtype=np.int64)
+        frequent = f >= least
+        kept, told = np.zeros(len(ids), dtype=bool), np.zeros(len(ids), dtype=np.int64)
+        kept[order] = np.repeat(frequent, np.diff(head, append=len(ids)))
+        told[order[head[frequent]]] = f[frequent]
+        out = []
+        for bucket, which, u, v in zip(t["bucket"].to_pylist(), t["range"].to_pylist(), [0, *end], end):  # noqa: B905
+            if kept[u:v].any():
+                out.append({"bucket": bucket, "range": which, "kept": np.packbits(kept[u:v]).tobytes(), "told": _packed_ids(told[u:v][kept[u:v]])})
+        return pa.Table.from_pylist(out, schema=pa.schema([("bucket", pa.int64()), ("range", pa.int64()), ("kept", pa.binary()), ("told", pa.binary())]))
+
+    ship(dealt.sparkSession)
+    limit_batches(dealt.sparkSession)
+    return dealt.groupBy("range").applyInArrow(run, "bucket long, range long, kept binary, told binary")
+
+
+def _frequent(row: dict, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers of a bucket's frequent lists in ascending order, their ids, and the frequencies that it tells (0: another bucket does)."""
+    ids = _ids(row["names"], row["parts"], row["lang"])
+    order = np.argsort(ids, kind="stable")
+    edge = np.searchsorted((ids[order] >> W.U64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
+    local, told = [], []
+    for x in row["known"]:
+        u, v = int(edge[x["range"]]), int(edge[x["range"] + 1])
+        local.append(order[u:v][np.unpackbits(np.frombuffer(x["kept"], np.uint8), count=v - u).astype(bool)])
+        told.append(_unpacked_ids(x["told"]))
+    local, told = np.concatenate(local), np.concatenate(told)
+    order = np.argsort(local)
+    return local[order], ids[local[order]], told[order].view(np.int64)
+
+
+def _told(lists: DataFrame, bits: int) -> DataFrame:
+    """A row for each frequent phrase: id, lang, f, and its word or the ids of its two parts."""
+    kinds = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("f", pa.int64()), ("word", pa.binary()), ("first", pa.int64()), ("rest", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                local, ids, f = _frequent(r, bits)
+                local, ids, f = local[f > 0], ids[f > 0], f[f > 0]
+                none = pa.nulls(len(local), pa.int64())
+                if r["parts"] is None:
+                    word, first, rest = pa.array([r["word"][k] for k in local.tolist()], pa.binary()), none, none
+                else:
+                    word = pa.nulls(len(local), pa.binary())
+                    first, rest = (pa.array(x.view(np.int64)) for x in _parts(_unpacked_ids(r["names"])[local], r["parts"]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array([r["lang"]] * len(local), pa.string()), pa.array(f), word, first, rest], schema=kinds)
+
+    return arrow(lists.select("lang", "names", "parts", "word", "known"), run, "id long, lang string, f long, word binary, first long, rest long")
+
+
+def _extended(lists: DataFrame, bits: int) -> DataFrame:
+    """The lists of phrases a word longer, from lists and which of them are frequent."""
+    names = ["bucket", "lang", "places", "lists", "names", "parts", "length", "size", "word"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                at, which = np.cumsum(_unpacked(r["places"]), dtype=np.int64), _unpacked(r["lists"])
+                local, ids, _ = _frequent(r, bits)
                 kept = np.full(int(which.max(initial=-1)) + 1, -1, dtype=np.int64)
                 kept[local] = np.arange(len(local))
                 which = kept[which]
@@ -144,44 +259,35 @@ def _extended(lists: DataFrame) -> DataFrame:
                 name, lists_, count = np.unique(pair, return_inverse=True, return_counts=True)
                 if not len(name):
                     continue
-                cols = [pa.array([bucket.as_py()], pa.int64()), pa.array([_packed(np.diff(at[next_to], prepend=0))]), pa.array([_packed(lists_)])]
-                cols += [pa.array([v], t) for v, t in ((ids[name // len(local)], pa.list_(pa.int64())), (ids[name % len(local)], pa.list_(pa.int64())), (count.astype(np.int32), pa.list_(pa.int32())))]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return arrow(lists, run, "bucket long, places binary, lists binary, first array<long>, rest array<long>, length array<int>")
-
-
-def _told(lists: DataFrame, *key: str) -> DataFrame:
-    """A row for each list of each bucket: bucket, list, its key and length."""
-    return lists.select("bucket", *(c for c in key if c == "lang"), F.posexplode(F.arrays_zip(*(c for c in key if c != "lang"), "length")).alias("list", "x")).select("bucket", "list", *(c if c == "lang" else F.col(f"x.{c}").alias(c) for c in key), F.col("x.length").alias("length"))
-
+                cols = [pa.array([r["bucket"]], pa.int64()), pa.array([r["lang"]]), *(pa.array([x], pa.binary()) for x in (_packed(np.diff(at[next_to], prepend=0)), _packed(lists_), _packed_ids(name), _packed_ids(ids), _packed(count)))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([len(name)], pa.int64()), pa.nulls(1, pa.list_(pa.binary()))], names=names)
 
-def _known(told: DataFrame, frequent: DataFrame, key: list[str]) -> DataFrame:
-    """The numbers of the frequent phrases of each bucket, no more of them than its words."""
-    return told.join(frequent.select(*key, "id"), key).groupBy("bucket").agg(F.collect_list(F.struct("list", "id")).alias("known"))
+    return arrow(lists.select("bucket", "lang", "places", "lists", "names", "parts", "known"), run, "bucket long, lang string, places binary, lists binary, names binary, parts binary, length binary, size long, word array<binary>")
 
 
 def frequent_phrases(docs: DataFrame, least: int, longest: int, to: Scratch) -> tuple[DataFrame, list[DataFrame]]:
-    """(lang, n), and for each length the phrases that stand ``least`` times and more: id, lang, phrase, last (word), f, heads and tails (frequencies of the first and last 1, 2, ... words), first and rest (numbers of the phrases without the last and the first word)."""
-    lists = to.keep(_postings(docs), "postings")
+    """(lang, n), and for each length the phrases that stand ``least`` times and more: id, lang, phrase, last (word), f, heads and tails (frequencies of the first and last 1, 2, ... words), from the second on first and rest (ids of the phrases without the last and the first word)."""
+    lists = to.keep(_postings(docs), "postings", "zstd")
     total = to.keep(lists.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    told = _told(lists, "lang", "word")
-    counted = told.groupBy("lang", "word").agg(F.sum("length").alias("f")).where(F.col("f") >= least)
     one = F.array("f")
-    word = F.col("word").cast("string")
-    levels = [to.keep(counted.select(F.monotonically_increasing_id().alias("id"), "lang", "word", word.alias("phrase"), word.alias("last"), "f", one.alias("heads"), one.alias("tails")), "phrases")]
-    key = ["lang", "word"]
-    for _ in range(2, longest + 1):
-        known = _known(told, levels[-1], key)
-        before, lists = lists, to.keep(_extended(lists.select("bucket", "places", "lists").join(known, "bucket").select("bucket", "places", "lists", "known")), "lists")
-        to.drop(before)
-        key = ["first", "rest"]
-        told = _told(lists, *key)
-        counted = told.groupBy(*key).agg(F.sum("length").alias("f")).where(F.col("f") >= least)
-        a = levels[-1].select(F.col("id").alias("first"), "lang", F.col("phrase").alias("p"), "heads")
-        b = levels[-1].select(F.col("id").alias("rest"), "last", "tails")
-        grown = counted.join(a, "first").join(b, "rest")
-        levels.append(to.keep(grown.select(F.monotonically_increasing_id().alias("id"), "lang", F.concat_ws(" ", "p", "last").alias("phrase"), "last", "f", F.concat("heads", one).alias("heads"), F.concat("tails", one).alias("tails"), *key), "phrases"))
+    levels: list[DataFrame] = []
+    for k in range(1, longest + 1):
+        ids = lists.agg(F.sum("size")).first()[0] or 0
+        bits = max(RANGES, (ids // RANGE).bit_length())
+        known = to.keep(_summed(_dealt(lists, bits), least), "known", "zstd")
+        marked = lists.join(known.groupBy("bucket").agg(F.collect_list(F.struct("range", "kept", "told")).alias("known")), "bucket")
+        told = _told(marked, bits)
+        if k == 1:
+            word = F.col("word").cast("string")
+            levels.append(to.keep(told.select("id", "lang", word.alias("phrase"), word.alias("last"), "f", one.alias("heads"), one.alias("tails")), "phrases", "zstd"))
+        else:
+            a = levels[-1].select(F.col("id").alias("first"), F.col("phrase").alias("p"), "heads")
+            b = levels[-1].select(F.col("id").alias("rest"), "last", "tails")
+            grown = told.join(a, "first").join(b, "rest")
+            levels.append(to.keep(grown.select("id", "lang", F.concat_ws(" ", "p", "last").alias("phrase"), "last", "f", F.concat("heads", one).alias("heads"), F.concat("tails", one).alias("tails"), "first", "rest"), "phrases", "zstd"))
+        if k < longest:
+            before, lists = lists, to.keep(_extended(marked, bits), "lists", "zstd")
+            to.drop(before, known)
     return total, levels
 
 
