@@ -220,36 +220,32 @@ def _frequent(row: dict, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return local[order], ids[local[order]], told[order].view(np.int64)
 
 
-def _told(lists: DataFrame, bits: int) -> DataFrame:
-    """A row for each frequent phrase: id, lang, f, and its word or the ids of its two parts."""
-    kinds = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("f", pa.int64()), ("word", pa.binary()), ("first", pa.int64()), ("rest", pa.int64())])
+_TOLD = pa.struct([("id", pa.int64()), ("f", pa.int64()), ("word", pa.binary()), ("first", pa.int64()), ("rest", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                local, ids, f = _frequent(r, bits)
-                local, ids, f = local[f > 0], ids[f > 0], f[f > 0]
-                none = pa.nulls(len(local), pa.int64())
-                if r["parts"] is None:
-                    word, first, rest = pa.array([r["word"][k] for k in local.tolist()], pa.binary()), none, none
-                else:
-                    word = pa.nulls(len(local), pa.binary())
-                    first, rest = (pa.array(x.view(np.int64)) for x in _parts(_unpacked_ids(r["names"])[local], r["parts"]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array([r["lang"]] * len(local), pa.string()), pa.array(f), word, first, rest], schema=kinds)
 
-    return arrow(lists.select("lang", "names", "parts", "word", "known"), run, "id long, lang string, f long, word binary, first long, rest long")
+def _told(row: dict, local: np.ndarray, ids: np.ndarray, f: np.ndarray) -> pa.Array:
+    """The frequent phrases that a bucket tells of: id, f, and the word or the ids of the two parts."""
+    local, ids, f = local[f > 0], ids[f > 0], f[f > 0]
+    none = pa.nulls(len(local), pa.int64())
+    if row["parts"] is None:
+        word, first, rest = pa.array([row["word"][k] for k in local.tolist()], pa.binary()), none, none
+    else:
+        word = pa.nulls(len(local), pa.binary())
+        first, rest = (pa.array(x.view(np.int64)) for x in _parts(_unpacked_ids(row["names"])[local], row["parts"]))
+    return pa.StructArray.from_arrays([pa.array(ids.view(np.int64)), pa.array(f), word, first, rest], fields=list(_TOLD))
 
 
-def _extended(lists: DataFrame, bits: int) -> DataFrame:
-    """The lists of phrases a word longer, from lists and which of them are frequent."""
-    names = ["bucket", "lang", "places", "lists", "names", "parts", "length", "size", "word"]
+def _extended(lists: DataFrame, bits: int, grow: bool) -> DataFrame:
+    """The lists of phrases a word longer, from lists and which of them are frequent, and those that each bucket tells of; without ``grow`` these alone."""
+    names = ["bucket", "lang", "places", "lists", "names", "parts", "length", "size", "word", "told"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                at, which = np.cumsum(_unpacked(r["places"]), dtype=np.int64), _unpacked(r["lists"])
-                local, ids, _ = _frequent(r, bits)
-                kept = np.full(int(which.max(initial=-1)) + 1, -1, dtype=np.int64)
+                at, which = (_unpacked(r[c] or bytes(8)) for c in ("places", "lists"))
+                at = np.cumsum(at, dtype=np.int64)
+                local, ids, f = _frequent(r, bits)
+                kept = np.full(int(max(which.max(initial=-1), local.max(initial=-1))) + 1, -1, dtype=np.int64)
                 kept[local] = np.arange(len(local))
                 which = kept[which]
                 at, which = at[which >= 0], which[which >= 0]
@@ -257,12 +253,12 @@ def _extended(lists: DataFrame, bits: int) -> DataFrame:
                 next_to = np.flatnonzero(at[1:] == at[:-1] + 1)
                 pair = which[next_to] * len(local) + which[next_to + 1]
                 name, lists_, count = np.unique(pair, return_inverse=True, return_counts=True)
-                if not len(name):
-                    continue
+                told = _told(r, local, ids, f)
                 cols = [pa.array([r["bucket"]], pa.int64()), pa.array([r["lang"]]), *(pa.array([x], pa.binary()) for x in (_packed(np.diff(at[next_to], prepend=0)), _packed(lists_), _packed_ids(name), _packed_ids(ids), _packed(count)))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([len(name)], pa.int64()), pa.nulls(1, pa.list_(pa.binary()))], names=names)
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([len(name)], pa.int64()), pa.nulls(1, pa.list_(pa.binary())), pa.ListArray.from_arrays(pa.array([0, len(told)], pa.int32()), told)], names=names)
 
-    return arrow(lists.select("bucket", "lang", "places", "lists", "names", "parts", "known"), run, "bucket long, lang string, places binary, lists binary, names binary, parts binary, length binary, size long, word array<binary>")
+    occurrences = [c if grow else F.lit(None).cast("binary").alias(c) for c in ("places", "lists")]
+    return arrow(lists.select("bucket", "lang", *occurrences, "names", "parts", "word", "known"), run, "bucket long, lang string, places binary, lists binary, names binary, parts binary, length binary, size long, word array<binary>, told array<struct<id:long,f:long,word:binary,first:long,rest:long>>")
 
 
 def frequent_phrases(docs: DataFrame, least: int, longest: int, to: Scratch) -> tuple[DataFrame, list[DataFrame]]:
@@ -276,7 +272,10 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, to: Scratch) ->
         bits = max(RANGES, (ids // RANGE).bit_length())
         known = to.keep(_summed(_dealt(lists, bits), least), "known", "zstd")
         marked = lists.join(known.groupBy("bucket").agg(F.collect_list(F.struct("range", "kept", "told")).alias("known")), "bucket")
-        told = _told(marked, bits)
+        # buckets pass a shuffle once a level: the next lists and what is told of these come together
+        before, lists = lists, to.keep(_extended(marked, bits, k < longest), "lists", "zstd")
+        to.drop(before, known)
+        told = lists.select("lang", F.inline("told"))
         if k == 1:
             word = F.col("word").cast("string")
             levels.append(to.keep(told.select("id", "lang", word.alias("phrase"), word.alias("last"), "f", one.alias("heads"), one.alias("tails")), "phrases", "zstd"))
@@ -285,9 +284,6 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, to: Scratch) ->
             b = levels[-1].select(F.col("id").alias("rest"), "last", "tails")
             grown = told.join(a, "first").join(b, "rest")
             levels.append(to.keep(grown.select("id", "lang", F.concat_ws(" ", "p", "last").alias("phrase"), "last", "f", F.concat("heads", one).alias("heads"), F.concat("tails", one).alias("tails"), "first", "rest"), "phrases", "zstd"))
-        if k < longest:
-            before, lists = lists, to.keep(_extended(marked, bits), "lists", "zstd")
-            to.drop(before, known)
     return total, levels
 
 
