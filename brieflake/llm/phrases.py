@@ -56,29 +56,46 @@ _WORD = ~_SEPARATOR
 _WORD[[0x20, 0x09]] = False
 
 
+def _planes(v: np.ndarray) -> bytes:
+    """Numbers of one width byte by byte, so that zstd meets the bytes of one weight together."""
+    flat = np.ascontiguousarray(v).view(np.uint8).reshape(-1, v.itemsize).T
+    return len(v).to_bytes(8, "little") + (pa.compress(np.ascontiguousarray(flat).tobytes(), codec="zstd", asbytes=True) if len(v) else b"")
+
+
+def _of_planes(b: bytes, kind: str) -> np.ndarray:
+    n, width = int.from_bytes(b[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, dtype=kind)
+    flat = np.frombuffer(pa.decompress(b[8:], width * n, codec="zstd"), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(flat.T).view(kind).ravel()
+
+
 def _packed(v: np.ndarray) -> bytes:
-    v = np.ascontiguousarray(v.astype("<i4"))
-    return len(v).to_bytes(8, "little") + (pa.compress(v.tobytes(), codec="zstd", asbytes=True) if len(v) else b"")
+    return _planes(v.astype("<i4"))
 
 
 def _unpacked(b: bytes) -> np.ndarray:
-    n = int.from_bytes(b[:8], "little")
-    return np.frombuffer(pa.decompress(b[8:], 4 * n, codec="zstd"), "<i4") if n else np.zeros(0, dtype=np.int32)
+    return _of_planes(b, "<i4")
+
+
+def _packed_lists(lists: np.ndarray, length: np.ndarray) -> bytes:
+    """The list of each occurrence, as its place among the lists by length: long lists, which occur most, get small numbers."""
+    place = np.empty(len(length), dtype=np.int64)
+    place[np.argsort(-length, kind="stable")] = np.arange(len(length))
+    return _packed(place[lists])
+
+
+def _unpacked_lists(lists: bytes, length: bytes) -> np.ndarray:
+    return np.argsort(-_unpacked(length), kind="stable")[_unpacked(lists)]
 
 
 def _packed_ids(v: np.ndarray) -> bytes:
-    """Steps between 64-bit numbers, byte by byte, so that zstd meets the bytes of one weight together."""
-    v = np.ascontiguousarray(v).view(W.U64)
-    steps = np.diff(v, prepend=W.U64(0))
-    return len(v).to_bytes(8, "little") + (pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True) if len(v) else b"")
+    """64-bit numbers as the steps between them."""
+    return _planes(np.diff(np.ascontiguousarray(v).view(W.U64), prepend=W.U64(0)))
 
 
 def _unpacked_ids(b: bytes) -> np.ndarray:
-    n = int.from_bytes(b[:8], "little")
-    if not n:
-        return np.zeros(0, dtype=W.U64)
-    planes = np.frombuffer(pa.decompress(b[8:], 8 * n, codec="zstd"), np.uint8).reshape(8, n)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(W.U64).ravel(), dtype=W.U64)
+    return np.cumsum(_of_planes(b, "<u8"), dtype=W.U64)
 
 
 def _ids(names: bytes, parts: bytes | None, lang: str) -> np.ndarray:
@@ -114,7 +131,7 @@ class _Held:
     def bucket(self, number: int, lang: str) -> dict:
         h, places = np.concatenate(self.hashes), np.concatenate(self.places)
         name, ids, count = np.unique(h, return_inverse=True, return_counts=True)
-        return {"bucket": number, "lang": lang, "n": self.n, "places": _packed(np.diff(places, prepend=0)), "lists": _packed(ids), "names": _packed_ids(name), "parts": None, "length": _packed(count), "size": len(name), "word": [self.text[k] for k in name.tolist()]}
+        return {"bucket": number, "lang": lang, "n": self.n, "places": _packed(np.diff(places, prepend=0)), "lists": _packed_lists(ids, count), "names": _packed_ids(name), "parts": None, "length": _packed(count), "size": len(name), "word": [self.text[k] for k in name.tolist()]}
 
 
 def _postings(docs: DataFrame) -> DataFrame:
@@ -242,8 +259,8 @@ def _extended(lists: DataFrame, bits: int, grow: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                at, which = (_unpacked(r[c] or bytes(8)) for c in ("places", "lists"))
-                at = np.cumsum(at, dtype=np.int64)
+                at = np.cumsum(_unpacked(r["places"] or bytes(8)), dtype=np.int64)
+                which = _unpacked_lists(r["lists"] or bytes(8), r["length"] or bytes(8))
                 local, ids, f = _frequent(r, bits)
                 kept = np.full(int(max(which.max(initial=-1), local.max(initial=-1))) + 1, -1, dtype=np.int64)
                 kept[local] = np.arange(len(local))
@@ -254,10 +271,10 @@ def _extended(lists: DataFrame, bits: int, grow: bool) -> DataFrame:
                 pair = which[next_to] * len(local) + which[next_to + 1]
                 name, lists_, count = np.unique(pair, return_inverse=True, return_counts=True)
                 told = _told(r, local, ids, f)
-                cols = [pa.array([r["bucket"]], pa.int64()), pa.array([r["lang"]]), *(pa.array([x], pa.binary()) for x in (_packed(np.diff(at[next_to], prepend=0)), _packed(lists_), _packed_ids(name), _packed_ids(ids), _packed(count)))]
+                cols = [pa.array([r["bucket"]], pa.int64()), pa.array([r["lang"]]), *(pa.array([x], pa.binary()) for x in (_packed(np.diff(at[next_to], prepend=0)), _packed_lists(lists_, count), _packed_ids(name), _packed_ids(ids), _packed(count)))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array([len(name)], pa.int64()), pa.nulls(1, pa.list_(pa.binary())), pa.ListArray.from_arrays(pa.array([0, len(told)], pa.int32()), told)], names=names)
 
-    occurrences = [c if grow else F.lit(None).cast("binary").alias(c) for c in ("places", "lists")]
+    occurrences = [c if grow else F.lit(None).cast("binary").alias(c) for c in ("places", "lists", "length")]
     return arrow(lists.select("bucket", "lang", *occurrences, "names", "parts", "word", "known"), run, "bucket long, lang string, places binary, lists binary, names binary, parts binary, length binary, size long, word array<binary>, told array<struct<id:long,f:long,word:binary,first:long,rest:long>>")
 
 
