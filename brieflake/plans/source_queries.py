@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import domains, text, urls
 from ..operators import analysis, digest, memory, metrics, ranking, rotation, windows
-from ..sources import adapters, interests, original, readers
-from . import catalogue, service
+from ..sources import adapters, attempts, interests, original, readers
+from . import catalogue, constraints, service
 from .registry import oracle_sql, query
 from .views import EV, FOOD, food_ev, items_ev, table
 
@@ -318,3 +318,65 @@ def html_text(spark: SparkSession, sf: str) -> DataFrame:
 @query("select doc_id, regexp_replace(text, '([\\\\`*_\\[\\]<>|])', '\\\\\\1', 'g') as escaped from documents")
 def markdown_safe(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.markdown_escaped(F.col("text")).alias("escaped"))
+
+
+# --- attempts and constraints
+
+
+def _ways(spark: SparkSession, sf: str, *ways: tuple) -> DataFrame:
+    """Attempts made from pages: for each way a kind, a status and how much it found."""
+    each = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(k).alias("kind"), status.alias("status"), found.alias("found")) for i, (k, status, found) in enumerate(ways)))
+    return table(spark, sf, "pages").select("page_id", F.inline(each))
+
+
+def _has(mark: str) -> Column:
+    return F.contains(F.coalesce("html", F.lit("")), F.lit(mark))
+
+
+def _times(mark: str) -> Column:
+    return F.regexp_count(F.coalesce("html", F.lit("")), F.lit(mark))
+
+
+@query(
+    """with p as (select page_id, coalesce(html, '') as h from pages), n as (select page_id, len(string_split(h, '<article')) - 1 as posts, len(string_split(h, '<p>')) - 1 as listed, len(string_split(h, '<li')) - 1 as fed, contains(h, 'cookie') as blocked, contains(h, '<script') as broken from p)
+select page_id, case when posts > 0 then 'page' when blocked then 'feed' else 'json' end as kind, (case when posts > 0 then posts when blocked then fed when broken then 0 else listed end)::integer as found from n"""
+)
+def listing_reads(spark: SparkSession, sf: str) -> DataFrame:
+    ok = F.lit(200)
+    a = _ways(spark, sf, ("page", ok, _times("<article")), ("json", F.when(_has("cookie"), 403).when(_has("<script"), 500).otherwise(200), _times("<p>")), ("feed", ok, _times("<li")))
+    s = attempts.settled(a, "page_id", "place", attempts.listing_open(F.col("kind"), F.col("status"), F.col("found")))
+    return s.select("page_id", "kind", F.when(F.col("status") < 400, F.col("found")).otherwise(0).alias("found"))
+
+
+@query(
+    """with p as (select page_id, coalesce(html, '') as h from pages), s as (select page_id, case when contains(h, '<nav') then 500 else 200 end as a, case when contains(h, '<footer') then 429 else 200 end as b, case when contains(h, '<form') then null else 200 end as c from p)
+select page_id, case when a < 400 then 'first' when b < 400 then 'second' else 'third' end as kind, case when a < 400 then a when b < 400 then b else c end as status, a >= 400 and b >= 400 and c is null as failed from s"""
+)
+def mirror_reads(spark: SparkSession, sf: str) -> DataFrame:
+    none = F.lit(None).cast("int")
+    a = _ways(spark, sf, ("first", F.when(_has("<nav"), 500).otherwise(200), none), ("second", F.when(_has("<footer"), 429).otherwise(200), none), ("third", F.when(~_has("<form"), 200), none))
+    return attempts.settled(a, "page_id", "place", attempts.mirror_failed(F.col("status"))).select("page_id", "kind", "status", "failed")
+
+
+_SETTINGS = (*constraints.ANALYSIS, constraints.Rule("$.max_attempts", "number"), constraints.Rule("$.groups[].tier", "required"), constraints.Rule("$.groups[].tier", "oneof", ("STANDARD", "PROMO", "ECONOMY")), *constraints.DIGEST)
+
+
+@query(
+    """with c as (select p_partkey as id, p_size as s, p_brand like '%1' as w, split_part(p_type, ' ', 1) as tier from part), g as (select * from c where s <> 50)
+select id, '$' as path, 'json' as rule from c where s = 50
+union all select id, '$.concurrency', 'le' from g where s + 20 > 64
+union all select id, '$.timeout_seconds', 'gt' from g where s <= 1
+union all select id, '$.max_attempts', 'number' from g where w
+union all select id, '$.max_attempts', 'ge' from g where not w and s % 13 < 1
+union all select id, '$.max_attempts', 'le' from g where not w and s % 13 > 10
+union all select id, '$.max_items', 'gt' from g where s - 5 <= 0
+union all select id, '$.groups[0].limit', 'gt' from g where s - 10 <= 0
+union all select id, '$.groups[0].tier', 'oneof' from g where tier not in ('STANDARD', 'PROMO', 'ECONOMY')
+union all select id, '$.groups[1].' || unnest(['limit', 'tier']), 'required' from g"""
+)
+def config_violations(spark: SparkSession, sf: str) -> DataFrame:
+    s = F.col("p_size")
+    tries = F.when(F.col("p_brand").endswith("1"), F.lit('"many"')).otherwise((s % 13).cast("string"))
+    parts = ('{"concurrency":', s + 20, ',"timeout_seconds":', s - 1, ',"max_attempts":', tries, ',"max_items":', s - 5, ',"groups":[{"limit":', s - 10, ',"tier":"', F.get(F.split("p_type", " "), F.lit(0)), '"},{"limit":null}]}', F.when(s == 50, "}").otherwise(""))
+    config = F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    return constraints.violations(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), config.alias("config")), _SETTINGS).select("id", "path", "rule")

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions import text
 from ..ship import ship
@@ -132,17 +132,71 @@ class _Reader(DataSourceReader):
         return [_Part(p) for p in self.options["path"].split(",")]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
+        yield from _rows(partition.value, self.options)
+
+
+def _store(path: str) -> tuple:
+    import pyarrow.fs
+
+    return pyarrow.fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+
+
+def _rows(name: str, options: dict[str, str]) -> Iterator[tuple]:
+    fs, path = _store(name)
+    with fs.open_input_stream(path) as f:
+        data = f.read()
+    for i, r in enumerate(parsed(options.get("adapter", "rss"), data, options.get("base", ""), options)):
+        yield tuple([name, i, None] + [r.get(c) for c in _COLUMNS])
+
+
+class _StreamReader(DataSourceStreamReader):
+    """The files of folders as they come, a partition for each.
+
+    An offset is the time of change and the name of the last file that was read, so
+    it stays as small as it is, and what lies between two offsets is the same files
+    whenever it is read again.  For that a file must not change once it is there, nor
+    come with a time before those already read; ``settle`` (seconds, 1 unless given)
+    holds files back until others of their time are there too.  A file that can't be
+    read gives one row with its error.
+    """
+
+    def __init__(self, options: dict[str, str]):
+        self.options, self.last = options, (0, "")
+
+    def _files(self) -> list[tuple[int, str]]:
+        import time
+
         import pyarrow.fs
 
-        fs, path = pyarrow.fs.FileSystem.from_uri(partition.value if "://" in partition.value else "file://" + partition.value)
-        with fs.open_input_stream(path) as f:
-            data = f.read()
-        for i, r in enumerate(parsed(self.options.get("adapter", "rss"), data, self.options.get("base", ""), self.options)):
-            yield tuple([partition.value, i, None] + [r.get(c) for c in _COLUMNS])
+        before = time.time_ns() - int(float(self.options.get("settle", "1")) * 1e9)
+        out = []
+        for folder in self.options["path"].split(","):
+            fs, path = _store(folder)
+            lead = folder[: len(folder) - len(path)] if folder.endswith(path) else ""
+            out += [(f.mtime_ns, lead + f.path) for f in fs.get_file_info(pyarrow.fs.FileSelector(path)) if f.is_file and f.mtime_ns <= before]
+        return out
+
+    def initialOffset(self) -> dict:
+        return {"at": 0, "file": ""}
+
+    def latestOffset(self) -> dict:
+        self.last = max([self.last, *self._files()])
+        return {"at": self.last[0], "file": self.last[1]}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        u, v = ((x["at"], x["file"]) for x in (start, end))
+        return [_Part(f) for at, f in sorted(self._files()) if u < (at, f) <= v]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        try:
+            rows = list(_rows(partition.value, self.options))
+        except Exception as e:  # whatever a source sends, it fails alone
+            rows = [(partition.value, 0, f"{type(e).__name__}: {e}"[:500], *[None] * len(_COLUMNS))]
+        yield from rows
 
 
 class ItemFeed(DataSource):
-    """spark.read.format("brieflake_feed").option("adapter", ...).option("path", "a,b").load(): one partition for each file."""
+    """spark.read.format("brieflake_feed").option("adapter", ...).option("path", "a,b").load(): one partition for each file; with readStream the paths are folders, read as files come."""
 
     @classmethod
     def name(cls) -> str:
@@ -153,3 +207,6 @@ class ItemFeed(DataSource):
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
         return _Reader(dict(self.options))
+
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: ANN001
+        return _StreamReader(dict(self.options))
