@@ -329,8 +329,8 @@ def _ways(spark: SparkSession, sf: str, *ways: tuple) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.inline(each))
 
 
-def _has(mark: str) -> Column:
-    return F.contains(F.coalesce("html", F.lit("")), F.lit(mark))
+def _long() -> Column:
+    return F.length(F.coalesce("html", F.lit("")))
 
 
 def _times(mark: str) -> Column:
@@ -338,23 +338,23 @@ def _times(mark: str) -> Column:
 
 
 @query(
-    """with p as (select page_id, coalesce(html, '') as h from pages), n as (select page_id, len(string_split(h, '<article')) - 1 as posts, len(string_split(h, '<p>')) - 1 as listed, len(string_split(h, '<li')) - 1 as fed, contains(h, 'cookie') as blocked, contains(h, '<script') as broken from p)
+    """with p as (select page_id, coalesce(html, '') as h from pages), n as (select page_id, greatest(len(string_split(h, '<p>')) - 1 - 6, 0) as posts, length(h) as listed, len(string_split(h, '<li')) - 1 as fed, length(h) > 2115 as blocked, length(h) < 1582 as broken from p)
 select page_id, case when posts > 0 then 'page' when blocked then 'feed' else 'json' end as kind, (case when posts > 0 then posts when blocked then fed when broken then 0 else listed end)::integer as found from n"""
 )
 def listing_reads(spark: SparkSession, sf: str) -> DataFrame:
     ok = F.lit(200)
-    a = _ways(spark, sf, ("page", ok, _times("<article")), ("json", F.when(_has("cookie"), 403).when(_has("<script"), 500).otherwise(200), _times("<p>")), ("feed", ok, _times("<li")))
+    a = _ways(spark, sf, ("page", ok, F.greatest(_times("<p>") - 6, F.lit(0))), ("json", F.when(_long() > 2115, 403).when(_long() < 1582, 500).otherwise(200), _long()), ("feed", ok, _times("<li")))
     s = attempts.settled(a, "page_id", "place", attempts.listing_open(F.col("kind"), F.col("status"), F.col("found")))
     return s.select("page_id", "kind", F.when(F.col("status") < 400, F.col("found")).otherwise(0).alias("found"))
 
 
 @query(
-    """with p as (select page_id, coalesce(html, '') as h from pages), s as (select page_id, case when contains(h, '<nav') then 500 else 200 end as a, case when contains(h, '<footer') then 429 else 200 end as b, case when contains(h, '<form') then null else 200 end as c from p)
+    """with p as (select page_id, coalesce(html, '') as h from pages), s as (select page_id, case when length(h) > 1582 then 500 else 200 end as a, case when len(string_split(h, '<p>')) - 1 > 6 then 429 else 200 end as b, case when length(h) > 3754 then null else 200 end as c from p)
 select page_id, case when a < 400 then 'first' when b < 400 then 'second' else 'third' end as kind, case when a < 400 then a when b < 400 then b else c end as status, a >= 400 and b >= 400 and c is null as failed from s"""
 )
 def mirror_reads(spark: SparkSession, sf: str) -> DataFrame:
     none = F.lit(None).cast("int")
-    a = _ways(spark, sf, ("first", F.when(_has("<nav"), 500).otherwise(200), none), ("second", F.when(_has("<footer"), 429).otherwise(200), none), ("third", F.when(~_has("<form"), 200), none))
+    a = _ways(spark, sf, ("first", F.when(_long() > 1582, 500).otherwise(200), none), ("second", F.when(_times("<p>") > 6, 429).otherwise(200), none), ("third", F.when(_long() <= 3754, 200), none))
     return attempts.settled(a, "page_id", "place", attempts.mirror_failed(F.col("status"))).select("page_id", "kind", "status", "failed")
 
 
