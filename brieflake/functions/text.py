@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .addresses import let
+
 DEFAULT_CHARS, MOST_CHARS = 1200, 4000
 
 
@@ -110,29 +112,34 @@ def title_from(text: Column, limit: int = 80) -> Column:
 def fixed_point(x: Column, places: int) -> Column:
     """A double with so many decimals (4 at most), rounded as its binary value says, halves to the even digit: 0.965 is a little less and gives 0.96.
 
-    The part after the point is taken apart into 4 times 26 binary digits, so what
-    is rounded is the number itself and not its shortest decimal form.
+    What is rounded is the number itself and not its shortest decimal form: the part
+    after the point times 10 ** places is a double and what that double lacks of the
+    product, which is exact, as one factor is split in two; the lack decides halves.
+    Each step is bound once: x may be long, and steps that repeat it would double it.
     """
-    finite = ~F.isnan(x) & (F.abs(x) < float("inf"))
-    size = F.when(finite, F.abs(x)).otherwise(0.0)
-    whole = F.floor(size)
-    rest, digits = size - whole, []
-    for _ in range(4):
-        rest = rest * (1 << 26)
-        digits.append(F.floor(rest))
-        rest = rest - F.floor(rest)
-    big = lambda c: c.cast("decimal(38,0)")
-    value = big(F.lit(0))
-    for d in digits:
-        value = (value * big(F.lit(1 << 26)) + big(d)).cast("decimal(38,0)")
-    scaled = (value * big(F.lit(10**places))).cast("decimal(38,0)")
-    one = F.lit(str(1 << 104)).cast("decimal(38,0)")
-    down = F.call_function("div", scaled, one)
-    left = (scaled - big(down) * one).cast("decimal(38,0)") * 2
-    up = (left > one) | ((left == one) & (down % 2 == 1)) | ((left == one) & (rest > 0))
-    near = down + up.cast("long")
-    carried = whole + F.when(near == 10**places, 1).otherwise(0)
-    tail = F.lpad(F.pmod(near, F.lit(10**places)).cast("string"), places, "0")
-    sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
-    number = F.concat(sign, carried.cast("long").cast("string"), F.lit("."), tail)
-    return F.when(F.isnan(x), "nan").when(~finite, F.concat(sign, F.lit("inf"))).otherwise(number)
+    whole_ones = float(10**places)
+
+    def nearest(rest: Column) -> Column:
+        high = rest * float((1 << 27) + 1) - (rest * float((1 << 27) + 1) - rest)
+
+        def settled(product: Column) -> Column:
+            lack = (high * whole_ones - product) + (rest - high) * whole_ones
+            off = product - F.rint(product)
+            step = F.when((off == 0.5) & (lack > 0), 1).when((off == -0.5) & (lack < 0), -1).otherwise(0)
+            return F.rint(product).cast("long") + step
+
+        return let(rest * whole_ones, settled)
+
+    def shown(v: Column) -> Column:
+        finite = ~F.isnan(v) & (F.abs(v) < float("inf"))
+        size = F.when(finite, F.abs(v)).otherwise(0.0)
+        sign = F.when(v.cast("string").startswith("-"), "-").otherwise("")
+
+        def number(near: Column) -> Column:
+            carried = F.floor(size) + F.when(near == 10**places, 1).otherwise(0)
+            tail = F.lpad(F.pmod(near, F.lit(10**places)).cast("string"), places, "0")
+            return F.concat(sign, carried.cast("long").cast("string"), F.lit("."), tail)
+
+        return F.when(F.isnan(v), "nan").when(~finite, F.concat(sign, F.lit("inf"))).otherwise(let(let(size - F.floor(size), nearest), number))
+
+    return let(x, shown)

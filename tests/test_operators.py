@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 from datetime import date, datetime, timedelta
 
@@ -382,6 +383,15 @@ def test_fixed_point_is_python_s(spark):
     assert [r for r in df.collect() if (r.two, r.four) != (f"{r.x:.2f}", f"{r.x:.4f}")] == []
 
 
+def test_fixed_point_of_a_long_expression_and_next_to_halves(spark):
+    """What is rounded stands once in the plan, however many steps read it; neighbours of halves go their own way."""
+    xs = [y for k in range(0, 40000, 37) for h in [(k + 0.5) / 10000, (k + 0.5) / 100] for y in (h, math.nextafter(h, 1e9), math.nextafter(h, -1))]
+    long = F.col("x") + F.lit(987654321) - F.lit(987654321.0)
+    df = spark.createDataFrame([(x,) for x in xs], "x double").select("x", text.fixed_point(F.col("x"), 2).alias("two"), text.fixed_point(F.col("x"), 4).alias("four"), text.fixed_point(long, 4).alias("long"))
+    assert df._jdf.queryExecution().analyzed().toString().count("9.87654321E8") == 1
+    assert [r for r in df.collect() if (r.two, r.four, r.long) != (f"{r.x:.2f}", f"{r.x:.4f}", f"{r.x + 987654321 - 987654321.0:.4f}")] == []
+
+
 @pytest.mark.parametrize("by", [None, "k"])
 def test_numbered(spark, by):
     rows = [(i % 2 if i else None, (i * 7919) % 1000) for i in range(1000)]
