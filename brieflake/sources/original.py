@@ -1,9 +1,11 @@
-"""Where aggregator links lead: redirects followed by pointer jumping, pages asked for their canonical address.
+"""Where aggregator links lead: redirects followed round by round, pages asked for their canonical address.
 
 Fetched responses are a table (url, status, location, html).  Each response is one
-step: on to another aggregator address, out to a publisher, or an error.  Steps are
-composed with themselves, so chains of up to n redirects take log2 n joins; what is
-still on its way then is longer than allowed, or a loop.
+step: on to another aggregator address, out to a publisher, or an error.  A round
+joins each step that goes on with the longest way known from where it leads, so as
+many rounds as redirects are allowed settle all chains; what is still on its way then
+is longer than allowed, or a loop.  An address that was fetched often has a step for
+each different answer, and every one is followed.
 """
 
 from __future__ import annotations
@@ -111,25 +113,34 @@ def _first_step(responses: DataFrame, aggregators: tuple[str, ...], resolved: Da
         .when(~F.col("_again") & ~(web & F.coalesce("public", F.lit(False))), "unsafe_target")
     )
     on = away & F.col("_again") & error.isNull()
-    return j.select("url", F.when(error.isNull(), F.col("to")).alias("to"), error.alias("error"), away.cast("int").alias("redirects"), on.alias("on"))
+    return j.select("url", F.when(error.isNull(), F.col("to")).alias("to"), error.alias("error"), (away & F.col("to").isNotNull()).cast("int").alias("redirects"), on.alias("on"))
 
 
 def chains(responses: DataFrame, aggregators: tuple[str, ...] = urls.AGGREGATORS, resolved: DataFrame | None = None, most: int = MAX_REDIRECTS) -> DataFrame:
-    """(url, to, error, redirects) of each response's address, chains followed to their end; one response an address (the smallest, if rows repeat)."""
-    one = responses.groupBy("url").agg(F.min(F.struct("status", "location", "html")).alias("r")).select("url", "r.*")
+    """(url, to, error, redirects) of each response's address, chains followed to their end.
+
+    Where responses of one address differ, the longest way counts (of equally long
+    ones one that leads out, then the smallest), so one of more than ``most``
+    redirects, or a loop, is too_many_redirects whatever the others say.
+    """
     checkpoint_dir(responses.sparkSession)
-    step = _first_step(one, aggregators, resolved).checkpoint()
-    for _ in range(max(1, most).bit_length()):  # 2 ** rounds > most
-        nxt = step.select(F.col("url").alias("to"), F.col("to").alias("to2"), F.col("error").alias("error2"), F.col("redirects").alias("more"), F.col("on").alias("on2"), F.lit(True).alias("known"))
-        j = step.join(nxt, "to", "left")
-        on = F.col("on")
-        lost = on & F.col("known").isNull()
-        step = j.select(
-            "url", F.when(on, F.col("to2")).otherwise(F.col("to")).alias("to"), F.when(lost, "request_failed").when(on, F.col("error2")).otherwise(F.col("error")).alias("error"),
-            (F.col("redirects") + F.when(on, F.coalesce("more", F.lit(0))).otherwise(0)).alias("redirects"), (on & F.coalesce("on2", F.lit(False))).alias("on"),
-        ).checkpoint()
-    long = F.col("on") | (F.col("redirects") > most)
-    return step.select("url", F.when(~long, F.col("to")).alias("to"), F.when(long, "too_many_redirects").otherwise(F.col("error")).alias("error"), "redirects")
+    step = _first_step(responses, aggregators, resolved).distinct().checkpoint()
+
+    def way(redirects: Column, to: Column, error: Column) -> Column:
+        return F.struct((-redirects).alias("back"), to.isNull().alias("lost"), to.alias("to"), error.alias("error")).alias("way")
+
+    none = F.lit(None).cast("string")
+    done = step.where("not on").groupBy("url").agg(F.min(way(F.col("redirects"), F.col("to"), F.col("error"))).alias("way")).checkpoint()
+    going = step.where("on").select("url", "to")
+    ends = done.union(going.select("url", way(F.lit(1), none, none))).groupBy("url").agg(F.min("way").alias("way"))
+    for _ in range(most):
+        j = going.join(ends.select(F.col("url").alias("to"), F.col("way").alias("next")), "to", "left")
+        error = F.when(F.col("next").isNull(), "request_failed").otherwise(F.col("next.error"))
+        followed = j.select("url", way(1 - F.coalesce("next.back", F.lit(0)), F.col("next.to"), error))
+        ends = done.union(followed).groupBy("url").agg(F.min("way").alias("way")).checkpoint()
+    redirects = -F.col("way.back")
+    long = redirects > most
+    return ends.select("url", F.when(~long, F.col("way.to")).alias("to"), F.when(long, "too_many_redirects").otherwise(F.col("way.error")).alias("error"), redirects.alias("redirects"))
 
 
 def resolved_items(items: DataFrame, responses: DataFrame, rules: DataFrame, aggregators: tuple[str, ...] = urls.AGGREGATORS, resolved: DataFrame | None = None, fallback: bool = True, enabled: bool = True, most: int = MAX_REDIRECTS) -> DataFrame:

@@ -92,6 +92,17 @@ def test_original_addresses(spark):
     assert known["out"] is None and known["rel"] == known["s3"] == "unsafe_target"
 
 
+def test_addresses_fetched_often_lead_the_longest_way(spark):
+    g = "https://news.google.com/"
+    page = lambda to: f"<link rel=canonical href={to}>"
+    hops = [(g + "twice", 302, g + "a", None), (g + "twice", 302, g + "b", None), (g + "a", 200, None, page("https://a.com/")), (g + "b", 302, g + "c", None), (g + "c", 200, None, page("https://c.com/")), (g + "same", 302, g + "same", None), (g + "same", 302, g + "a", None)]
+    hops += [(g + f"n{i}", 302, g + f"n{i + 1}", None) for i in range(5)] + [(g + "n5", 302, None, None), *hops]
+    hop = spark.createDataFrame(hops, "url string, status int, location string, html string")
+    got = {r.url.removeprefix(g): (r.to or r.error, r.redirects) for r in original.chains(hop).collect()}
+    assert got["twice"] == ("https://c.com/", 2) and got["b"] == ("https://c.com/", 1) and got["same"] == ("too_many_redirects", 6)
+    assert got["n0"] == ("redirect_without_location", 5) and len(got) == 11
+
+
 def quick(**k):
     return calls.CallPolicy(**{"pause": 0.0, "timeout": 2.0} | k)
 
