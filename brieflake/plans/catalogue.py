@@ -257,9 +257,7 @@ select a as seq, min(b) as cluster from r group by a""".replace("with t as", "wi
 )
 def blocked_levenshtein_clusters(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "part").select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("title"), "p_brand", "p_size")
-    y = t.select(F.col("seq").alias("b"), F.col("title").alias("title_b"), "p_brand", "p_size")
-    pairs = t.join(y, ["p_brand", "p_size"]).where((F.col("seq") < F.col("b")) & (F.levenshtein("title", "title_b") <= 3)).select(F.col("seq").alias("a"), "b")
-    return merge.components(pairs, t.select(F.col("seq").alias("node"))).select(F.col("node").alias("seq"), F.col("label").alias("cluster"))
+    return clusters.near_titles(t, 3, "p_brand", "p_size").select("seq", "cluster")
 
 
 @query("select doc_id, array_to_string(list_filter([" + ", ".join("case when " + " or ".join(f"contains(lower(text), '{w}')" for w in ws) + f" then '{k}' end" for k, ws in sorted(clusters.EVENT_KINDS.items())) + "], lambda x: x is not null), ',') as kinds from documents")

@@ -375,6 +375,15 @@ def test_events_by_metric_context_and_fuzzy_subjects(spark):
     assert {(r.a, r.b) for r in clusters.similar_events(df).collect()} == {(1, 2), (3, 4)}
 
 
+def test_near_titles_of_many_copies(spark):
+    """Copies meet others as one class: 3,000 of each of two titles make no pairs of rows."""
+    rows = [(i, ("steel bolt", "steel bolts")[i % 2], "x") for i in range(10, 6010)] + [(1, "brass", "x"), (2, "grass", "x"), (3, "brass", "y"), (4, None, "x"), (5, None, "x"), (6, "brass", None), (7, "", "x"), (8, "abc", "x"), (9, "abcd", "y")]
+    df = spark.createDataFrame(rows, "seq long, title string, block string")
+    got = {r.seq: r.cluster for r in clusters.near_titles(df, 3, "block").collect()}
+    want = {r[0]: 10 for r in rows[:6000]} | {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 8: 7, 9: 9}
+    assert got == want
+
+
 def test_fixed_point_is_python_s(spark):
     r = random.Random(4)
     xs = [0.965, 0.125, 0.375, 2.5, 0.005, 1.005, 9.995, 9.99995, 0.0, -0.0, -1.125, 1e-12, 123456.78125, 0.5, 10.0, 5e-324, -0.001, float("nan"), float("inf"), -float("inf")]
