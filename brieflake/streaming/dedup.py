@@ -12,31 +12,42 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..ship import checkpoint_dir
 
 
+#: Groups that keys are dealt into: one call of Python and one state serve all keys of a group, as a call for each key costs far more than its rows.
+GROUPS = 1024
+
+
 def unremembered(stream: DataFrame, key: str, ts: str, days: int = 7, late: str = "1 day") -> DataFrame:
     """The rows whose key was not let through within the days before them.
 
     A row that is let through is remembered for ``days`` of event time; those held
-    back don't prolong that.  State is one time for each key, and goes once the
-    watermark (the latest time seen, less ``late``) is past it.  Of rows with one
-    key and time one is let through.  Rows without a key or time don't pass.
+    back don't prolong that.  State is one time for each key, kept by groups of keys,
+    and goes once the watermark (the latest time seen, less ``late``) is past it.  Of
+    rows with one key and time one is let through.  Rows without a key or time don't pass.
     """
     held = days * 86_400_000
 
     def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        last = dict(zip(*state.get, strict=True)) if state.exists else {}
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches)).sort_values(ts, kind="stable")
+            out = []
+            for name, at in zip(rows[key].tolist(), rows[ts].astype("datetime64[us]").astype("int64").tolist(), strict=True):
+                before = last.get(name)
+                out.append(before is None or at - before > held * 1000)
+                if out[-1]:
+                    last[name] = at
+            yield rows[out][columns]
+        ends = {name: at // 1000 + held + 1 for name, at in last.items()}
+        kept = [name for name, end in ends.items() if end > state.getCurrentWatermarkMs()]
+        if kept:
+            state.update((kept, [last[name] for name in kept]))
+            state.setTimeoutTimestamp(min(ends[name] for name in kept))
+        elif state.exists:
             state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(ts, kind="stable")
-        last, out = (state.get[0] if state.exists else None), []
-        for at in rows[ts].astype("datetime64[us]").astype("int64"):
-            out.append(last is None or at - last > held * 1000)
-            last = at if out[-1] else last
-        state.update((int(last),))
-        state.setTimeoutTimestamp(max(int(last) // 1000 + held + 1, state.getCurrentWatermarkMs() + 1))
-        yield rows[out]
 
     marked = stream.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withWatermark(ts, late)
-    return marked.groupBy(key).applyInPandasWithState(step, marked.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    columns, kind = marked.columns, marked.schema[key].dataType.simpleString()
+    return marked.withColumn("_group", F.pmod(F.xxhash64(key), F.lit(GROUPS))).groupBy("_group").applyInPandasWithState(step, marked.schema, f"names array<{kind}>, times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def window_counts(stream: DataFrame, ts: str, length: str, late: str, key: str) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pytest
 from brieflake.plans import render
@@ -124,3 +125,25 @@ def test_stream_commits_before_it_remembers(spark):
 def test_extracted_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     assert readers.extracted(pages).where(F.length("content") > 0).count() > 0
+
+
+def test_stream_remembers_keys_by_groups_over_batches(spark, tmp_path):
+    """Four batches against a plain loop; states are no more than the groups, however many keys there are, and forget what has expired."""
+    rows = [(f"k{k}", day * 86_400 + (k * 7919 + day) % 50_000) for day in (1, 5, 8, 9, 30) for k in range(2500) if (k + day) % 3]
+    rows += [("k1", 86_400), ("k1", 86_400), (None, 86_401)]
+    for i, days in enumerate(((1,), (5,), (8, 9), (30,))):
+        part = [r for r in rows if r[1] // 86_400 in days]
+        spark.createDataFrame(part, "key string, at long").select("key", F.timestamp_seconds("at").alias("seen")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1 if i < 3 else 0)  # files are read by their time
+    stream = spark.readStream.schema("key string, seen timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = dedup.unremembered(stream, "key", "seen").writeStream.trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/state").format("parquet").option("path", f"{tmp_path}/out").start()
+    q.awaitTermination()
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress]
+    assert max(states) <= dedup.GROUPS < 2500
+    last, want = {}, []
+    for key, at in sorted((r for r in rows if r[0]), key=lambda r: r[1]):
+        if key not in last or at - last[key] > 7 * 86_400:
+            last[key] = at
+            want.append((key, at))
+    got = spark.read.parquet(f"{tmp_path}/out").select("key", F.unix_timestamp("seen").alias("at")).collect()
+    assert sorted((r.key, r.at) for r in got) == sorted(want)
