@@ -467,12 +467,18 @@ def _duplicates(docs: DataFrame, to: Scratch) -> DataFrame:
         spans = spans.union(found.where("size(spans) > 0").select("doc", "tag", "keeper", "spans"))
     to.drop(slices)
     found = first_found
-    opened = found.select("doc", "tag", F.inline("open")).distinct()
-    held = to.keep(opened.groupBy("run").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last")).where("keeper < last").select("run", "keeper"), "held")
-    more = opened.join(held, "run").where("doc > keeper").select("doc", "tag", "keeper", F.array(F.struct("start", (F.col("start") + LENGTH).alias("end"))).alias("spans"))
+    more = _held(found, to)
     return spans.union(more).groupBy("doc", "tag").agg(F.sort_array(F.collect_set("keeper")).alias("keepers"), _merged(F.sort_array(F.flatten(F.collect_list("spans")))).alias("spans"))
 
 
+def _held(found: DataFrame, to: Scratch) -> DataFrame:
+    """(doc, tag, keeper, spans) of the open runs that a smaller document has open too.  A document's places of one run, many where it says the same over and over, are one row."""
+    opened = found.select("doc", "tag", F.inline("open")).groupBy("doc", "tag", "run").agg(F.collect_set("start").alias("starts"))
+    held = to.keep(opened.groupBy("run").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last")).where("keeper < last").select("run", "keeper"), "held")
+    spans = F.transform("starts", lambda s: F.struct(s.alias("start"), (s + LENGTH).alias("end")))
+    return opened.join(held, "run").where("doc > keeper").select("doc", "tag", "keeper", spans.alias("spans"))
+
+
 def _merged(spans: Column) -> Column:
     """Sorted spans, joined where they touch."""
 

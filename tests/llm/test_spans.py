@@ -115,6 +115,17 @@ def test_near_passages_of_50_to_100_words(spark):
     assert {d for d, (s, e) in want.items() if got.get(d) != ([d - 1], [(s, e)])} == set()
 
 
+def test_a_run_said_over_and_over_is_one_row(spark):
+    from brieflake.llm.store import Scratch
+
+    found = [(d, 7, [(1, s) for s in range(400)] + [(2, 500 + d)] * 2) for d in (3, 5, 9)] + [(2, 7, [(4, 0)])]
+    with Scratch(spark) as to:
+        df = spark.createDataFrame(found, "doc long, tag long, open array<struct<run:long,start:int>>")
+        got = [(r.doc, r.keeper, sorted((s.start, s.end) for s in r.spans)) for r in passages._held(df, to).collect()]
+    over = [(s, s + 50) for s in range(400)]
+    assert sorted(got) == sorted((d, 3, spans) for d in (5, 9) for spans in (over, [(500 + d, 550 + d)]))
+
+
 def test_runs_are_joined_without_a_greedy_start():
     at = np.full(100, -1)
     for a, z in ((10, 20), (23, 48), (53, 73)):
