@@ -58,6 +58,8 @@ RUN = 20
 SIDE = RUN // 2
 #: Places beyond a window that verification sees, and how far from the diagonal.
 BEYOND, BAND = 2 * LENGTH, 12
+#: Bytes of texts that are cut into words at once, but for a single text's.
+CHUNK = 1 << 19
 #: Places by which what is shared must go on beyond a smaller document's part of it for others to meet there.
 FURTHER = 3
 
@@ -121,14 +123,14 @@ def _sequences(w: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, begin, size
 
 
-def _windows(docs: DataFrame, whole: bool) -> DataFrame:
-    """(key, doc) of each window and side; with ``whole`` also place and tag, and extents left and right, each two in a long."""
+def _windows(docs: DataFrame) -> DataFrame:
+    """(key, doc, tag, c, left, right) of each window and side: its place and how far it reaches to either side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for b in batches:
             ids, tags = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for w in W.words(b.column(2), W.SPACE_WORDS):
+            for w in W.words(b.column(2), W.SPACE_WORDS, CHUNK):
                 s, begin, size = _sequences(w)
                 if not len(size) or size.max() < LENGTH - SHINGLE + 1:
                     continue
@@ -153,14 +155,12 @@ def _windows(docs: DataFrame, whole: bool) -> DataFrame:
                 if not len(key):
                     continue
                 row = np.searchsorted(begin, at, side="right") - 1
-                cols, names = [pa.array(key.view(np.int64)), pa.array(ids[w.first + row])], ["key", "doc"]
-                if whole:
-                    cols += [pa.array(((at - begin[row]) << 31) | tags[w.first + row]), pa.array((np.concatenate(lefts) << 31) | np.concatenate(rights))]
-                    names += ["place", "extent"]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                cols = [pa.array(key.view(np.int64)), pa.array(ids[w.first + row]), pa.array(tags[w.first + row])]
+                cols += [pa.array(v.astype(np.int32)) for v in (at - begin[row], np.concatenate(lefts), np.concatenate(rights))]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "doc", "tag", "c", "left", "right"])
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), _tag(), "text")
-    return arrow(rows, run, "key long, doc long" + ", place long, extent long" * whole)
+    return arrow(rows, run, "key long, doc long, tag long, c int, left int, right int")
 
 
 def _slices(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def _slices(docs: DataFrame, asked: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             starts, sizes, hashes = [], [], []
-            for w in W.words(b.column(2), W.SPACE_WORDS):
+            for w in W.words(b.column(2), W.SPACE_WORDS, CHUNK):
                 s, begin, size = _sequences(w)
                 low = (s & W.U64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
                 for i in range(len(size)):
@@ -207,8 +207,8 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) + np.repeat(start - np.cumsum(size) + size, size)
 
 
-def matched_passages(at: np.ndarray, part: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Ranges of words, end excluded, of the passages that the matched shingles make.
+def strip_passages(at: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strip, first word and end of the passages that the matched shingles make.
 
     at: each shingle's place in the other document, -1 if it has none; part: which
     strip each belongs to, in order.  Of the stretches from a run to another that
@@ -218,8 +218,8 @@ def matched_passages(at: np.ndarray, part: np.ndarray | None = None) -> list[tup
     """
     hit = np.flatnonzero(at >= 0)
     if not len(hit):
-        return []
-    of = np.zeros(len(hit), dtype=np.int64) if part is None else part[hit].astype(np.int64)
+        return (hit,) * 3
+    of = part[hit]
     cut = np.flatnonzero((hit[1:] != hit[:-1] + 1) | (at[hit[1:]] != at[hit[:-1]] + 1) | (of[1:] != of[:-1]))
     begins, ends = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(hit) - 1]])
     a, z, of = hit[begins], hit[ends] + 1, of[begins]
@@ -230,15 +230,20 @@ def matched_passages(at: np.ndarray, part: np.ndarray | None = None) -> list[tup
     first = a[np.searchsorted(-np.minimum.accumulate(begin), -end)]
     last = z + SHINGLE - 1
     long = last - first >= LENGTH
-    out: list[tuple[int, int]] = []
-    strip, since = -1, 0
-    for f, t, s in zip(first[long].tolist(), last[long].tolist(), of[long].tolist(), strict=True):
-        if s != strip:
-            strip, since = s, len(out)
-        while len(out) > since and f <= out[-1][1]:
-            f = min(f, out.pop()[0])
-        out.append((f, t))
-    return out
+    first, last, of = first[long], last[long], of[long]
+    if not len(of):
+        return (of,) * 3
+    # ends ascend within a strip; a passage ends where all that come later begin beyond it
+    least = np.minimum.accumulate((first + (of << 40))[::-1])[::-1]
+    cut = np.flatnonzero(least[1:] > (last + (of << 40))[:-1])
+    begins, ends = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(of) - 1]])
+    return of[ends], least[begins] - (of[ends] << 40), last[ends]
+
+
+def matched_passages(at: np.ndarray) -> list[tuple[int, int]]:
+    """The passages of a single strip."""
+    _, start, end = strip_passages(at, np.zeros(len(at), dtype=np.int64))
+    return list(zip(start.tolist(), end.tolist(), strict=True))
 
 
 def _near(x: np.ndarray, target: np.ndarray, y_keys: np.ndarray) -> np.ndarray:
@@ -288,25 +293,26 @@ def _run_hashes(x: np.ndarray, start: np.ndarray, w: int) -> np.ndarray:
 
 
 #: Shingles that verification lays out at once, but for a single pair's or strip's.
-LAID = 1 << 18
-
-
-def _settled(passages: list[list], pair: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Whether each pair's place lies in one of its passages."""
-    begin, end = [], []
-    for i, spans in enumerate(passages):
-        top = -1
-        for s, e in sorted(spans):
-            if e > top:
-                begin.append((i << 32) | s)
-                end.append((i << 32) | e)
-                top = e
-    if not begin:
+LAID = 1 << 17
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The different values, ascending: sorting beats np.unique's hash table on numbers like these several times."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def _settled(of: np.ndarray, start: np.ndarray, end: np.ndarray, pair: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Whether each pair's place lies in one of its passages; these are in order."""
+    if not len(of):
         return np.zeros(len(c), dtype=bool)
+    begin, end = (of << 32) | start, (of << 32) | end
+    # those that reach beyond all before: ends ascend with begins, so the last one that begins before a place reaches farthest
+    top = np.concatenate([[True], end[1:] > np.maximum.accumulate(end)[:-1]])
+    begin, end = begin[top], end[top]
     at = (pair << 32) | c
-    # ends ascend with begins, so the last passage that begins before a place reaches farthest
-    k = np.searchsorted(np.array(begin), at, side="right") - 1
-    return (k >= 0) & (np.array(end)[np.maximum(k, 0)] >= at + SHINGLE)
+    k = np.searchsorted(begin, at, side="right") - 1
+    return (k >= 0) & (end[np.maximum(k, 0)] >= at + SHINGLE)
 
 
 def _further(x: np.ndarray, begin: np.ndarray, length: np.ndarray, c: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -324,7 +330,7 @@ def _further(x: np.ndarray, begin: np.ndarray, length: np.ndarray, c: np.ndarray
     return out
 
 
-def _compared(part: pa.RecordBatch) -> tuple[list, pa.ListArray, pa.ListArray]:
+def _compared(part: pa.RecordBatch) -> tuple[pa.ListArray, pa.ListArray, pa.ListArray]:
     """Of each pair, its passages, the runs left open, and the windows left open under further keys: all its strips (diagonals with shared places) are laid end to end and compared at once."""
     w, n = LENGTH - SHINGLE + 1, part.num_rows
     x, x_at, x_len = _laid(part.column("starts"), part.column("sizes"), part.column("hashes"), -1)
@@ -332,53 +338,65 @@ def _compared(part: pa.RecordBatch) -> tuple[list, pa.ListArray, pa.ListArray]:
     later = part.column("doc").to_numpy() > part.column("keeper").to_numpy()
     have = np.flatnonzero(y >= 0)
     y_keys = np.sort((y[have] << 31) | have)
+    # shingles of x that no keeper here has needn't be looked for on every diagonal
+    hashes = y_keys >> 31
+    known = (hashes[np.minimum(np.searchsorted(hashes, x), len(hashes) - 1)] == x) if len(hashes) else np.zeros(len(x), dtype=bool)
     off = part.column("places").offsets.to_numpy()
-    d, c, left, right = (part.column("places").values.field(f).to_numpy()[off[0] : off[-1]].astype(np.int64) for f in range(4))
+    at, extent = (part.column("places").values.field(f).to_numpy()[off[0] : off[-1]] for f in ("at", "extent"))
     pair = np.repeat(np.arange(n), np.diff(off))
-    order = np.lexsort((d, pair))
-    d, c, left, right, pair = d[order], c[order], left[order], right[order], pair[order]
+    order = np.lexsort((at, pair))
+    at, extent, pair = at[order], extent[order], pair[order]
+    new = np.concatenate([[True], (at[1:] != at[:-1]) | (pair[1:] != pair[:-1])])  # a window's two sides may meet the same place
+    at, extent, pair = at[new], extent[new], pair[new]
+    d, c, left, right = at >> 31, at & 0x7FFFFFFF, extent >> 31, extent & 0x7FFFFFFF
     low, high = c.copy(), c + 1  # the matched run about each place
-    first = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (d[1:] != d[:-1])]))
-    strip = np.cumsum(np.isin(np.arange(len(d)), first, assume_unique=True)) - 1
+    begins = np.concatenate([[True], (pair[1:] != pair[:-1]) | (d[1:] != d[:-1])])
+    first, strip = np.flatnonzero(begins), np.cumsum(begins) - 1
     of, slant = pair[first], d[first]
     # a diagonal as far as its windows reach, and BEYOND
     lo = np.maximum(0, np.minimum.reduceat(c - left, first) - BEYOND)
     hi = np.minimum(x_len[of], np.maximum.reduceat(c + right, first) + 1 + BEYOND)
-    passages: list[list] = [[] for _ in range(n)]
-    opened = []
+    passages, opened = [], []
     for u, v in W.spans(np.concatenate([[0], np.cumsum(hi - lo)]), LAID):
-        size = hi[u:v] - lo[u:v]
+        size, mine_of = hi[u:v] - lo[u:v], of[u:v]
         here = np.repeat(np.arange(u, v), size)
-        place = _ranges(lo[u:v], size)
-        xs = x[place + x_at[of[here]]]
-        across = place + slant[here]
-        inside = (across >= 0) & (across < y_len[of[here]])
-        target = across + y_at[of[here]]
+        in_x = _ranges(lo[u:v] + x_at[mine_of], size)
+        xs = x[in_x]
+        target = in_x + np.repeat(slant[u:v] + y_at[mine_of] - x_at[mine_of], size)
+        inside = (target >= np.repeat(y_at[mine_of], size)) & (target < np.repeat(y_at[mine_of] + y_len[mine_of], size))
         same = inside & (xs == y[np.where(inside, target, 0)])
-        base = np.cumsum(size) - size - lo[u:v]
-        mine = slice(*np.searchsorted(strip, [u, v]))
-        start = _unheld(same, c[mine] + base[strip[mine] - u], left[mine], right[mine], w)
-        opened.append((of[here[start]] << 32) | place[start])
         edge = np.cumsum(size)
-        stops = np.unique(np.concatenate([np.flatnonzero(~same), edge]))
-        p, mine_of = c[mine] + base[strip[mine] - u], strip[mine] - u
+        base = edge - size - lo[u:v]
+        mine = slice(*np.searchsorted(strip, [u, v]))
+        mine_strip = strip[mine] - u
+        start = _unheld(same, c[mine] + base[mine_strip], left[mine], right[mine], w)
+        opened.append((of[here[start]] << 32) | (start - base[here[start] - u]))
+        stop = np.append(~same, True)
+        stop[edge[:-1]] = True
+        stops = np.flatnonzero(stop)
+        p = c[mine] + base[mine_strip]
         k = np.searchsorted(stops, p, side="right")
-        first_of = edge[mine_of] - size[mine_of]
-        high[mine] = np.maximum(c[mine] + 1, np.minimum(stops[np.minimum(k, len(stops) - 1)], edge[mine_of]) - base[mine_of])
+        first_of = edge[mine_strip] - size[mine_strip]
+        high[mine] = np.maximum(c[mine] + 1, np.minimum(stops[np.minimum(k, len(stops) - 1)], edge[mine_strip]) - base[mine_strip])
         before = np.where(k > 0, stops[np.maximum(k, 1) - 1] + 1, 0)
-        low[mine] = np.minimum(c[mine], np.maximum(before, first_of) - base[mine_of])
-        todo = np.flatnonzero(later[of[here]] & ~same & (xs >= 0)) if len(y_keys) else have
-        at = np.where(same & later[of[here]], across, -1)
-        near = _near(xs[todo], target[todo], y_keys)
+        low[mine] = np.minimum(c[mine], np.maximum(before, first_of) - base[mine_strip])
+        meant = np.repeat(later[mine_of], size)
+        todo = np.flatnonzero(meant & ~same & known[in_x])
+        across = target - np.repeat(y_at[mine_of], size)
+        at = np.where(same & meant, across, -1)
+        near = _near(xs[todo], target[todo], y_keys) if len(todo) else todo
         near -= y_at[of[here[todo]]]
         at[todo] = np.where((near >= 0) & (near < y_len[of[here[todo]]]), near, -1)
-        for s, e in matched_passages(at, here):
-            k = here[s]
-            passages[of[k]].append((int(s - base[k - u]), int(e - base[k - u])))
-    got = np.unique(np.concatenate(opened)) if opened else np.zeros(0, dtype=np.int64)
+        k, s, e = strip_passages(at, here)
+        passages.append(np.stack([of[k], s - base[k - u], e - base[k - u]]))
+    got = _distinct(np.concatenate(opened)) if opened else np.zeros(0, dtype=np.int64)
     start, owner = got & 0xFFFFFFFF, got >> 32
     runs = pa.StructArray.from_arrays([pa.array(_run_hashes(x, start + x_at[owner], w).view(np.int64)), pa.array(start, pa.int32())], names=["run", "start"])
-    left_open = np.flatnonzero(~_settled(passages, pair, c))
+    found = np.concatenate(passages, axis=1) if passages else np.zeros((3, 0), dtype=np.int64)
+    found = found[:, np.lexsort(found[::-1])]
+    found = found[:, np.concatenate([[True], (found[:, 1:] != found[:, :-1]).any(axis=0)])] if found.size else found
+    spans = pa.StructArray.from_arrays([pa.array(v, pa.int32()) for v in found[1:]], names=["start", "end"])
+    left_open = np.flatnonzero(~_settled(*found, pair, c))
     parts = _further(x, x_at[pair[left_open]], x_len[pair[left_open]], c[left_open], low[left_open], high[left_open])
     which = left_open[np.concatenate([ok for ok, _ in parts])]
     keys = np.concatenate([k for _, k in parts])
@@ -391,23 +409,23 @@ def _compared(part: pa.RecordBatch) -> tuple[list, pa.ListArray, pa.ListArray]:
     which, keys = which[order], keys[order]
     more = pa.StructArray.from_arrays([pa.array(keys), *(pa.array(v[which], pa.int32()) for v in (c, left, right))], names=["key", "c", "left", "right"])
     lists = lambda who, values: pa.ListArray.from_arrays(pa.array(np.searchsorted(who, np.arange(n + 1)), pa.int32()), values)
-    return passages, lists(owner, runs), lists(pair[which], more)
+    return lists(found[0], spans), lists(owner, runs), lists(pair[which], more)
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
     """(doc, tag, keeper, spans, open, more) of pairs with both slices and their shared places; open: hash and start of the runs of LENGTH words about a shared place that the keeper doesn't hold there; more: windows in no passage, under keys of what lies beyond their match."""
 
     def reach(starts: pa.ListArray, sizes: pa.ListArray) -> np.ndarray:
-        return np.array([a[-1] + z[-1] if a else 0 for a, z in zip(starts.to_pylist(), sizes.to_pylist(), strict=True)], dtype=np.int64)
+        off, last = starts.offsets.to_numpy(), sizes.offsets.to_numpy()
+        a, z = (np.append(x.values.to_numpy(), 0) for x in (starts, sizes))  # a row without ranges may be the last
+        return np.where(np.diff(off) > 0, a[off[1:] - 1].astype(np.int64) + z[last[1:] - 1], 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for b in batches:
             size = reach(b.column("starts"), b.column("sizes")) + reach(b.column("starts_0"), b.column("sizes_0"))
             for u, v in W.spans(np.concatenate([[0], np.cumsum(size)]), LAID):
                 part = b.slice(u, v - u)
-                passages, opened, more = _compared(part)
-                spans = pa.array([[{"start": s, "end": e} for s, e in sorted(set(p))] for p in passages], span)
+                spans, opened, more = _compared(part)
                 yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("tag"), part.column("keeper"), spans, opened, more], names=["doc", "tag", "keeper", "spans", "open", "more"])
 
     return arrow(pairs, run, "doc long, tag long, keeper long, spans array<struct<start:int,end:int>>, open array<struct<run:long,start:int>>, more array<struct<key:long,c:int,left:int,right:int>>").where("size(spans) > 0 or size(open) > 0 or size(more) > 0")
@@ -419,41 +437,63 @@ def duplicate_passages(docs: DataFrame) -> DataFrame:
         return written(_duplicates(docs, to), "passages")
 
 
-def _pairs(placed: DataFrame, to: Scratch) -> DataFrame:
-    """Each window (key, doc, tag, c, left, right, keeper) with the first place that the smallest document under its key, the keeper, has it at (tag_0, c_0, left_0, right_0).  The keeper's other places are windows too: they may hold what others repeat."""
-    best = to.keep(placed.where("doc = keeper").groupBy("key").agg(F.min(F.struct("tag", "c", "left", "right")).alias("k")), "best")
-    pairs = placed.join(best, "key").where("not (doc = keeper and tag = k.tag and c = k.c)")
-    out = to.keep(pairs.select("key", "doc", "tag", "c", "left", "right", "keeper", F.col("k.tag").alias("tag_0"), F.col("k.c").alias("c_0"), F.col("k.left").alias("left_0"), F.col("k.right").alias("right_0")), "pairs")
+LOW = 0x7FFFFFFF
+
+
+def _packed(*cols: str) -> Column:
+    """Two numbers of 31 bits in a long; the first may be negative."""
+    high, low = cols
+    return F.expr(f"shiftleft(cast({high} as long), 31) + {low}")
+
+
+def _pairs(met: DataFrame, to: Scratch) -> DataFrame:
+    """(doc, tag, c, left, right, keeper, tag_0, c_0, left_0, right_0): each window of ``met`` (key, doc, place, extent, keeper) with the first place that the smallest document under its key, the keeper, has it at.  The keeper's other places are windows too: they may hold what others repeat."""
+    # plain numbers, so that this is no aggregate of sorted rows
+    best = to.keep(met.where("doc = keeper").groupBy("key").agg(F.min("place").alias("place_0"), F.min_by("extent", "place").alias("extent_0")), "best")
+    pairs = met.join(best, "key").where("not (doc = keeper and place = place_0)").drop("key")
+    high, low = (lambda name: F.shiftright(name, 31)), (lambda name: F.col(name).bitwiseAND(LOW).cast("int"))
+    sides = [(high(f"place{k}").alias(f"tag{k}"), low(f"place{k}").alias(f"c{k}"), high(f"extent{k}").cast("int").alias(f"left{k}"), low(f"extent{k}").alias(f"right{k}")) for k in ("", "_0")]
+    out = to.keep(pairs.select("doc", *sides[0], "keeper", *sides[1]), "pairs")
     to.drop(best)
     return out
 
 
+def _met(windows: DataFrame, to: Scratch) -> DataFrame:
+    """(key, doc, place, extent, keeper) of the windows whose key several documents have."""
+    # what a hot key is joined to is written first, so that both sides are plain exchanges, and a skewed join is split
+    shared = to.keep(windows.groupBy("key").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last")).where("keeper < last").select("key", "keeper"), "keys")
+    met = to.keep(windows.select("key", "doc", _packed("tag", "c").alias("place"), _packed("`left`", "`right`").alias("extent")).join(shared, "key"), "windows")
+    to.drop(shared)
+    return met
+
+
+def _asked(pairs: DataFrame) -> DataFrame:
+    """(doc, tag, ranges) that the windows of pairs reach over.  Those that begin in the same 2 * BEYOND places are one: with BEYOND on either side they overlap."""
+    reach = [pairs.select(F.col(doc).alias("doc"), F.col(f"tag{k}").alias("tag"), F.expr(f"c{k} - left{k}").alias("l"), F.expr(f"c{k} + right{k}").alias("r")) for doc, k in (("doc", ""), ("keeper", "_0"))]
+    blocks = reach[0].union(reach[1]).groupBy("doc", "tag", F.expr(f"l div {2 * BEYOND}")).agg(F.min("l").alias("l"), F.max("r").alias("r"))
+    return blocks.groupBy("doc", "tag").agg(F.collect_list(F.struct("l", "r")).alias("ranges"))
+
+
 def _sliced(pairs: DataFrame, slices: DataFrame) -> DataFrame:
-    groups = pairs.groupBy("doc", "tag", "keeper", "tag_0").agg(F.collect_set(F.struct(F.expr("c_0 - c").alias("d"), "c", "left", "right")).alias("places"))
+    place = F.struct(_packed("(c_0 - c)", "c").alias("at"), _packed("`left`", "`right`").alias("extent"))
+    groups = pairs.groupBy("doc", "tag", "keeper", "tag_0").agg(F.collect_list(place).alias("places"))
     rows = groups.join(slices, ["doc", "tag"]).join(slices.toDF("keeper", "tag_0", "starts_0", "sizes_0", "hashes_0"), ["keeper", "tag_0"])
     return rows.select("doc", "tag", "keeper", "places", "starts", "sizes", "hashes", "starts_0", "sizes_0", "hashes_0")
 
 
 def _duplicates(docs: DataFrame, to: Scratch) -> DataFrame:
-    # what a hot key is joined to is written first, so that both sides are plain exchanges, and a skewed join is split
-    first = to.keep(_windows(docs, whole=False).groupBy("key").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last")).where("keeper < last").select("key", "keeper"), "keys")
-    met = to.keep(_windows(docs, whole=True).join(first, "key"), "windows")
-    to.drop(first)
-    low = 0x7FFFFFFF
-    placed = met.select("key", "doc", "keeper", F.col("place").bitwiseAND(low).alias("tag"), F.shiftright("place", 31).cast("int").alias("c"), F.shiftright("extent", 31).cast("int").alias("left"), F.col("extent").bitwiseAND(low).cast("int").alias("right"))
-    pairs = _pairs(placed, to)
+    windows = to.keep(_windows(docs), "every")
+    met = _met(windows, to)
+    to.drop(windows)
+    pairs = _pairs(met, to)
     to.drop(met)
-    span = F.struct(F.expr("c - left").alias("l"), F.expr("c + right").alias("r"))
-    theirs = pairs.select(F.col("keeper").alias("doc"), F.col("tag_0").alias("tag"), F.struct(F.expr("c_0 - left_0").alias("l"), F.expr("c_0 + right_0").alias("r")).alias("x")).distinct()
-    asked = pairs.select("doc", "tag", span.alias("x")).distinct().union(theirs).groupBy("doc", "tag").agg(F.collect_set("x").alias("ranges"))
-    slices = to.keep(_slices(docs, asked), "slices")
+    slices = to.keep(_slices(docs, _asked(pairs)), "slices")
     found = first_found = to.keep(_verified(_sliced(pairs, slices)), "found")
     to.drop(pairs)
     spans = found.where("size(spans) > 0").select("doc", "tag", "keeper", "spans")
     while True:  # what meets in a round has FURTHER more places in a row in common than in the one before, and from LENGTH words on nothing stays open
         left = to.keep(found.select("doc", "tag", F.inline("more")).distinct(), "open")
-        shared = left.groupBy("key").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last")).where("keeper < last").select("key", "keeper")
-        met = to.keep(left.join(to.keep(shared, "keys"), "key"), "windows")
+        met = _met(left, to)
         to.drop(left)
         if met.isEmpty():
             break
