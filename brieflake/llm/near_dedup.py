@@ -98,7 +98,7 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 def _sets(col: pa.Array, n: int) -> Iterator[np.ndarray]:
     """The sorted set of each text."""
-    for w in W.words(col, W.SPACE_WORDS):
+    for w in W.words(col, W.SPACE_WORDS, W.CHUNK):
         h, ptr = W.shingles(w, n)
         for i in range(len(ptr) - 1):
             yield np.unique(h[ptr[i] : ptr[i + 1]])

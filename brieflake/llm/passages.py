@@ -58,8 +58,6 @@ RUN = 20
 SIDE = RUN // 2
 #: Places beyond a window that verification sees, and how far from the diagonal.
 BEYOND, BAND = 2 * LENGTH, 12
-#: Bytes of texts that are cut into words at once, but for a single text's.
-CHUNK = 1 << 19
 #: Places by which what is shared must go on beyond a smaller document's part of it for others to meet there.
 FURTHER = 3
 
@@ -130,7 +128,7 @@ def _windows(docs: DataFrame) -> DataFrame:
         forget()
         for b in batches:
             ids, tags = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for w in W.words(b.column(2), W.SPACE_WORDS, CHUNK):
+            for w in W.words(b.column(2), W.SPACE_WORDS, W.CHUNK):
                 s, begin, size = _sequences(w)
                 if not len(size) or size.max() < LENGTH - SHINGLE + 1:
                     continue
@@ -169,7 +167,7 @@ def _slices(docs: DataFrame, asked: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             starts, sizes, hashes = [], [], []
-            for w in W.words(b.column(2), W.SPACE_WORDS, CHUNK):
+            for w in W.words(b.column(2), W.SPACE_WORDS, W.CHUNK):
                 s, begin, size = _sequences(w)
                 low = (s & W.U64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
                 for i in range(len(size)):

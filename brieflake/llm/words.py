@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+#: Bytes of texts for a smaller chunk than the usual one: what a worker holds while it works on one, and keeps (tables of powers), is some 100 times that.
+CHUNK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
